@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threatweave.operators import incidents as I
 from threatweave.operators import rules as R
+from threatweave.operators import sessions as S
+from threatweave.operators import store
 from threatweave.plans import correlate as C
+from threatweave.plans import flows
 from threatweave.plans import tables as T
+from threatweave.plans import traps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,4 +45,59 @@ CORRELATION = {
     "rule_step_coverage": _coverage,
 }
 
-QUERIES: dict[str, Query] = {**CORRELATION}
+# Events of the given table come hours apart per source, so gaps and windows here
+# are longer than the defaults.
+GAP, WINDOW = "2h", "6h"
+
+
+def _stored_twice(spark, d):
+    """Every event logged twice; the later copy must lose."""
+    ev = T.trap_events(spark, d)
+    again = ev.withColumns({"ord": F.col("ord") + 1_000_000_000, "action": F.lit("repeat")})
+    return store.dedupe_events(ev.unionByName(again)).groupBy("action").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
+
+
+def _unacked(spark, d):
+    ev = T.trap_events(spark, d)
+    acks = ev.filter("action = 'file_read'").select("event_id")
+    return store.in_time_order(store.unacked(ev, acks)).select("event_id", "action", F.unix_micros("ts").alias("ts_us"))
+
+
+def _insert_new(spark, d):
+    ev = T.trap_events(spark, d)
+    stored = ev.filter("action IN ('file_read', 'file_copy')")
+    return store.insert_new(ev, stored).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def _export(spark, d):
+    ev = T.trap_events(spark, d)
+    acks = ev.filter("action = 'file_read'").select("event_id")
+    return traps.export_cycle(ev, acks, traps.accept_some, GAP)[1]
+
+
+def _export_acks(spark, d):
+    ev = T.trap_events(spark, d)
+    acks = ev.filter("action = 'file_read'").select("event_id")
+    return traps.export_cycle(ev, acks, traps.accept_some, GAP)[0]
+
+
+TRAPS = {
+    "trap_sessions": lambda s, d: traps.session_rows(S.trap_sessions(T.trap_events(s, d), GAP)),
+    "session_members": lambda s, d: S.session_members(T.trap_events(s, d), GAP).select("event_id", "session_id"),
+    "session_patterns": lambda s, d: traps.pattern_rows(S.trap_sessions(T.trap_events(s, d), GAP)),
+    "event_store_dedupe": _stored_twice,
+    "event_store_insert": _insert_new,
+    "export_unacked": _unacked,
+    "export_acks": _export_acks,
+    "export_counts": _export,
+}
+
+INCIDENTS = {
+    "incidents_tumbling": lambda s, d: flows.incident_table(I.incidents(T.flow_alerts(s, d), WINDOW, "tumbling"), "bucket"),
+    "incidents_trailing": lambda s, d: flows.incident_table(I.incidents(T.flow_alerts(s, d), WINDOW, "trailing"), "alert_ord"),
+    "incident_top_labels": lambda s, d: flows.top_label_rows(I.incidents(T.flow_alerts(s, d), WINDOW, "tumbling")),
+    "incidents_stateful": lambda s, d: flows.incident_table(I.incidents(T.flow_alerts(s, d), WINDOW, "stateful"), "alert_ord"),
+    "alert_level_histogram": lambda s, d: T.flow_alerts(s, d).groupBy("alert_level", "label").agg(F.count("*").alias("n")),
+}
+
+QUERIES: dict[str, Query] = {**CORRELATION, **TRAPS, **INCIDENTS}

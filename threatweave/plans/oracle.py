@@ -131,4 +131,105 @@ LEFT JOIN ev ON ev.event_type = s.kind AND ev.severity >= s.min_sev AND ev.confi
 GROUP BY rule_id, step_no"""),
 }
 
-ORACLE: dict[str, str] = {**CORRELATION}
+TRAP = """
+tr AS (
+  SELECT CAST(event_id AS VARCHAR) AS event_id, event_id AS ord, epoch_us(ts) AS tm,
+         CASE event_type WHEN 'signup' THEN 'service_connect' WHEN 'error' THEN 'canary_triggered'
+              WHEN 'click' THEN 'file_read' WHEN 'view' THEN 'file_copy' ELSE 'file_delete' END AS action,
+         CASE WHEN event_type NOT IN ('purchase', 'view') THEN '10.1.0.' || CAST(user_id AS VARCHAR)
+              WHEN event_type = 'purchase' AND CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 THEN 'local'
+              ELSE '/srv/share/' || json_extract_string(props, '$.k') END AS source
+  FROM events)"""
+
+SESSIONS = """,
+opened AS (
+  SELECT *, CASE WHEN tm - lag(tm) OVER (PARTITION BY source ORDER BY tm, ord) <= 7200000000 THEN 0 ELSE 1 END AS opens
+  FROM base),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY source ORDER BY tm, ord ROWS UNBOUNDED PRECEDING) AS no FROM opened),
+named AS (SELECT *, first_value(event_id) OVER (PARTITION BY source, no ORDER BY tm, ord) AS session_id FROM numbered),
+sess AS (
+  SELECT session_id, source, count(*) AS event_count, string_agg(DISTINCT action, ',' ORDER BY action) AS actions,
+         min(tm) AS start_at, max(tm) AS end_at,
+         bool_or(action IN ('file_read', 'canary_triggered')) AS p1, bool_or(action IN ('service_connect', 'file_copy')) AS p2,
+         bool_or(action IN ('file_copy', 'canary_triggered')) AS p3, bool_or(action = 'service_connect') AS p4
+  FROM named GROUP BY session_id, source)"""
+
+ALL_TRAPS = TRAP + ", base AS (SELECT * FROM tr)" + SESSIONS
+WAITING = TRAP + ", base AS (SELECT * FROM tr WHERE action <> 'file_read')" + SESSIONS
+
+TRAPS = {
+    "trap_sessions": _with(ALL_TRAPS, "SELECT session_id, source, event_count, actions, 'HIGH' AS confidence, start_at, end_at FROM sess"),
+    "session_members": _with(ALL_TRAPS, "SELECT event_id, session_id FROM named"),
+    "session_patterns": _with(ALL_TRAPS, """
+SELECT pattern, count(*) AS sessions, CAST(sum(event_count) AS BIGINT) AS events FROM (
+  SELECT 'credential_harvesting' AS pattern, event_count FROM sess WHERE p1
+  UNION ALL SELECT 'lateral_movement', event_count FROM sess WHERE p2
+  UNION ALL SELECT 'data_exfiltration', event_count FROM sess WHERE p3
+  UNION ALL SELECT 'reconnaissance', event_count FROM sess WHERE p4) GROUP BY pattern"""),
+    "event_store_dedupe": _with(TRAP, "SELECT action, count(*) AS n, min(ord) AS first_ord FROM tr GROUP BY action"),
+    "event_store_insert": _with(TRAP, "SELECT action, count(*) AS n FROM tr WHERE action NOT IN ('file_read', 'file_copy') GROUP BY action"),
+    "export_unacked": _with(TRAP, "SELECT event_id, action, tm AS ts_us FROM tr WHERE action <> 'file_read'"),
+    "export_acks": _with(WAITING, """
+SELECT event_id, session_id FROM named WHERE session_id IN (SELECT session_id FROM sess WHERE event_count > 1)"""),
+    "export_counts": _with(WAITING, """
+SELECT CAST(coalesce(sum(event_count) FILTER (event_count > 1), 0) AS BIGINT) AS exported, count(*) AS sessions FROM sess"""),
+}
+
+FLOWS = """
+fl AS (
+  SELECT event_id AS ord, epoch_us(ts) AS tm, '10.1.0.' || CAST(user_id % 10 AS VARCHAR) || '->10.0.0.1' AS key,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS port,
+         CASE event_type WHEN 'signup' THEN 'BENIGN' WHEN 'error' THEN 'PortScan' WHEN 'click' THEN 'DoS'
+              WHEN 'view' THEN 'WebAttack' ELSE 'BruteForce' END AS label,
+         least(1.0, value / 100) AS p, value / 50 AS m
+  FROM events),
+leveled AS (
+  SELECT *, CASE WHEN label <> 'BENIGN' AND p >= 0.65 THEN 'CONFIRMED' WHEN label <> 'BENIGN' AND p >= 0.35 THEN 'SUSPECT'
+                 WHEN label = 'BENIGN' AND p >= 0.65 THEN 'SUSPECT' ELSE 'NONE' END AS alert_level
+  FROM fl),
+trig AS (SELECT *, CASE WHEN alert_level = 'CONFIRMED' THEN 1 ELSE 0 END AS conf FROM leveled WHERE alert_level <> 'NONE')"""
+
+GRADED = """,
+per_label AS (
+  SELECT key, id, label, count(*) AS n, min(tm) AS first_at, arg_min(ord, (tm, ord)) AS first_ord FROM win GROUP BY key, id, label),
+tops AS (
+  SELECT key, id, string_agg(label || '=' || n, ',' ORDER BY n DESC, first_at, first_ord) FILTER (rn <= 3) AS top_labels,
+         string_agg(label || '=' || n, ',' ORDER BY label) AS counts
+  FROM (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY n DESC, first_at, first_ord) AS rn FROM per_label)
+  GROUP BY key, id),
+totals AS (
+  SELECT key, id, min(tm) AS start_at, max(tm) AS end_at, count(*) AS n, CAST(sum(conf) AS BIGINT) AS confirmed,
+         count(DISTINCT port) AS unique_ports, avg(p) AS avg_p, avg(m) AS avg_m,
+         bool_or(label IN ('Infiltration', 'Botnet', 'WebAttack')) AS rare, bool_or(label = 'PortScan') AS scan
+  FROM win GROUP BY key, id),
+ranked AS (
+  SELECT *, n - confirmed AS suspect,
+         CASE WHEN confirmed >= 20 THEN 3 WHEN confirmed >= 5 THEN 2 WHEN n - confirmed >= 40 THEN 2
+              WHEN n - confirmed >= 15 THEN 1 ELSE 0 END AS r0
+  FROM totals),
+boosted AS (SELECT *, CASE WHEN rare THEN least(r0 + 1, 3) ELSE r0 END AS r1 FROM ranked),
+graded AS (
+  SELECT *, CASE WHEN scan AND unique_ports >= 50 THEN greatest(r1, 2) WHEN scan AND unique_ports >= 20 THEN greatest(r1, 1) ELSE r1 END AS r2
+  FROM boosted WHERE NOT (scan AND unique_ports < 20 AND r1 <= 1 AND confirmed < 5)),
+incident AS (
+  SELECT g.*, t.top_labels, t.counts, ['LOW', 'MED', 'HIGH', 'CRITICAL'][r2 + 1] AS severity,
+         least(1.0, avg_p + CASE WHEN avg_m > 1.0 THEN 0.15 ELSE 0 END) AS confidence
+  FROM graded g JOIN tops t USING (key, id))"""
+
+INCIDENT_COLUMNS = "key, start_at, end_at, severity, top_labels, counts, confirmed, suspect, unique_ports, round(confidence, 10) AS confidence"
+TUMBLING = FLOWS + ", win AS (SELECT *, CAST(floor(tm / 21600000000) AS BIGINT) AS id FROM trig)" + GRADED
+TRAILING = FLOWS + """, win AS (
+  SELECT o.*, t.ord AS id FROM trig t JOIN trig o ON o.key = t.key AND o.tm BETWEEN t.tm - 21600000000 AND t.tm)""" + GRADED
+
+INCIDENTS = {
+    "incidents_tumbling": _with(TUMBLING, f"SELECT id AS bucket, {INCIDENT_COLUMNS} FROM incident"),
+    "incidents_trailing": _with(TRAILING, f"SELECT id AS alert_ord, {INCIDENT_COLUMNS} FROM incident"),
+    "incident_top_labels": _with(TUMBLING, """
+SELECT severity, label, count(*) AS incidents, CAST(sum(n) AS BIGINT) AS alerts FROM (
+  SELECT i.severity, p.label, p.n FROM incident i JOIN per_label p USING (key, id)
+  QUALIFY row_number() OVER (PARTITION BY key, id ORDER BY p.n DESC, p.first_at, p.first_ord) <= 3)
+GROUP BY severity, label"""),
+    "alert_level_histogram": _with(FLOWS, "SELECT alert_level, label, count(*) AS n FROM leveled GROUP BY alert_level, label"),
+}
+
+ORACLE: dict[str, str] = {**CORRELATION, **TRAPS, **INCIDENTS}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatweave.functions.fixed import ENTITY_FIELDS
+from threatweave.operators.gates import alert_level
 from threatweave.session import use_utc
 
 EVENT_RULES = {
@@ -80,3 +81,59 @@ def events_in(df: DataFrame) -> DataFrame:
 
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_in(table(spark, sf_dir, "events"))
+
+
+def trap_events_in(df: DataFrame) -> DataFrame:
+    """``events`` rows as trap events: mostly by address, some by path, some local."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    local = F.col("event_type") == "purchase"
+    by_path = F.col("event_type") == "view"
+    action = (
+        F.when(F.col("event_type") == "signup", "service_connect").when(F.col("event_type") == "error", "canary_triggered")
+        .when(F.col("event_type") == "click", "file_read").when(F.col("event_type") == "view", "file_copy")
+        .otherwise("file_delete")
+    )
+    return df.select(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.col("event_id").alias("ord"),
+        F.concat(F.lit("trap-"), k.cast("string")).alias("trap_id"),
+        F.lit("file_share").alias("trap_type"),
+        action.alias("action"),
+        F.struct(
+            F.when(local, F.lit(None)).when(by_path, F.lit("")).otherwise(F.concat(F.lit("10.1.0."), F.col("user_id").cast("string"))).alias("remote_ip"),
+            F.when(local & (k >= 50), F.lit(None)).otherwise(F.concat(F.lit("/srv/share/"), k.cast("string"))).alias("file_path"),
+        ).alias("source"),
+        F.lit("HIGH").alias("severity"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+def trap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trap_events_in(table(spark, sf_dir, "events"))
+
+
+FLOW_LABELS = {"signup": "BENIGN", "error": "PortScan", "click": "DoS", "view": "WebAttack", "purchase": "BruteForce"}
+
+
+def flow_alerts_in(df: DataFrame) -> DataFrame:
+    """``events`` rows as scored flows, ten sources towards one destination."""
+    label = F.lit(None).cast("string")
+    for kind, name in FLOW_LABELS.items():
+        label = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(label)
+    p = F.least(F.lit(1.0), F.col("value") / 100)
+    flows = df.select(
+        "event_id",
+        F.col("event_id").alias("ord"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("ts"),
+        F.concat(F.lit("10.1.0."), F.pmod("user_id", F.lit(10)).cast("string")).alias("src_ip"),
+        F.lit("10.0.0.1").alias("dst_ip"),
+        F.get_json_object("props", "$.k").cast("int").alias("dst_port"),
+        label.alias("label"),
+        p.alias("p_attack"),
+        (F.col("value") / 50).alias("margin"),
+    )
+    return flows.withColumn("alert_level", alert_level(F.col("label"), F.col("p_attack")))
+
+
+def flow_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_alerts_in(table(spark, sf_dir, "events"))
