@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Python's str.strip()/split() whitespace, spelled for Java and RE2 alike.
@@ -13,9 +13,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+
+
 def strip(c: str | Column) -> Column:
     """Trim every kind of whitespace from both ends."""
-    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def blank_to_null(c: str | Column) -> Column:
@@ -67,3 +72,16 @@ def any_of(column: Column, pieces) -> Column:
     for piece in pieces:
         out = out | F.contains(column, F.lit(piece))
     return out
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once.
+
+    A filter on a plain column is pushed below its projection, expression and
+    all, and a chain of such projections multiplies. ``inline_outer`` stops that:
+    what reads the new columns reads their values. (Plain ``inline`` would add a
+    non-empty filter that repeats the expressions once more.)
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    # The projection shares common subexpressions, the generator would not.
+    return df.withColumn("_stage", row).select("*", F.inline_outer("_stage")).drop("_stage")

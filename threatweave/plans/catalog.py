@@ -11,6 +11,7 @@ from threatweave.operators import incidents as I
 from threatweave.operators import rules as R
 from threatweave.operators import sessions as S
 from threatweave.operators import store
+from threatweave.operators.normalize import contract_violations
 from threatweave.plans import correlate as C
 from threatweave.plans import flows
 from threatweave.plans import tables as T
@@ -100,4 +101,51 @@ INCIDENTS = {
     "alert_level_histogram": lambda s, d: T.flow_alerts(s, d).groupBy("alert_level", "label").agg(F.count("*").alias("n")),
 }
 
-QUERIES: dict[str, Query] = {**CORRELATION, **TRAPS, **INCIDENTS}
+# Phishing, then a port scan within the hour; the payloads share no entity.
+REPLAY_RULES = {
+    "rules": [
+        {
+            "id": "N001", "name": "phish_then_scan", "severity": "high", "confidence": 0.8, "max_span": "1h",
+            "sequence": [
+                {"event_type": "phishing_detected", "where": {"tag_any": ["x"], "min_confidence": 0.5}},
+                {"event_type": "port_scan", "within": "1h"},
+            ],
+        }
+    ]
+}
+# Stands in for "now", so a lenient run can be repeated.
+NOW_US = 1_706_745_600_000_000
+
+
+def _normal(spark, d, strict):
+    return C.split_rejects(C.normalized(T.raw_events(spark, d), strict, F.timestamp_micros(F.lit(NOW_US))))
+
+
+def _adapted(spark, d):
+    """Event type, source and confidence each adapter settles on."""
+    good = _normal(spark, d, False)[0]
+    return good.groupBy("source", "event_type").agg(
+        F.count("*").alias("n"), F.count("entities.ip").alias("ips"), F.count("entities.url").alias("urls"),
+        F.count("entities.domain").alias("domains"), F.count("entities.email_from").alias("senders"),
+    )
+
+
+def _contract(spark, d):
+    good = contract_violations(_normal(spark, d, True)[0])
+    return good.agg(F.count("*").alias("events"), F.count_if(F.size("violations") > 0).alias("violating"))
+
+
+NORMALIZE = {
+    "normalize_strict": lambda s, d: C.event_rows(_normal(s, d, True)[0]),
+    "normalize_lenient": lambda s, d: C.event_rows(_normal(s, d, False)[0]),
+    "normalize_rejects": lambda s, d: _normal(s, d, True)[1].select("ord", "error"),
+    "normalize_rejects_lenient": lambda s, d: _normal(s, d, False)[1].select("ord", "error"),
+    "adapt_kinds": _adapted,
+    "event_contract": _contract,
+    "replay_counters": lambda s, d: C.replay(T.raw_events(s, d), REPLAY_RULES)[2],
+    "replay_alerts": lambda s, d: C.replay(T.raw_events(s, d), REPLAY_RULES)[0].select(
+        "rule_id", "start_ord", "completion_ord", "key_entity", F.round("confidence", 9).alias("confidence"),
+    ),
+}
+
+QUERIES: dict[str, Query] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE}

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatweave.functions.fixed import ENTITY_FIELDS
+from threatweave.functions.raw import with_fields
 from threatweave.operators import alerts as A
+from threatweave.operators.adapt import adapt_events
+from threatweave.operators.normalize import normalize_events, run_counters, split_rejects
 from threatweave.operators.rules import rule_tables
 from threatweave.operators.sequence import match_sequences
 
@@ -80,3 +83,27 @@ def rule_report(alerts: DataFrame) -> DataFrame:
         F.count("*").alias("alerts"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
         F.max("severity_score").alias("max_severity_score"),
     )
+
+
+def normalized(raw: DataFrame, strict: bool, now=None) -> DataFrame:
+    """Adapt by kind and normalise; rows without a source are errors."""
+    return normalize_events(adapt_events(with_fields(raw)), source=None, strict=strict, now=now)
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """Normalised events with nested columns as text."""
+    blank = F.lit("")
+    return events.select(
+        "ord", "event_type", "source", "severity", F.round("confidence", 9).alias("confidence"),
+        F.unix_micros("ts").alias("ts_us"), F.coalesce("stage", blank).alias("stage"),
+        F.array_join("tags", "|").alias("tags"),
+        *[F.coalesce(f"entities.{f}", blank).alias(f) for f in ENTITY_FIELDS],
+    )
+
+
+def replay(raw: DataFrame, ruleset: dict, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw events to (alerts, rejects, counters)."""
+    norm = normalized(raw, strict)
+    good, rejects = split_rejects(norm)
+    alerts = correlate(good, ruleset)
+    return alerts, rejects, run_counters(norm, alerts)

@@ -232,4 +232,82 @@ GROUP BY severity, label"""),
     "alert_level_histogram": _with(FLOWS, "SELECT alert_level, label, count(*) AS n FROM leveled GROUP BY alert_level, label"),
 }
 
-ORACLE: dict[str, str] = {**CORRELATION, **TRAPS, **INCIDENTS}
+# What each producer's payload must turn into, worked out case by case.
+NORMAL = """
+src AS (
+  SELECT event_id AS ord, event_type AS e, value, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         epoch_us(ts) AS us, (epoch_us(ts) // 1000000) * 1000000 AS whole,
+         CAST(least(10, 1 + floor(value / 50)) AS INTEGER) AS sev
+  FROM events),
+cases AS (
+  SELECT ord, e, k,
+    CASE e WHEN 'error' THEN 'port_scan' WHEN 'click' THEN 'phishing_detected' WHEN 'view' THEN 'domain_flagged' ELSE e END AS event_type,
+    CASE e WHEN 'error' THEN 'network_analysis' WHEN 'click' THEN 'phishing_detector' WHEN 'view' THEN 'url_intel' ELSE 'raw' END AS source,
+    CASE e WHEN 'signup' THEN us WHEN 'error' THEN us WHEN 'click' THEN whole - 19800000000
+           WHEN 'view' THEN CASE WHEN k % 10 <> 0 THEN whole END ELSE CASE WHEN k >= 10 THEN whole END END AS ts_us,
+    CASE e WHEN 'click' THEN 3 WHEN 'view' THEN 3 WHEN 'purchase' THEN k ELSE sev END AS severity,
+    CASE e WHEN 'signup' THEN value / 500 WHEN 'error' THEN value / 200 WHEN 'click' THEN CAST('0.' || k AS DOUBLE)
+           WHEN 'view' THEN 0.7 ELSE k / 50 END AS confidence,
+    CASE WHEN e = 'click' THEN 'delivery' ELSE '' END AS stage,
+    CASE e WHEN 'signup' THEN 'a|b|c' WHEN 'click' THEN 'x|y' ELSE '' END AS tags,
+    CASE WHEN e = 'error' THEN '10.0.0.' || k ELSE '' END AS src_ip,
+    CASE WHEN e = 'error' THEN '10.0.' || (k * 3) || '.1' ELSE '' END AS dst_ip,
+    CASE WHEN e = 'view' AND k < 30 THEN '10.9.8.' || k ELSE '' END AS ip,
+    CASE e WHEN 'signup' THEN 'host' || k || '.example.com' WHEN 'click' THEN 'evil' || k || '.example.net'
+           WHEN 'view' THEN CASE WHEN k < 30 THEN '' WHEN k < 60 THEN 'bad' || k || '.example.org' ELSE 'bad.example.org' END
+           WHEN 'purchase' THEN 'web' || k || '.corp.example' ELSE '' END AS domain,
+    CASE e WHEN 'signup' THEN 'HTTPS://Host' || k || '.Example.com:8080/p' WHEN 'click' THEN 'http://evil' || k || '.example.net/login'
+           WHEN 'view' THEN CASE WHEN k >= 60 THEN 'https://bad.example.org/' || k ELSE '' END ELSE '' END AS url,
+    CASE WHEN e IN ('signup', 'purchase') THEN CAST(user_id AS VARCHAR) ELSE '' END AS "user",
+    CASE WHEN e = 'purchase' THEN 'web' || k || '.corp.example' ELSE '' END AS host,
+    CASE WHEN e = 'click' THEN 'a' || user_id || '@x.org' ELSE '' END AS email_from,
+    CASE WHEN e = 'click' THEN 'b@y.org' ELSE '' END AS email_to
+  FROM src),
+judged AS (
+  SELECT *, CASE WHEN e = 'purchase' AND k >= 90 THEN 'unknown kind: mystery'
+                 WHEN e = 'view' AND ts_us IS NULL THEN 'missing timestamp'
+                 WHEN ts_us IS NULL THEN 'invalid timestamp'
+                 WHEN confidence > 1 THEN 'confidence out of range'
+                 WHEN severity NOT BETWEEN 1 AND 10 THEN 'severity out of range'
+                 WHEN e = 'error' AND k * 3 > 255 THEN 'malformed ip' END AS error
+  FROM cases),
+strict_ok AS (SELECT * FROM judged WHERE error IS NULL),
+lenient_ok AS (
+  SELECT * REPLACE (coalesce(ts_us, 1706745600000000) AS ts_us, least(10, greatest(1, severity)) AS severity, least(1.0, confidence) AS confidence,
+                    CASE WHEN e = 'error' AND k * 3 > 255 THEN '' ELSE src_ip END AS src_ip,
+                    CASE WHEN e = 'error' AND k * 3 > 255 THEN '' ELSE dst_ip END AS dst_ip)
+  FROM judged WHERE error IS NULL OR error NOT IN ('unknown kind: mystery', 'invalid timestamp'))"""
+
+EVENT_COLUMNS = """ord, event_type, source, severity, round(confidence, 9) AS confidence, ts_us, stage, tags,
+  src_ip, dst_ip, ip, domain, url, "user", host, email_from, email_to"""
+
+REPLAYED = NORMAL + """,
+pair AS (
+  SELECT s.ord AS o0, s.ts_us AS t0, c.ord AS o1, c.ts_us AS t1, s.confidence AS c0, c.confidence AS c1, c.dst_ip
+  FROM strict_ok s JOIN strict_ok c ON c.ts_us BETWEEN s.ts_us AND s.ts_us + 3600000000
+  WHERE s.event_type = 'phishing_detected' AND s.confidence >= 0.5 AND c.event_type = 'port_scan'
+  QUALIFY row_number() OVER (PARTITION BY s.ord ORDER BY c.ts_us, c.ord) = 1),
+kept AS (
+  SELECT *, CASE WHEN t0 = t1 THEN greatest(o0, o1) ELSE o1 END AS completion_ord FROM pair
+  QUALIFY row_number() OVER (PARTITION BY dst_ip, floor(t0 / 600000000)
+                             ORDER BY t1, CASE WHEN t0 = t1 THEN greatest(o0, o1) ELSE o1 END, t0, o0) = 1)"""
+
+NORMALIZE = {
+    "normalize_strict": _with(NORMAL, f"SELECT {EVENT_COLUMNS} FROM strict_ok"),
+    "normalize_lenient": _with(NORMAL, f"SELECT {EVENT_COLUMNS} FROM lenient_ok"),
+    "normalize_rejects": _with(NORMAL, "SELECT ord, error FROM judged WHERE error IS NOT NULL"),
+    "normalize_rejects_lenient": _with(NORMAL, "SELECT ord, error FROM judged WHERE error IN ('unknown kind: mystery', 'invalid timestamp')"),
+    "adapt_kinds": _with(NORMAL, """
+SELECT source, event_type, count(*) AS n, count(*) FILTER (ip <> '') AS ips, count(*) FILTER (url <> '') AS urls,
+       count(*) FILTER (domain <> '') AS domains, count(*) FILTER (email_from <> '') AS senders
+FROM lenient_ok GROUP BY source, event_type"""),
+    "event_contract": _with(NORMAL, "SELECT count(*) AS events, 0 AS violating FROM strict_ok"),
+    "replay_counters": _with(REPLAYED, """
+SELECT (SELECT count(*) FROM judged) AS total_input, (SELECT count(*) FROM strict_ok) AS normalized_ok,
+       (SELECT count(*) FROM judged WHERE error IS NOT NULL) AS normalized_failed, (SELECT count(*) FROM kept) AS alerts_emitted"""),
+    "replay_alerts": _with(REPLAYED, """
+SELECT 'N001' AS rule_id, o0 AS start_ord, completion_ord, 'entities.dst_ip=' || dst_ip AS key_entity,
+       round(0.6 * 0.8 + 0.4 * CASE WHEN c1 > 0 THEN 2 / (1 / c0 + 1 / c1) ELSE c0 END, 9) AS confidence FROM kept"""),
+}
+
+ORACLE: dict[str, str] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatweave.functions.fixed import ENTITY_FIELDS
@@ -137,3 +137,58 @@ def flow_alerts_in(df: DataFrame) -> DataFrame:
 
 def flow_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_alerts_in(table(spark, sf_dir, "events"))
+
+
+def _json(**parts: Column) -> Column:
+    """JSON object text of ready-made JSON values; NULL ones are left out."""
+    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in parts.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+
+
+def raw_events_in(df: DataFrame) -> DataFrame:
+    """``events`` rows as payloads of five producers, good and bad ones alike."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kt = k.cast("string")
+    sev = F.least(F.lit(10), (1 + F.floor(F.col("value") / 50)).cast("int"))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    plain = _json(
+        event_type=F.lit('" signup "'), timestamp=_quoted(F.col("ts")), user=_quoted(F.col("user_id")),
+        url=_quoted(F.concat(F.lit("HTTPS://Host"), kt, F.lit(".Example.com:8080/p"))),
+        severity=_quoted(sev), confidence=(F.col("value") / 500).cast("string"), tags=F.lit('"a, b,,c"'),
+    )
+    network = _json(
+        alert_type=F.lit('"port_scan"'), time=(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("string"),
+        source_ip=_quoted(F.concat(F.lit(" 10.0.0."), kt)), dest_ip=_quoted(F.concat(F.lit("10.0."), (k * 3).cast("string"), F.lit(".1"))),
+        score=(F.col("value") / 200).cast("string"), sev=(sev + F.lit(0.7)).cast("string"),
+    )
+    phishing = _json(
+        is_phishing=F.lit("true"), ts=_quoted(F.concat(at, F.lit("+05:30"))), sender=_quoted(F.concat(F.lit(" a"), F.col("user_id").cast("string"), F.lit("@x.org "))),
+        recipient=F.lit('"b@y.org"'), link=_quoted(F.concat(F.lit("http://evil"), kt, F.lit(".example.net/login"))),
+        risk_score=_quoted(F.concat(F.lit("0."), kt)), tags=F.lit('["x"," ","y"]'), stage=F.lit('"delivery"'),
+    )
+    intel = _json(
+        indicator=_quoted(
+            F.when(k < 30, F.concat(F.lit("10.9.8."), kt)).when(k < 60, F.concat(F.lit("bad"), kt, F.lit(".example.org")))
+            .otherwise(F.concat(F.lit("https://bad.example.org/"), kt))
+        ),
+        type=F.lit('"domain_flagged"'), event_time=F.when(k % 10 != 0, _quoted(F.concat(at, F.lit("Z")))), risk_score=F.lit("0.7"),
+    )
+    other = _json(
+        name=F.lit('"purchase"'), datetime=F.when(k < 10, F.lit('"not a time"')).otherwise(_quoted(at)), level=kt,
+        probability=(k / 50).cast("string"), host=_quoted(F.concat(F.lit("web"), kt, F.lit(".corp.example"))), account=F.col("user_id").cast("string"),
+    )
+    e = F.col("event_type")
+    return df.select(
+        F.col("event_id").alias("ord"),
+        F.when(e == "signup", "raw").when(e == "error", "network").when(e == "click", "phishing").when(e == "view", "url_intel")
+        .when(k >= 90, "mystery").otherwise("raw").alias("kind"),
+        F.when(e == "signup", plain).when(e == "error", network).when(e == "click", phishing).when(e == "view", intel).otherwise(other).alias("raw"),
+    )
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events_in(table(spark, sf_dir, "events"))
