@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatweave.functions.fixed import CANONICAL_CLASSES, URL_FEATURES
+from threatweave.operators import evaluate as V
+from threatweave.operators import features as X
 from threatweave.operators import incidents as I
+from threatweave.operators import labels as L
+from threatweave.operators import profile as P
 from threatweave.operators import rules as R
 from threatweave.operators import sessions as S
+from threatweave.operators import splits as G
 from threatweave.operators import store
+from threatweave.operators import text as M
+from threatweave.operators import urls as U
+from threatweave.operators.gates import with_alert_levels
 from threatweave.operators.normalize import contract_violations
 from threatweave.plans import correlate as C
 from threatweave.plans import flows
 from threatweave.plans import tables as T
 from threatweave.plans import traps
+from threatweave.session import local_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,4 +158,157 @@ NORMALIZE = {
     ),
 }
 
-QUERIES: dict[str, Query] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE}
+
+
+def _labels(spark, d):
+    ds = T.flow_dataset(spark, d)
+    made = [
+        (L.clean_label("Label", "validator"), "validator"), (L.clean_label("Label", "index"), "indexed"),
+        (F.coalesce(L.canonical_label("Label", "strict"), F.lit("-")), "strict"), (L.canonical_label("Label"), "permissive"),
+    ]
+    return ds.groupBy(*[c.alias(n) for c, n in made]).agg(F.count("*").alias("n"))
+
+
+def _stats(spark, d):
+    ds = T.flow_dataset(spark, d)
+    s = P.column_stats(ds, "file")
+    return s.select("file", "column", "rows", "missing", "infinite", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c) for c in ("min", "max")])
+
+
+def _constant(spark, d):
+    return P.constant_columns(P.over_files(P.column_stats(T.flow_dataset(spark, d), "file")))
+
+
+def _verdict(spark, d):
+    v = P.quality_gate(T.flow_dataset(spark, d), "Label", "file")
+    return v.withColumn("failures", F.array_join("failures", ","))
+
+
+def _file_index(spark, d):
+    ix = P.file_label_index(T.flow_dataset(spark, d), "Label", "file")
+    return ix.withColumn("canonical_present", F.array_join("canonical_present", ","))
+
+
+def _kept(spark, d):
+    kept, unknown = L.keep_canonical(T.flow_dataset(spark, d), "Label")
+    return unknown.select(F.col("Label").alias("label"), "n").unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("(kept)").alias("label"), "n"))
+
+
+PROFILE = {
+    "label_canonical": _labels,
+    "label_keep_canonical": _kept,
+    "label_distribution": lambda s, d: P.label_distribution(T.flow_dataset(s, d), "Label", "file").na.fill("(all)", ["file"]),
+    "unmapped_labels": lambda s, d: P.unmapped_labels(T.flow_dataset(s, d), "Label", 20),
+    "column_stats": _stats,
+    "constant_columns": _constant,
+    "leakage_columns": lambda s, d: P.leakage_columns(T.flow_dataset(s, d), "Label"),
+    "quality_gate": _verdict,
+    "file_label_index": _file_index,
+    "dataset_labels": lambda s, d: P.dataset_labels(T.flow_dataset(s, d), "Label"),
+}
+
+
+def _weekday(spark, d):
+    return G.temporal_split(T.labelled_orders(spark, d), "o_orderdate", "o_orderkey")
+
+
+# Minimum rows for training, scaled down to the given tables.
+FEW = {"DDoS": 2_500, "DoS": 500, "PortScan": 100_000, "BENIGN": 1_000}
+
+
+def _quota(spark, d):
+    return G.quota_split(T.labelled_orders(spark, d), "label", "o_orderkey", min_train=FEW)
+
+
+def _quota_plan(spark, d):
+    counts = T.labelled_orders(spark, d).filter(F.col("label") != "Odd").groupBy("label").agg(F.count("*").alias("n"))
+    return G.quota_plan(counts, min_train=FEW)
+
+
+SPLITS = {
+    "split_weekday": lambda s, d: _weekday(s, d).select("o_orderkey", "split"),
+    "split_counts": lambda s, d: G.split_counts(_weekday(s, d), "label"),
+    "split_filename": lambda s, d: G.split_counts(G.filename_split(T.labelled_orders(s, d), "file", "o_orderkey"), "label"),
+    "quota_plan": _quota_plan,
+    "quota_split": lambda s, d: _quota(s, d).select("o_orderkey", "split"),
+    "quota_split_manifest": lambda s, d: G.split_manifest(_quota(s, d), "label"),
+    "split_coverage": lambda s, d: G.split_checks(_quota(s, d).withColumn("label", F.when(F.col("split") == "test", F.concat(F.lit("t:"), "label")).otherwise(F.col("label"))), "label"),
+    "sample_rows": lambda s, d: G.sample_rows(T.scored_orders(s, d), "o_orderkey", 5000).select("o_orderkey", "label", "prediction"),
+}
+
+
+def _fitted(spark, d):
+    """Stats of features that hold missing and infinite values."""
+    ds = T.flow_dataset(spark, d).drop("file", "class name")
+    rows = [(x["feature"], round(x["median"], 6), round(x["mean"], 4), round(x["std"], 4)) for x in X.fit_features(ds, "Label")]
+    return local_table(spark, rows, "feature string, median double, mean double, std double")
+
+
+def _standardized(spark, d):
+    ds = T.vectors(spark, d)
+    table = X.apply_features(ds, X.fit_features(ds.drop("vec_id"), "label"), ["vec_id"])
+    return table.select("vec_id", F.posexplode("features").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 3).alias("x"))
+
+
+def _round(df, *names):
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+def _thresholds(spark, d, grid, macro):
+    scored = T.scored_orders(spark, d).select(F.col("prediction").alias("class"), "score", (F.col("label") == F.col("prediction")).alias("hit"))
+    return _round(V.search_thresholds(scored, grid, macro), "threshold", "f1")
+
+
+EVALUATE = {
+    "feature_fit": _fitted,
+    "feature_standardize": _standardized,
+    "class_weights": lambda s, d: _round(V.class_weights(T.labelled_orders(s, d)), "weight"),
+    "confusion": lambda s, d: V.confusion(T.scored_orders(s, d)),
+    "confusion_normalized": lambda s, d: _round(V.normalized_confusion(V.confusion(T.scored_orders(s, d))), "share"),
+    "per_class_metrics": lambda s, d: _round(V.class_metrics(T.scored_orders(s, d), labels=CANONICAL_CLASSES), "precision", "recall", "f1"),
+    "macro_weighted_f1": lambda s, d: _round(V.f1_summary(V.class_metrics(T.scored_orders(s, d))), "macro_f1", "weighted_f1"),
+    "macro_f1_fixed_labels": lambda s, d: _round(V.f1_summary(V.class_metrics(T.scored_orders(s, d), labels=CANONICAL_CLASSES)), "macro_f1", "weighted_f1"),
+    "binary_report": lambda s, d: _round(V.binary_report(T.scored_orders(s, d), "label", "prediction"), "precision", "recall", "f1"),
+    "threshold_search": lambda s, d: _thresholds(s, d, V.CLASS_GRID, False),
+    "gate_threshold_search": lambda s, d: _thresholds(s, d, V.GATE_GRID, True),
+    "alert_levels": lambda s, d: with_alert_levels(T.scored_orders(s, d), "prediction", "score").groupBy("prediction", "alert_level").agg(F.count("*").alias("n")),
+}
+
+
+def _url_features(spark, d):
+    made = U.feature_vector(U.url_features(T.urls(spark, d)))
+    ratios = ("digit_ratio", "letter_ratio", "special_char_ratio", "phishing_keyword_ratio", "entropy")
+    names = [f for f in URL_FEATURES if f != "tld_encoded"]
+    return made.select("page_id", "kind", "registered_domain", "tld", *[F.round(n, 9).alias(n) if n in ratios else F.col(n) for n in names])
+
+
+def _url_risk(spark, d):
+    scored = U.url_risk(U.url_features(T.urls(spark, d)))
+    return scored.select(
+        "page_id", "kind", "risk_score", "prediction", "confidence", "risk_level", "recommendation",
+        F.array_join("detection_reasons", "|").alias("reasons"),
+    )
+
+
+def _per_message(make):
+    return lambda s, d: T.messages(s, d).select("conv_id", "turn", make(F.col("text")).alias("out"))
+
+
+URL_TEXT = {
+    "url_features": _url_features,
+    "url_tld_codes": lambda s, d: U.url_features(T.urls(s, d)).groupBy("tld", "tld_encoded").agg(F.count("*").alias("n")),
+    "url_risk": _url_risk,
+    "url_quick_risk": lambda s, d: U.quick_features(T.urls(s, d)).select("page_id", "kind", U.risk_score(F.col("p")).alias("risk_score"), "num_subdomains", "is_high_risk_tld"),
+    "url_batch_stats": lambda s, d: U.url_batch_stats(U.url_risk(U.url_features(T.urls(s, d)))),
+    "url_host_rollup": lambda s, d: U.url_host_rollup(U.url_risk(U.url_features(T.urls(s, d)))),
+    "url_patterns": lambda s, d: U.url_pattern_flags(T.urls(s, d)).select("page_id", "kind", F.array_join("url_patterns", ",").alias("patterns")),
+    "text_scrub": _per_message(M.scrub_text),
+    "text_tokens": _per_message(M.prepare_text),
+    "text_patterns": _per_message(lambda c: F.array_join(M.text_patterns(c), ",")),
+    "text_keywords": _per_message(lambda c: F.array_join(M.keyword_hits(c), ",")),
+    "text_phrases": _per_message(lambda c: F.array_join(M.email_patterns(c), ",")),
+    "text_pattern_totals": lambda s, d: T.table(s, d, "documents").select("lang", F.explode(M.text_patterns("text")).alias("pattern")).groupBy("lang", "pattern").agg(F.count("*").alias("n")),
+    "text_verdict": lambda s, d: M.text_verdict(T.messages(s, d).withColumn("p", F.pmod(F.length("text"), F.lit(1001)) / 1000)).select("conv_id", "turn", "prediction", "risk_score"),
+}
+
+QUERIES: dict[str, Query] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE, **PROFILE, **SPLITS, **EVALUATE, **URL_TEXT}

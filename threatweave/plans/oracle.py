@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from threatweave.plans.oracle_flow import FLOW_ORACLE
+
 EVENTS = """
 ev AS (
   SELECT event_id AS ord, epoch_us(ts) AS at, event_type,
@@ -310,4 +312,4 @@ SELECT 'N001' AS rule_id, o0 AS start_ord, completion_ord, 'entities.dst_ip=' ||
        round(0.6 * 0.8 + 0.4 * CASE WHEN c1 > 0 THEN 2 / (1 / c0 + 1 / c1) ELSE c0 END, 9) AS confidence FROM kept"""),
 }
 
-ORACLE: dict[str, str] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE}
+ORACLE: dict[str, str] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE, **FLOW_ORACLE}

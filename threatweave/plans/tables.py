@@ -192,3 +192,83 @@ def raw_events_in(df: DataFrame) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_events_in(table(spark, sf_dir, "events"))
+
+
+def flow_dataset_in(df: DataFrame) -> DataFrame:
+    """``lineitem`` rows as labelled flows with the usual dirt in labels and numbers."""
+    no, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    label = (
+        F.when((no == 1), "  Benign ").when((no == 2) & (flag == "A"), F.lit(None)).when(no == 2, "BENIGN")
+        .when((no == 3) & (flag == "R"), "DoS other").when(no == 3, "DoS Hulk").when(no == 4, "FTP-Patator")
+        .when((no == 5) & (flag == "N"), "Web Attack � Sql Injection").when(no == 5, "Web  Attack – XSS")
+        .when((no == 6) & (flag == "R"), "Botnet").when(no == 6, "Bot")
+        .when(flag == "A", "Unknown thing").otherwise("WebAttack- Brute Force")
+    )
+    return df.select(
+        F.concat(F.lit("part-"), "l_linestatus", F.lit(".parquet")).alias("file"),
+        label.alias("Label"),
+        F.col("l_quantity").alias("quantity"),
+        F.when(F.col("l_tax") == 0.08, F.lit(float("nan"))).when(F.col("l_tax") > 0, F.col("l_tax")).alias("tax"),
+        F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(F.col("l_quantity") / F.col("l_discount")).alias("rate"),
+        F.col("l_extendedprice").alias("price"),
+        F.lit(7).alias("protocol"),
+        F.col("l_partkey").alias("attack port"),
+        flag.alias("class name"),
+    )
+
+
+def flow_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_dataset_in(table(spark, sf_dir, "lineitem"))
+
+
+def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` rows with a class by priority and status."""
+    p, st = F.substring("o_orderpriority", 1, 1), F.col("o_orderstatus")
+    label = (
+        F.when(p == "1", "DDoS").when(p == "2", "DoS").when((p == "3") & (st == "P"), "Odd")
+        .when(p == "4", "PortScan").otherwise("BENIGN")
+    )
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", "o_totalprice", label.alias("label"),
+        F.when(p == "1", "Friday-flows").otherwise("Monday-flows").alias("file"),
+    )
+
+
+def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled orders with a made prediction and score that depend on the price alone."""
+    price = F.col("o_totalprice")
+    guess = F.when(price < 100_000, "BENIGN").when(price < 200_000, "DDoS").when(price < 300_000, "DoS").when(price < 350_000, "PortScan").otherwise(F.col("label"))
+    return labelled_orders(spark, sf_dir).withColumns({"prediction": guess, "score": F.pmod(F.col("o_orderkey") * 37, F.lit(101)) / 100})
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as numeric columns e0, e1, … with a class label."""
+    df = table(spark, sf_dir, "embeddings")
+    dims = [F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(64)]
+    return df.select("vec_id", F.col("label").cast("string").alias("label"), *dims)
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages.url`` as they are and with the traits that matter, with a made probability."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    kinds = F.array(
+        F.col("url"),
+        F.replace("url", F.lit(".example."), F.lit(".secure-login.")),
+        F.concat(F.lit("http://10.1.2."), F.pmod("page_id", F.lit(256)).cast("string"), F.lit(":8080//verify?account=1&b=&c=2&c=3")),
+        F.concat(host, F.lit("/free-gift/paypal;p=1?x=%41@y")),
+        F.concat(F.lit("https://bit.ly.shop.co.uk/a/b/c/"), host, F.lit("#confirm")),
+        F.concat(F.lit("https://user:pw@a.b.c.d.update-bank.xyz/"), F.repeat("url", 4)),
+    )
+    return pages.select("page_id", F.posexplode(kinds).alias("kind", "url")).withColumn("p", F.pmod(F.length("url") * 13, F.lit(101)) / 100)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns, each followed by what mail is full of."""
+    t = table(spark, sf_dir, "conversations")
+    tail = F.concat(
+        F.lit(" Dear Customer, click here within 24 hours: HTTPS://evil-"), F.col("turn").cast("string"),
+        F.lit(".example/x?y=1 or mail a.b@c.example, call +1 (555) 010-"), (F.col("conv_id") % 9000 + 1000).cast("string"),
+        F.lit(". Verify your account_id 42 now, I am not joking!"),
+    )
+    return t.select("conv_id", "turn", "role", F.when(F.col("turn") % 2 == 0, F.concat("text", tail)).otherwise(F.col("text")).alias("text"))
