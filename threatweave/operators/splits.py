@@ -137,4 +137,4 @@ def sample_rows(df: DataFrame, key: str, n: int = 5000, seed: int = 42) -> DataF
 
 def split_manifest(df: DataFrame, label: str) -> DataFrame:
     """Rows per label with one column per split."""
-    return df.groupBy(F.col(label).cast("string").alias("label")).pivot("split", ["train", "val", "test"]).agg(F.count("*")).na.fill(0)
+    return df.groupBy(F.col(label).cast("string").alias("label")).pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1))).na.fill(0)

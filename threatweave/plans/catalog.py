@@ -12,6 +12,7 @@ from threatweave.operators import evaluate as V
 from threatweave.operators import features as X
 from threatweave.operators import incidents as I
 from threatweave.operators import labels as L
+from threatweave.operators import models as O
 from threatweave.operators import profile as P
 from threatweave.operators import rules as R
 from threatweave.operators import sessions as S
@@ -240,7 +241,7 @@ SPLITS = {
 def _fitted(spark, d):
     """Stats of features that hold missing and infinite values."""
     ds = T.flow_dataset(spark, d).drop("file", "class name")
-    rows = [(x["feature"], round(x["median"], 6), round(x["mean"], 4), round(x["std"], 4)) for x in X.fit_features(ds, "Label")]
+    rows = [(x["feature"], round(x["median"], 6), round(x["mean"], 7), round(x["std"], 7)) for x in X.fit_features(ds, "Label")]
     return local_table(spark, rows, "feature string, median double, mean double, std double")
 
 
@@ -311,4 +312,41 @@ URL_TEXT = {
     "text_verdict": lambda s, d: M.text_verdict(T.messages(s, d).withColumn("p", F.pmod(F.length("text"), F.lit(1001)) / 1000)).select("conv_id", "turn", "prediction", "risk_score"),
 }
 
-QUERIES: dict[str, Query] = {**CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE, **PROFILE, **SPLITS, **EVALUATE, **URL_TEXT}
+
+
+def _coefficients(spark, d):
+    train = flows.splits_of(T.model_rows(spark, d))[0]
+    return O.top_coefficients(O.train_ovr(train, "svm", maxIter=10), [f"e{i}" for i in range(64)], spark)
+
+
+def _text_nb(spark, d):
+    labels = T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
+    docs = T.table(spark, d, "documents").join(labels, "doc_id")
+    scored = M.text_verdict(O.score_text(O.train_text(docs), docs))
+    return scored.groupBy("prediction", "label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
+
+
+def _url_rf(spark, d):
+    """Forest that tells the made-up bad URL kinds from the others."""
+    made = U.feature_vector(U.url_features(T.urls(spark, d))).withColumn("label", F.col("kind").isin(2, 3, 5).cast("int"))
+    made = made.drop("p").persist()
+    scored = U.url_risk(O.score_urls(O.train_urls(made, trees=20, depth=5), made))
+    return scored.groupBy("prediction", "label", "risk_level").agg(F.count("*").alias("n"))
+
+
+# Short training: few rounds are enough to run every step over the whole tables.
+MODELS = {
+    "linear_svm": lambda s, d: flows.svm_report(T.model_rows(s, d), maxIter=10),
+    "ovr_logreg": lambda s, d: flows.logreg_report(T.model_rows(s, d), (0.1, 1.0), maxIter=10),
+    "gbt_ovr": lambda s, d: flows.boosted_report(T.model_rows(s, d), maxIter=2, maxDepth=3, minInstancesPerNode=5),
+    "two_stage_v1": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v1", maxIter=10),
+    "two_stage_v2": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v2", maxIter=10),
+    "two_stage_v3": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v3", maxIter=10),
+    "top_coefficients": _coefficients,
+    "text_nb": _text_nb,
+    "url_rf": _url_rf,
+}
+
+QUERIES: dict[str, Query] = {
+    **CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE, **PROFILE, **SPLITS, **EVALUATE, **URL_TEXT, **MODELS,
+}

@@ -176,8 +176,8 @@ QUALIFY row_number() OVER (PARTITION BY class ORDER BY {f1} DESC, threshold) = 1
 
 def _fit(name: str, expr: str) -> str:
     good = f"CASE WHEN isfinite({expr}::DOUBLE) THEN {expr}::DOUBLE END"
-    return f"""SELECT '{name}' AS feature, round(any_value(md), 6) AS median, round(avg(coalesce(v, md)), 4) AS mean,
-       round(CASE WHEN stddev_pop(coalesce(v, md)) = 0 THEN 1 ELSE stddev_pop(coalesce(v, md)) END, 4) AS std
+    return f"""SELECT '{name}' AS feature, round(any_value(md), 6) AS median, round(avg(coalesce(v, md)), 7) AS mean,
+       round(CASE WHEN stddev_pop(coalesce(v, md)) = 0 THEN 1 ELSE stddev_pop(coalesce(v, md)) END, 7) AS std
   FROM (SELECT {good} AS v, median({good}) OVER () AS md FROM ds)"""
 
 
@@ -241,7 +241,7 @@ feat AS (
          CASE WHEN address THEN 0 ELSE greatest(len(l) - w - 1, 0) END AS num_subdomains,
          length(regexp_replace(url, '[^\\p{{Nd}}]', '', 'g')) AS num_digits, length(regexp_replace(url, '[^\\p{{L}}]', '', 'g')) AS num_letters,
          length(regexp_replace(url, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS num_special_chars,
-         len(list_filter({KEYWORDS}, k -> contains(lower(url), k))) AS phishing_keyword_count,
+         len(list_filter({KEYWORDS}, lambda k: contains(lower(url), k))) AS phishing_keyword_count,
          len(string_split_regex(lower(url), '\\s+')) AS n_tokens
   FROM parted2),
 rd AS (SELECT *, domain || CASE WHEN suffix <> '' THEN '.' || suffix ELSE '' END AS registered_domain FROM feat),
@@ -268,7 +268,7 @@ SELECT page_id, kind, registered_domain, tld, url_length, length(registered_doma
        num_digits, num_letters, num_special_chars, round(num_digits / url_length, 9) AS digit_ratio, round(num_letters / url_length, 9) AS letter_ratio,
        round(special, 9) AS special_char_ratio, phishing_keyword_count, round(phishing_keyword_count / n_tokens, 9) AS phishing_keyword_ratio,
        starts_with(url, 'https://')::INTEGER AS is_https, starts_with(url, 'http://')::INTEGER AS is_http, (path NOT IN ('', '/'))::INTEGER AS has_path,
-       (query <> '')::INTEGER AS has_query, CASE WHEN query = '' THEN 0 ELSE len(list_distinct(list_transform(list_filter(string_split(query, '&'), x -> regexp_matches(x, '^[^=]*=.')), x -> split_part(x, '=', 1)))) END AS num_params,
+       (query <> '')::INTEGER AS has_query, CASE WHEN query = '' THEN 0 ELSE len(list_distinct(list_transform(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]*=.')), lambda x: split_part(x, '=', 1)))) END AS num_params,
        (num_subdomains > 0)::INTEGER AS has_subdomain, is_high_risk_tld, (tld IN {_list(K.LEGITIMATE_TLDS)})::INTEGER AS is_legitimate_tld, uses_ip_address,
        regexp_matches(url, '[@%&*]')::INTEGER AS has_suspicious_symbols, contains(path, '//')::INTEGER AS has_double_slash,
        starts_with(url, 'https://')::INTEGER AS has_ssl, length(path) - length(replace(path, '/', '')) AS url_depth,
@@ -326,10 +326,10 @@ TEXT = {
     "text_scrub": _with(MESSAGES, "SELECT conv_id, turn, scrubbed AS out FROM clean"),
     "text_tokens": _with(MESSAGES, rf"""
 SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(scrubbed, '[ .!?]+'),
-         w -> w <> '' AND NOT list_contains({_array(K.STOP_WORDS)}, w) AND (length(w) > 1 OR w IN ('a', 'i')) AND NOT regexp_full_match(w, '\p{{Nd}}+')), ' ') AS out
+         lambda w: w <> '' AND NOT list_contains({_array(K.STOP_WORDS)}, w) AND (length(w) > 1 OR w IN ('a', 'i')) AND NOT regexp_full_match(w, '\p{{Nd}}+')), ' ') AS out
 FROM clean"""),
     "text_patterns": _with(MESSAGES, f"SELECT conv_id, turn, array_to_string({_groups('text')}, ',') AS out FROM m"),
-    "text_keywords": _with(MESSAGES, f"SELECT conv_id, turn, array_to_string(list_filter({KEYWORDS}, k -> contains(lower(text), k)), ',') AS out FROM m"),
+    "text_keywords": _with(MESSAGES, f"SELECT conv_id, turn, array_to_string(list_filter({KEYWORDS}, lambda k: contains(lower(text), k)), ',') AS out FROM m"),
     "text_phrases": _with(MESSAGES, r"""
 SELECT conv_id, turn, concat_ws(',', CASE WHEN regexp_matches(text, 'Dear (?:Customer|User|Member|Valued)') THEN 'greeting_mismatch' END,
   CASE WHEN regexp_matches(text, 'Hello\s*(?:there|!|,)') THEN 'generic_greeting' END,

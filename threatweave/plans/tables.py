@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatweave.functions.fixed import ENTITY_FIELDS
+from threatweave.functions.columns import HASH_SPACE, stable_hash
+from threatweave.functions.fixed import CANONICAL_CLASSES, ENTITY_FIELDS
 from threatweave.operators.gates import alert_level
 from threatweave.session import use_utc
 
@@ -272,3 +273,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(". Verify your account_id 42 now, I am not joking!"),
     )
     return t.select("conv_id", "turn", "role", F.when(F.col("turn") % 2 == 0, F.concat("text", tail)).otherwise(F.col("text")).alias("text"))
+
+
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` with class names for labels, split by hash."""
+    df = table(spark, sf_dir, "embeddings")
+    names = F.array(*map(F.lit, CANONICAL_CLASSES))
+    label = F.get(names, F.least(F.col("label"), F.lit(len(CANONICAL_CLASSES) - 1)))
+    share = stable_hash(42, "vec_id") / HASH_SPACE
+    split = F.when(share < 0.2, "test").when(share < 0.35, "val").otherwise("train")
+    return df.select("vec_id", label.alias("label"), F.col("embedding").alias("features"), split.alias("split"))
