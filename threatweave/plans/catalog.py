@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,10 @@ from threatweave.plans import correlate as C
 from threatweave.plans import flows
 from threatweave.plans import tables as T
 from threatweave.plans import traps
-from threatweave.session import local_table
+from threatweave.session import local_table, shared_dir
+from threatweave.streaming import correlate as SC
+from threatweave.streaming import incidents as SI
+from threatweave.streaming import traps as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -347,6 +351,55 @@ MODELS = {
     "url_rf": _url_rf,
 }
 
+
+
+def _events_stream(spark, d):
+    """``events`` of a folder as a stream."""
+    schema = T.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _run_dir(spark) -> str:
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+def _to_table(spark, stream, name) -> DataFrame:
+    """Drain a stream into files of the shared folder and read them back."""
+    folder = f"{_run_dir(spark)}/{name}"
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start(folder)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)
+
+
+def _stream_sessions(spark, d):
+    ev = T.trap_events_in(_events_stream(spark, d)).withWatermark("ts", "10 minutes")
+    return traps.session_rows(_to_table(spark, ST.session_stream(ev, GAP), "sessions"))
+
+
+def _stream_dedupe(spark, d):
+    ev = T.trap_events_in(_events_stream(spark, d))
+    twice = ev.unionByName(ev)
+    return _to_table(spark, ST.dedupe_stream(twice.select("event_id", "action", "ts")), "once").groupBy("action").agg(F.count("*").alias("n"))
+
+
+def _stream_incidents(spark, d):
+    flow = T.flow_alerts_in(_events_stream(spark, d))
+    return flows.incident_table(_to_table(spark, SI.incident_stream(flow, WINDOW), "incidents"), "alert_ord")
+
+
+def _stream_alerts(spark, d):
+    folder = _run_dir(spark)
+    SC.correlate_stream(T.events_in(_events_stream(spark, d)), folder, T.EVENT_RULES, f"{folder}/state").awaitTermination()
+    return C.alert_keys(SC.read_alerts(spark, folder))
+
+
+STREAMS = {
+    "stream_trap_sessions": _stream_sessions,
+    "stream_event_dedupe": _stream_dedupe,
+    "stream_incidents_stateful": _stream_incidents,
+    "stream_sequence_alerts": _stream_alerts,
+}
+
 QUERIES: dict[str, Query] = {
-    **CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE, **PROFILE, **SPLITS, **EVALUATE, **URL_TEXT, **MODELS,
+    **CORRELATION, **TRAPS, **INCIDENTS, **NORMALIZE, **PROFILE, **SPLITS, **EVALUATE, **URL_TEXT, **MODELS, **STREAMS,
 }
