@@ -16,6 +16,7 @@ from threatweave.functions.columns import parse_window
 from threatweave.operators.alerts import build_alerts
 from threatweave.operators.rules import rule_tables
 from threatweave.operators.sequence import match_sequences
+from threatweave.streaming.batches import earlier_batches, write_batch
 
 SIGNATURE = ["rule_id", "key_entity", "bucket"]
 
@@ -28,12 +29,12 @@ def process_batch(batch: DataFrame, batch_id: int, folder: str, ruleset: dict, r
     """
     spark = batch.sparkSession
     events, alerts = f"{folder}/events", f"{folder}/alerts"
-    batch.write.mode("overwrite").parquet(f"{events}/batch-{batch_id}")
+    write_batch(batch, events, batch_id)
     mine = spark.read.schema(batch.schema).parquet(f"{events}/batch-{batch_id}")
     first = mine.agg(F.min("ts")).first()[0]
     if first is None:
         return
-    earlier = _batches(spark, events, batch_id, batch.schema)
+    earlier = earlier_batches(spark, events, batch_id, batch.schema)
     latest = earlier.agg(F.max("ts")).first()[0]
     reach = mine
     if latest is not None:
@@ -47,21 +48,9 @@ def process_batch(batch: DataFrame, batch_id: int, folder: str, ruleset: dict, r
     slots = chains.select("rule_id", "start_ord", F.explode("ords").alias("ord"))
     fresh = slots.join(mine.select("ord"), "ord", "left_semi").select("rule_id", "start_ord").distinct()
     found = build_alerts(chains.join(fresh, ["rule_id", "start_ord"], "left_semi"), reach, rules, steps, True, bucket)
-    known = _batches(spark, alerts, batch_id, found.schema).select(*SIGNATURE)
+    known = earlier_batches(spark, alerts, batch_id, found.schema).select(*SIGNATURE)
     found = found.join(known, SIGNATURE, "left_anti")
-    found.write.mode("overwrite").parquet(f"{alerts}/batch-{batch_id}")
-
-
-def _batches(spark, folder: str, before: int, schema) -> DataFrame:
-    """Rows of the batches written before one; empty when there are none."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(conf)
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    old = [n for n in names if n.startswith("batch-") and int(n.split("-")[1]) < before]
-    if not old:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in old])
+    write_batch(found, alerts, batch_id)
 
 
 def correlate_stream(events: DataFrame, folder: str, ruleset: dict, checkpoint: str, retention: str = "6h", bucket: str = "10m") -> StreamingQuery:

@@ -10,6 +10,10 @@ from threatweave.functions.columns import parse_window
 from threatweave.functions.fixed import ATTACK_PATTERNS
 from threatweave.operators.sessions import attack_patterns, session_members, source_key, trap_sessions
 from threatweave.operators.store import Deliver, acks_of, deliver_sessions, insert_new, unacked
+from threatweave.streaming.batches import earlier_batches, write_batch
+
+
+ACKS = "event_id string, session_id string"
 
 
 def dedupe_stream(events: DataFrame, key: str = "event_id", delay: str = "10 minutes") -> DataFrame:
@@ -41,14 +45,6 @@ def session_stream(events: DataFrame, gap: str = "300s", patterns: dict = ATTACK
     )
 
 
-def _table(spark, path: str, like: DataFrame) -> DataFrame:
-    """A folder of batches; empty before the first one."""
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception:  # noqa: BLE001 - the folder appears with the first batch
-        return like.limit(0)
-
-
 def export_stream(events: DataFrame, folder: str, deliver: Deliver, checkpoint: str, gap: str = "300s") -> StreamingQuery:
     """Store each batch, then export every session that waits.
 
@@ -60,13 +56,13 @@ def export_stream(events: DataFrame, folder: str, deliver: Deliver, checkpoint:
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored, acked = f"{folder}/events", f"{folder}/acks"
-        known = _table(spark, f"{stored}/*", batch) if batch_id else batch.limit(0)
-        insert_new(batch, known).write.mode("overwrite").parquet(f"{stored}/batch-{batch_id}")
-        everything = spark.read.schema(batch.schema).parquet(f"{stored}/*")
-        ack_rows = batch.select("event_id", F.lit("").alias("session_id")).limit(0)
-        waiting = unacked(everything, _table(spark, f"{acked}/*", ack_rows) if batch_id else ack_rows)
+        known = earlier_batches(spark, stored, batch_id, batch.schema)
+        write_batch(insert_new(batch, known), stored, batch_id)
+        everything = earlier_batches(spark, stored, batch_id + 1, batch.schema)
+        acks = earlier_batches(spark, acked, batch_id, ACKS)
+        waiting = unacked(everything, acks)
         delivered = deliver_sessions(trap_sessions(waiting, gap), deliver)
-        acks_of(session_members(waiting, gap), delivered).select("event_id", "session_id").write.mode("overwrite").parquet(f"{acked}/batch-{batch_id}")
+        write_batch(acks_of(session_members(waiting, gap), delivered), acked, batch_id)
 
     return (
         events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
