@@ -85,3 +85,8 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     # The projection shares common subexpressions, the generator would not.
     return df.withColumn("_stage", row).select("*", F.inline_outer("_stage")).drop("_stage")
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

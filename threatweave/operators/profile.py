@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threatweave.functions.columns import staged
 from threatweave.functions.fixed import CANONICAL_CLASSES, DROP_COLUMNS, LEAKAGE_WORDS
 from threatweave.operators.labels import canonical_label, clean_label
 from threatweave.session import local_table
@@ -82,18 +83,20 @@ def constant_columns(stats: DataFrame) -> DataFrame:
     return stats.filter((F.col("min") == F.col("max")) & finite).select("column")
 
 
-def label_counts(df: DataFrame, label: str, file_col: str) -> DataFrame:
-    """Rows per file and cleaned label: the small table every label report reads."""
-    return df.groupBy(file_col, clean_label(label).alias("clean")).agg(F.count("*").alias("n"))
+def raw_label_counts(df: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Rows per raw label with its classes. Labels are cleaned in this small table,
+    not row by row: staged, as a filter on a class would else move down to the rows."""
+    counts = df.groupBy(*keys, F.col(label).alias("raw")).agg(F.count("*").alias("n"))
+    return staged(counts, {"clean": clean_label("raw"), "strict": canonical_label("raw", "strict"), "permissive": canonical_label("raw")})
 
 
 def label_distribution(df: DataFrame, label: str, file_col: str) -> DataFrame:
     """Rows per class, per file and in total (file NULL), absent classes as zero."""
     counts = (
-        df.groupBy(file_col, canonical_label(label, "strict").alias("label")).agg(F.count("*").alias("n"))
+        raw_label_counts(df, label, file_col).withColumnRenamed("strict", "label")
         .rollup(file_col, "label").agg(F.sum("n").alias("n"), F.grouping_id().alias("_g"))
     )
-    files = counts.filter("_g = 1").select(file_col).union(counts.filter("_g = 3").select(file_col))
+    files = counts.filter("_g IN (1, 3)").select(file_col)
     by_label = counts.filter("_g = 0 AND label IS NOT NULL").select(file_col, "label", "n")
     totals = by_label.groupBy("label").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(file_col), "label", "n")
     cells = files.crossJoin(F.broadcast(class_table(df)))
@@ -107,8 +110,7 @@ def label_distribution(df: DataFrame, label: str, file_col: str) -> DataFrame:
 def unmapped_labels(df: DataFrame, label: str, top: int | None = None) -> DataFrame:
     """Cleaned labels without a class, most frequent first."""
     missed = (
-        df.groupBy(clean_label(label).alias("clean"), canonical_label(label, "strict").alias("class"))
-        .agg(F.count("*").alias("n")).filter("class IS NULL").select(F.col("clean").alias("label"), "n")
+        raw_label_counts(df, label).filter("strict IS NULL").groupBy(F.col("clean").alias("label")).agg(F.sum("n").alias("n"))
     )
     ranked = missed.orderBy(F.desc("n"), "label")
     return ranked.limit(top) if top else ranked
@@ -158,7 +160,7 @@ def quality_gate(df: DataFrame, label: str, file_col: str, stats: DataFrame | No
 
 def file_label_index(df: DataFrame, label: str, file_col: str) -> DataFrame:
     """Per file: rows, rows of a canonical class and the classes present."""
-    counts = df.groupBy(file_col, canonical_label(label).alias("label")).agg(F.count("*").alias("n"))
+    counts = raw_label_counts(df, label, file_col).withColumnRenamed("permissive", "label")
     known = F.col("label").isin(*CANONICAL_CLASSES)
     return counts.groupBy(file_col).agg(
         F.sum("n").alias("rows"),
@@ -169,7 +171,7 @@ def file_label_index(df: DataFrame, label: str, file_col: str) -> DataFrame:
 
 def dataset_labels(df: DataFrame, label: str) -> DataFrame:
     """Rows per permissive label over the dataset, unknown ones included."""
-    return df.groupBy(canonical_label(label).alias("label")).agg(F.count("*").alias("n"))
+    return raw_label_counts(df, label).groupBy(F.col("permissive").alias("label")).agg(F.sum("n").alias("n"))
 
 
 def profile_dataset(df: DataFrame, label: str, file_col: str, drop=DROP_COLUMNS) -> dict[str, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatweave.functions.columns import SPACE, any_of, col, strip
+from threatweave.functions.columns import SPACE, any_of, bind, col, strip
 from threatweave.functions.fixed import EMAIL_PATTERNS, PHISHING_KEYWORDS, STOP_WORDS, TEXT_PATTERNS
 
 NOT_SPACE = f"[^{SPACE}]"
@@ -42,14 +42,18 @@ def prepare_text(text: str | Column) -> Column:
 
 def text_patterns(text: str | Column) -> Column:
     """Names of the keyword groups with a hit anywhere in the text."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.array_compact(F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in TEXT_PATTERNS.items()]))
+    def named(low: Column) -> Column:
+        return F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in TEXT_PATTERNS.items()])
+
+    return F.array_compact(bind(F.lower(F.coalesce(col(text), F.lit(""))), named))
 
 
 def keyword_hits(text: str | Column) -> Column:
     """Keywords found, in list order with the list's repeats."""
-    low = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in PHISHING_KEYWORDS]))
+    def hits(low: Column) -> Column:
+        return F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in PHISHING_KEYWORDS])
+
+    return F.array_compact(bind(F.lower(F.coalesce(col(text), F.lit(""))), hits))
 
 
 def email_patterns(text: str | Column) -> Column:

@@ -152,10 +152,15 @@ def _quoted(c: Column) -> Column:
 
 def raw_events_in(df: DataFrame) -> DataFrame:
     """``events`` rows as payloads of five producers, good and bad ones alike."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    df = df.withColumns(
+        {
+            "k": F.get_json_object("props", "$.k").cast("int"),
+            "sev": F.least(F.lit(10), (1 + F.floor(F.col("value") / 50)).cast("int")),
+            "at": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        }
+    )
+    k, sev, at = F.col("k"), F.col("sev"), F.col("at")
     kt = k.cast("string")
-    sev = F.least(F.lit(10), (1 + F.floor(F.col("value") / 50)).cast("int"))
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     plain = _json(
         event_type=F.lit('" signup "'), timestamp=_quoted(F.col("ts")), user=_quoted(F.col("user_id")),
         url=_quoted(F.concat(F.lit("HTTPS://Host"), kt, F.lit(".Example.com:8080/p"))),
