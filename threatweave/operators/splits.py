@@ -95,24 +95,37 @@ def quota_split(
     h = stable_hash(seed, key)
     hashed = df.withColumns({"_h": h, "_b": F.floor(h / (HASH_SPACE // BUCKETS))})
     known = F.col(label).isin(*classes) if classes else F.col(label).isNotNull()
+    # Per-class rows are few where the classes are listed; else the planner decides.
+    small = F.broadcast if classes else (lambda d: d)
     buckets = hashed.filter(known).groupBy(F.col(label).alias("label"), "_b").agg(F.count("*").alias("size"))
     plan = quota_plan(buckets.groupBy("label").agg(F.sum("size").alias("n")), test, val, min_train)
     before = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # At most BUCKETS rows per class.
-    placed = buckets.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(F.broadcast(plan), "label")
+    placed = buckets.withColumns(
+        {"before": F.coalesce(F.sum("size").over(before), F.lit(0))}
+    ).join(small(plan), "label").withColumn("after", F.col("before") + F.col("size"))
     upto_test, upto_val = F.col("n_test"), F.col("n_test") + F.col("n_val")
-    after = F.col("before") + F.col("size")
+    in_test, in_val = F.col("after") <= upto_test, (F.col("before") >= upto_test) & (F.col("after") <= upto_val)
+    in_train = F.col("before") >= upto_val
+    bound = lambda pick, rows, default: F.coalesce(pick(F.when(rows, F.col("_b"))), F.lit(default))
+    # One row per class, with its cut buckets: two at most.
+    ruled = placed.groupBy("label").agg(
+        bound(F.max, in_test, -1).alias("_test_to"),
+        bound(F.min, in_val, BUCKETS).alias("_val_from"),
+        bound(F.max, in_val, -1).alias("_val_to"),
+        bound(F.min, in_train, BUCKETS).alias("_train_from"),
+        F.collect_list(F.when(~in_test & ~in_val & ~in_train, F.struct("_b", "before"))).alias("_cuts"),
+        F.any_value("n_test").alias("n_test"), F.any_value("n_val").alias("n_val"),
+    )
+    joined = hashed.join(small(ruled.withColumnRenamed("label", label)), label, "left")
     whole = (
-        F.when(after <= upto_test, "test")
-        .when((F.col("before") >= upto_test) & (after <= upto_val), "val")
-        .when(F.col("before") >= upto_val, "train")
+        F.when(F.col("_test_to").isNull(), "train").when(F.col("_b") <= F.col("_test_to"), "test")
+        .when(F.col("_b").between(F.col("_val_from"), F.col("_val_to")), "val").when(F.col("_b") >= F.col("_train_from"), "train")
     )
-    # One row per class and bucket: bounded by the class list times BUCKETS.
-    ruled = placed.select(F.col("label").alias(label), "_b", whole.alias("_whole"), "before", "n_test", "n_val")
-    joined = hashed.join(ruled, [label, "_b"], "left")
-    settled = joined.filter("_whole IS NOT NULL OR before IS NULL").withColumn("split", F.coalesce("_whole", F.lit("train")))
-    cut_through = joined.filter("_whole IS NULL AND before IS NOT NULL")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
+    settled = joined.withColumn("split", whole).filter("split IS NOT NULL")
+    cut_through = joined.filter(whole.isNull())
+    start = F.get(F.filter("_cuts", lambda c: c["_b"] == F.col("_b")), F.lit(0))["before"]
+    rank = start + F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
     ranked = cut_through.withColumn(
         "split", F.when(rank <= upto_test, "test").when(rank <= upto_val, "val").otherwise("train")
     )
