@@ -28,11 +28,12 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, digests: bool = False) ->
     rows = docs.select(ident().alias("id"), whole_text().alias("t"))
     slim = rows.select(
         "id", F.octet_length(t).alias("len"), F.xxhash64(F.substring(t, 1, prefix)).alias("head"))
-    lengths = slim.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    heads = (
+    # The slim sides are written: a join of a plain table is one Spark can split at a hot key.
+    lengths = settle(
+        slim.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "exact-lengths")
+    heads = settle(
         slim.join(lengths, "len", "left_semi")
-        .groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").select("len", "head")
-    )
+        .groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").select("len", "head"), "exact-heads")
     survivors = (
         slim.join(heads, ["len", "head"], "left_semi").select("id").distinct().withColumn("open", F.lit(True))
     )
@@ -42,9 +43,9 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, digests: bool = False) ->
         "id", F.octet_length(t).alias("len"), F.xxhash64(F.substring(t, 1, prefix)).alias("head"),
         F.when(wanted, F.sha2(t, 256)).alias("full"), "open",
     ), "exact-hashes")
-    groups = (
-        hashed.where("open").groupBy(*KEY).agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    )
+    groups = settle(
+        hashed.where("open").groupBy(*KEY).agg(F.max("id").alias("keep"), F.count("*").alias("n")).where("n > 1"),
+        "exact-groups")
     keep = F.coalesce("keep", "id")
     return hashed.join(groups, KEY, "left").select(
         given_id("id").alias("doc_id"), F.nullif(keep, F.lit(-(1 << 63))).alias("keep_id"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatweave.llm.common import (
-    BLANK_RUN, BLANKS, ascii_folded, bind, drop_bitmaps, ident, kept_text, text_lines, whole_text, with_drops,
+    BLANK_RUN, BLANKS, ascii_folded, bind, drop_bitmaps, ident, kept_text, settle, text_lines, whole_text,
+    with_drops,
 )
 
 MIN_WORDS = 50
@@ -120,7 +121,9 @@ def frequent_lines(
 
 def lines_above_limits(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """``id, version, pos, line_chars`` of every line above the limits."""
-    often = frequent_lines(docs, host, **limits).select(F.col("host").alias("_host"), "h1", "h2")
+    # Written: against a plain table Spark can split the join at a line of many documents.
+    often = settle(frequent_lines(docs, host, **limits), "frequent-lines").select(
+        F.col("host").alias("_host"), "h1", "h2")
     lines = hashed_lines(docs, host)
     return lines.join(
         often, (lines.h1 == often.h1) & (lines.h2 == often.h2) & lines.host.eqNullSafe(often["_host"]),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threatweave.llm.bpe import bpe_round_trip
 from threatweave.llm.common import given_id, load
+from threatweave.llm.counts import token_counts
 from threatweave.llm.exact import exact_dedup
 from threatweave.llm.linededup import line_dedup
 from threatweave.llm.quality import quality_rules
@@ -26,8 +28,27 @@ def _op6(spark, d):
     return exact_dedup(load(spark, d, "documents"), digests=True)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the vocabulary file lies; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _op7(spark, d):
+    return token_counts(load(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def _op8(spark, d):
+    out = bpe_round_trip(load(spark, d, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": _op1,
     "op2_line_dedup": _op2,
     "op6_exact_dedup": _op6,
+    "op7_token_counts": _op7,
+    "op8_bpe": _op8,
 }
