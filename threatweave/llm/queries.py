@@ -9,7 +9,9 @@ from threatweave.llm.common import given_id, load
 from threatweave.llm.counts import token_counts
 from threatweave.llm.exact import exact_dedup
 from threatweave.llm.linededup import line_dedup
+from threatweave.llm.mixing import mix_documents, taken_words
 from threatweave.llm.quality import quality_rules
+from threatweave.llm.sharding import shard_documents
 
 
 def _op1(spark, d):
@@ -24,6 +26,10 @@ def _op2(spark, d):
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _op3(spark, d):
+    return taken_words(mix_documents(load(spark, d, "documents")))
+
+
 def _op6(spark, d):
     return exact_dedup(load(spark, d, "documents"), digests=True)
 
@@ -45,10 +51,16 @@ def _op8(spark, d):
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _op9(spark, d):
+    return shard_documents(load(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": _op1,
     "op2_line_dedup": _op2,
+    "op3_mixing": _op3,
     "op6_exact_dedup": _op6,
     "op7_token_counts": _op7,
     "op8_bpe": _op8,
+    "op9_sharding": _op9,
 }
