@@ -10,6 +10,7 @@ from threatweave.llm.counts import token_counts
 from threatweave.llm.exact import exact_dedup
 from threatweave.llm.linededup import line_dedup
 from threatweave.llm.mixing import mix_documents, taken_words
+from threatweave.llm.neardup import near_duplicates
 from threatweave.llm.quality import quality_rules
 from threatweave.llm.sharding import shard_documents
 
@@ -30,6 +31,11 @@ def _op3(spark, d):
     return taken_words(mix_documents(load(spark, d, "documents")))
 
 
+def _op5(spark, d):
+    return near_duplicates(load(spark, d, "documents")).select(
+        given_id("id").alias("doc_id"), "n_shingles", given_id("component").alias("component_id"), "kept")
+
+
 def _op6(spark, d):
     return exact_dedup(load(spark, d, "documents"), digests=True)
 
@@ -59,6 +65,7 @@ QUERIES = {
     "op1_quality_rules": _op1,
     "op2_line_dedup": _op2,
     "op3_mixing": _op3,
+    "op5_near_dedup": _op5,
     "op6_exact_dedup": _op6,
     "op7_token_counts": _op7,
     "op8_bpe": _op8,
