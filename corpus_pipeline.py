@@ -3,16 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threatweave.llm.bpe import bpe_round_trip
 from threatweave.llm.common import load, settle
 from threatweave.llm.linededup import apply_line_dedup
+from threatweave.llm.mixing import apply_mixing
+from threatweave.llm.neardup import apply_near_dedup
 from threatweave.llm.quality import apply_quality
+from threatweave.llm.queries import tokenizer_file
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines too many documents of their source share."""
+    return apply_quality(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the last of them."""
+    return apply_line_dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates stays, the one with the smallest id."""
+    return apply_near_dedup(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target shares: documents left out, taken in part, or repeated."""
+    return apply_mixing(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian unsigned 32 bits), with digests of ids and round trip."""
+    return bpe_round_trip(docs, tokenizer_file("word_bpe_49k.json")).select(
+        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 STAGES = [
-    ("quality_rules", lambda spark, docs, sf_dir: apply_quality(docs)),
-    ("line_dedup", lambda spark, docs, sf_dir: apply_line_dedup(docs)),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("bpe", bpe),
 ]
 
+# Mixing draws by a keyed permutation and encoding follows a vocabulary file: no SQL says that.
 ORACLE_SQL = None
 
 

@@ -170,12 +170,21 @@ class WordCodec:
                 ids[piece] = b"".join([ids[w] for w in found])
                 shown[piece] = " ".join([shown[w] for w in found])
 
-    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Ids (little-endian unsigned 32 bits) and decoded text of every text."""
+    def _split(self, texts: list[str]) -> list[list[str]]:
         split = [self.pieces(t) for t in texts]
         if len(self.ids) > CACHE_WORDS:
             self._forget()
         self.learn(set().union(*split))
+        return split
+
+    def encode_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
+        ids = self.ids.__getitem__
+        return [b"".join(map(ids, p)) for p in self._split(texts)]
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids and decoded text of every text."""
+        split = self._split(texts)
         ids, shown = self.ids.__getitem__, self.shown.__getitem__
         return (
             [b"".join(map(ids, p)) for p in split],

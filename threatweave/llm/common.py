@@ -123,9 +123,21 @@ def kept_text(text: Column, drops: Column) -> Column:
     return F.when(drops.isNull(), text).otherwise(bind(lines_of(text), pick))
 
 
-def with_drops(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with their bitmap in ``_drops`` (null: nothing dropped)."""
-    left = docs.withColumns({"_id": ident(), "_version": F.xxhash64(whole_text())})
+def with_drops(docs: DataFrame, bitmaps: DataFrame, how: str = "left") -> DataFrame:
+    """``docs`` with their bitmap in ``tw$drops`` (null: nothing dropped); ``inner`` keeps listed documents only."""
+    left = docs.withColumns({"tw$id": ident(), "tw$version": F.xxhash64(whole_text())})
     right = bitmaps.select(
-        F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("drops").alias("_drops"))
-    return left.join(right, ["_id", "_version"], "left").drop("_id", "_version")
+        F.col("id").alias("tw$id"), F.col("version").alias("tw$version"), F.col("drops").alias("tw$drops"))
+    return left.join(right, ["tw$id", "tw$version"], how).drop("tw$id", "tw$version")
+
+
+def without_drops(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The texts of ``marked`` (see :func:`with_drops`) without their dropped lines, in the columns of ``docs``.
+
+    ``n_chars``, where present, follows a text that changed.
+    """
+    out = marked.withColumn("text", kept_text(F.col("text"), F.col("tw$drops")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("tw$drops").isNull(), F.col("n_chars")).otherwise(length))
+    return out.select(*docs.columns)

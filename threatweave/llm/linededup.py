@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threatweave.llm.common import (
     BLANKS, ascii_folded, drop_bitmaps, dropped_count, kept_text, lines_of, text_lines, whole_text, with_drops,
+    without_drops,
 )
 
 MIN_CHARS = 20
@@ -76,16 +77,11 @@ def line_dedup(docs: DataFrame, **limits) -> DataFrame:
     text = whole_text()
     return with_drops(docs.select("doc_id", "text"), line_bitmaps(docs, **limits)).select(
         "doc_id", F.size(lines_of(text)).cast("bigint").alias("n_lines"),
-        dropped_count(F.col("_drops")).alias("n_dropped"), F.col("_drops").alias("drops"),
-        kept_text(text, F.col("_drops")).alias("kept_text"),
+        dropped_count(F.col("tw$drops")).alias("n_dropped"), F.col("tw$drops").alias("drops"),
+        kept_text(text, F.col("tw$drops")).alias("kept_text"),
     )
 
 
 def apply_line_dedup(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without the dropped lines; ``n_chars``, where present, follows the text."""
-    out = with_drops(docs, line_bitmaps(docs, **limits))
-    out = out.withColumn("text", kept_text(F.col("text"), F.col("_drops")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drops").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast("bigint")))
-    return out.select(*docs.columns)
+    return without_drops(docs, with_drops(docs, line_bitmaps(docs, **limits)))

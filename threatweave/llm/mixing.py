@@ -196,10 +196,10 @@ def apply_mixing(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
     where present, follows the text.
     """
     draws = mix_documents(docs, shards, **how).where(F.size("draws") > 0).select(
-        F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("twin").alias("_twin"),
-        F.col("size").alias("_size"), F.col("draws").alias("_draws"))
-    keyed = docs.withColumns({"_id": ident(), "_version": F.xxhash64(whole_text())})
-    keyed = keyed.withColumn("_twin", F.row_number().over(W.partitionBy("_id", "_version").orderBy("_id")))
+        F.col("id").alias("tw$id"), F.col("version").alias("tw$version"), F.col("twin").alias("tw$twin"),
+        F.col("size").alias("tw$size"), F.col("draws").alias("tw$draws"))
+    keyed = docs.withColumns({"tw$id": ident(), "tw$version": F.xxhash64(whole_text())})
+    keyed = keyed.withColumn("tw$twin", F.row_number().over(W.partitionBy("tw$id", "tw$version").orderBy("tw$id")))
     names = docs.columns
     word = regex.compile(WORD)
 
@@ -207,7 +207,7 @@ def apply_mixing(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
         for b in batches:
             rows, texts, shard, place = [], [], [], []
             for i, (text, size, drawn) in enumerate(zip(
-                    b.column("text").to_pylist(), b.column("_size").to_pylist(), b.column("_draws").to_pylist())):
+                    b.column("text").to_pylist(), b.column("tw$size").to_pylist(), b.column("tw$draws").to_pylist())):
                 spans = None
                 for p in range(drawn[-1]["pass"] + 1):
                     mine = [d for d in drawn if d["pass"] == p]
@@ -234,12 +234,12 @@ def apply_mixing(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
                 made["n_chars"] = pa.array([len(t) for t in texts], whole.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(
                 [made.get(n, whole.column(n)) for n in names]
-                + [pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "_shard", "_place"])
+                + [pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "tw$shard", "tw$place"])
 
-    schema = StructType([*docs.schema, StructField("_shard", IntegerType()), StructField("_place", LongType())])
-    mixed = keyed.join(draws, ["_id", "_version", "_twin"]).select(*names, "_size", "_draws").mapInArrow(
+    schema = StructType([*docs.schema, StructField("tw$shard", IntegerType()), StructField("tw$place", LongType())])
+    mixed = keyed.join(draws, ["tw$id", "tw$version", "tw$twin"]).select(*names, "tw$size", "tw$draws").mapInArrow(
         run, schema)
     return (
-        mixed.repartition("_shard", F.call_function("shiftright", "_place", F.lit(58)))
-        .sortWithinPartitions("_shard", "_place").select(*names)
+        mixed.repartition("tw$shard", F.call_function("shiftright", "tw$place", F.lit(58)))
+        .sortWithinPartitions("tw$shard", "tw$place").select(*names)
     )

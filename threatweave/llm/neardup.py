@@ -18,7 +18,7 @@ PERCENT = 80
 # A pair at the threshold shares no band with a chance of (1 - 0.8**4)**32, about 5e-8.
 BANDS, ROWS = 32, 4
 # Unfinished buckets are compared in blocks of so many documents, or shingles where these are more.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 18
 _COLUMNS = 4096
 
 _BLOCK = 1 << 21
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leaders = settle(_leaders(buckets), "leaders")
     comps = _merged(_confirmed(settle(_leader_pairs(buckets, leaders, percent), "pairs"), sets, percent), None)
     rest = settle(_unfinished(buckets, leaders, comps), "unfinished-buckets")
-    comps = _merged(_block_links(rest, sets, percent), comps)
+    if not rest.isEmpty():
+        comps = _merged(_block_links(rest, sets, percent), comps)
     labelled = settle(classes.join(comps, "node", "left").select(
         "f1", "f2", "n", F.coalesce("comp.id", "node.id").alias("component")), "labelled-classes")
     return rows.join(labelled, ["f1", "f2", "n"], "left").select(
@@ -338,7 +339,7 @@ def _compare_blocks(table: pa.Table, percent: int) -> tuple[pa.Array, pa.Array]:
 def apply_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents of ``docs`` that stay: the smallest id of every component, once."""
     kept = near_duplicates(docs, percent).where("kept").select(
-        F.col("id").alias("_id"), F.col("version").alias("_version")).distinct()
-    keyed = docs.withColumns({"_id": ident(), "_version": F.xxhash64(whole_text())}).join(kept, ["_id", "_version"])
-    first = F.row_number().over(W.partitionBy("_id", "_version").orderBy("_id"))
-    return keyed.withColumn("_twin", first).where("_twin = 1").select(*docs.columns)
+        F.col("id").alias("tw$id"), F.col("version").alias("tw$version")).distinct()
+    keyed = docs.withColumns({"tw$id": ident(), "tw$version": F.xxhash64(whole_text())}).join(kept, ["tw$id", "tw$version"])
+    first = F.row_number().over(W.partitionBy("tw$id", "tw$version").orderBy("tw$id"))
+    return keyed.withColumn("tw$twin", first).where(F.col("tw$twin") == 1).select(*docs.columns)

@@ -89,9 +89,64 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.to_id) AS component_id, d
 FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROUP BY d.doc_id, s.n
 """
 
+URLS = r"""
+WITH RECURSIVE parts AS (
+    SELECT page_id, url, html,
+           translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+           CASE WHEN contains(url, '://') THEN concat(
+               translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1)) END AS node
+    FROM pages),
+tags AS (
+    SELECT url, host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+    FROM parts WHERE node IS NOT NULL),
+targets AS (
+    SELECT url, host, path, node, CASE
+        WHEN regexp_matches(tag, '(?is)^<link\b') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b')
+            THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+        WHEN regexp_matches(tag, '(?is)^<meta\b') AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')
+            THEN regexp_extract(tag, '(?is)\burl\s*=\s*([^"''\s>]+)', 1) END AS target
+    FROM tags),
+seen AS (
+    SELECT node, CASE
+        WHEN contains(target, '://') THEN target
+        WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || target
+        WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://)', 1) || host || target
+        ELSE regexp_extract(url, '(?s)^(.*?://)', 1) || host
+            || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target
+        END AS target FROM targets WHERE target <> ''),
+links AS (
+    SELECT DISTINCT node AS u, concat(
+        translate(regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1)) AS v FROM seen),
+both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(node, other) AS (
+    SELECT u, u FROM both_ways UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.other = b.u),
+rules(verdict, host, path) AS (VALUES
+    ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+ruled AS (
+    SELECT DISTINCT r.node, u.verdict FROM (SELECT DISTINCT other AS node FROM reach) r, rules u
+    WHERE starts_with(regexp_extract(r.node, '(?s)^.*?://[^/?#]*([^?#]*)', 1), u.path)
+      AND ends_with('.' || regexp_extract(r.node, '://([^/?#]*)', 1), '.' || u.host)
+    QUALIFY row_number() OVER (PARTITION BY r.node ORDER BY length(u.host || u.path) DESC) = 1),
+alias AS (
+    SELECT r.node, CASE WHEN bool_or(u.verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+    FROM reach r JOIN ruled u ON u.node = r.other GROUP BY r.node),
+hits AS (
+    SELECT p.page_id, p.url, u.host || u.path AS rule, u.verdict FROM parts p, rules u
+    WHERE starts_with(p.path, u.path) AND ends_with('.' || p.host, '.' || u.host)
+    QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(u.host || u.path) DESC) = 1)
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, a.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN hits h USING (page_id) LEFT JOIN alias a USING (node)
+"""
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
     "op2_line_dedup": LINES,
+    "op4_url_filter": URLS,
     "op5_near_dedup": NEAR,
     "op6_exact_dedup": EXACT,
 }

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatweave.llm.common import (
-    BLANK_RUN, BLANKS, ascii_folded, bind, drop_bitmaps, ident, kept_text, settle, text_lines, whole_text,
-    with_drops,
+    BLANK_RUN, BLANKS, ascii_folded, bind, drop_bitmaps, ident, settle, text_lines, whole_text, with_drops,
+    without_drops,
 )
 
 MIN_WORDS = 50
@@ -47,7 +47,7 @@ def _covered(starts: Column) -> Column:
 
 
 def base_signals(docs: DataFrame) -> DataFrame:
-    """``id``, length and base signals of every text; a null text is an empty one.
+    """``id, version``, length and base signals of every text; a null text is an empty one.
 
     Repeated windows are neighbours after one sort of the window keys. Windows of one
     document are the same when all hash bits of their keys are: 63 less the bits of
@@ -56,7 +56,7 @@ def base_signals(docs: DataFrame) -> DataFrame:
     t = F.col("t")
     with_word = F.filter(F.split(t, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     first = docs.select(ident().alias("id"), whole_text().alias("t")).select(
-        "id", F.length(t).cast("bigint").alias("chars"),
+        "id", F.xxhash64(t).alias("version"), F.length(t).cast("bigint").alias("chars"),
         bind(_words(t), lambda w: F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
@@ -73,7 +73,7 @@ def base_signals(docs: DataFrame) -> DataFrame:
     again = F.filter("sorted", lambda x, i: same(x, i + 1) | same(x, i - 1))
     starts = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("w.mask"))))
     return keys.select(
-        "id", "chars", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines",
+        "id", "version", "chars", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines",
         _covered(starts).alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                  | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
@@ -130,25 +130,26 @@ def lines_above_limits(docs: DataFrame, host: str = "source", **limits) -> DataF
     ).select("id", "version", "pos", "line_chars")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", depleted_percent: int = DEPLETED_PERCENT, **limits) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, host: str = "source", depleted_percent: int = DEPLETED_PERCENT,
+    above: DataFrame | None = None, **limits,
+) -> DataFrame:
     """Verdict per document: base signals, characters in lines above the limits, ``kept``.
 
     One row per input row. Null or empty text: no words, base failed. Rows that
     repeat a ``doc_id`` are one document to the line counts and share one depletion
     verdict; a null ``doc_id`` is an id of its own, a null host a host of its own.
-    Other columns are ignored.
+    Other columns are ignored. ``above`` are the lines above the limits where known.
     """
-    removed = (
-        lines_above_limits(docs, host, **limits)
-        .groupBy(F.col("id").alias("_id")).agg(F.sum("line_chars").alias("removed"))
-    )
+    above = lines_above_limits(docs, host, **limits) if above is None else above
+    removed = above.groupBy(F.col("id").alias("of")).agg(F.sum("line_chars").alias("removed"))
     base = base_signals(docs)
     lost = F.coalesce("removed", F.lit(0).cast("bigint"))
     return (
-        base.join(removed, base.id == F.col("_id"), "left")
+        base.join(removed, base.id == F.col("of"), "left")
         .withColumn("n_removed_chars", lost)
         .withColumn("kept", ~F.col("base_failed") & (100 * lost <= depleted_percent * F.col("chars")))
-        .drop("_id", "removed")
+        .drop("of", "removed")
     )
 
 
@@ -158,16 +159,8 @@ def apply_quality(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     Keeps all columns of ``docs``; a row with a null text fails. ``n_chars``, where
     present, follows the text.
     """
-    above = lines_above_limits(docs, host, **limits)
-    verdict = quality_rules(docs, host, **limits).where("kept").select(F.col("id").alias("_qid")).distinct()
-    marked = with_drops(docs, drop_bitmaps(above)).withColumn("_qid", ident())
-    passed = marked.join(verdict, "_qid", "left_semi")
-    return _retext(docs, passed, kept_text(F.col("text"), F.col("_drops")))
-
-
-def _retext(docs: DataFrame, df: DataFrame, text: Column) -> DataFrame:
-    out = df.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drops").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast("bigint")))
-    return out.select(*docs.columns)
+    above = settle(lines_above_limits(docs, host, **limits), "lines-above-limits")
+    # Written before the filter, which would else be pushed down and repeat the word expressions many times over.
+    verdicts = settle(quality_rules(docs, host, above=above).select("id", "version", "kept"), "quality-verdicts")
+    passed = verdicts.where("kept").select("id", "version").distinct()
+    return without_drops(docs, with_drops(docs, passed.join(drop_bitmaps(above), ["id", "version"], "left"), "inner"))

@@ -13,6 +13,8 @@ from threatweave.llm.mixing import mix_documents, taken_words
 from threatweave.llm.neardup import near_duplicates
 from threatweave.llm.quality import quality_rules
 from threatweave.llm.sharding import shard_documents
+from threatweave.llm.training_order import training_order
+from threatweave.llm.urlfilter import filter_urls
 
 
 def _op1(spark, d):
@@ -31,6 +33,10 @@ def _op3(spark, d):
     return taken_words(mix_documents(load(spark, d, "documents")))
 
 
+def _op4(spark, d):
+    return filter_urls(load(spark, d, "pages"))
+
+
 def _op5(spark, d):
     return near_duplicates(load(spark, d, "documents")).select(
         given_id("id").alias("doc_id"), "n_shingles", given_id("component").alias("component_id"), "kept")
@@ -61,13 +67,19 @@ def _op9(spark, d):
     return shard_documents(load(spark, d, "documents"))
 
 
+def _op10(spark, d):
+    return training_order(load(spark, d, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": _op1,
     "op2_line_dedup": _op2,
     "op3_mixing": _op3,
+    "op4_url_filter": _op4,
     "op5_near_dedup": _op5,
     "op6_exact_dedup": _op6,
     "op7_token_counts": _op7,
     "op8_bpe": _op8,
     "op9_sharding": _op9,
+    "op10_training_order": _op10,
 }
