@@ -48,8 +48,12 @@ def test_rare_label_raises_one_level_up_to_critical(spark):
 def sequential(rows, clear):
     """Plain replay: window by key, optionally emptied by a serious incident."""
     out, held = {}, {}
-    for r in sorted((r for r in rows if r[6] != "NONE"), key=lambda r: (r[0], r[1])):
-        buf = [x for x in held.get(r[2], []) if x[0] >= r[0] - 30] + [r]
+    for r in sorted(rows, key=lambda r: (r[0], r[1])):
+        # An alert of level NONE expires and reads the window, but does not join it.
+        buf = [x for x in held.get(r[2], []) if x[0] >= r[0] - 30] + [r] * (r[6] != "NONE")
+        held[r[2]] = buf
+        if not buf:
+            continue
         conf = sum(x[6] == "CONFIRMED" for x in buf)
         susp = len(buf) - conf
         sev = 3 if conf >= 20 else 2 if conf >= 5 or susp >= 40 else 1 if susp >= 15 else 0
@@ -94,6 +98,13 @@ def test_windows_match_sequential_replay(spark, mode):
     assert got == sequential(rows, mode == "stateful")
 
 
+def test_arrival_without_level_reads_the_window(spark):
+    rows = [flow(1, 0, "PortScan", "SUSPECT"), flow(2, 20, "DoS", "SUSPECT"), flow(3, 35, "DoS", "NONE"), flow(4, 90, "DoS", "NONE")]
+    for mode in ("trailing", "stateful"):
+        got = [(r.alert_ord, r.severity, r.start_at, r.end_at) for r in one(spark, rows, mode)]
+        assert got == [(3, "LOW", 20_000_000, 20_000_000)]
+
+
 def test_window_edge_is_inclusive(spark):
     rows = [flow(1, 0.0), flow(2, 30.0), flow(3, 60.000001)]
     assert {r.alert_ord: r.confirmed for r in one(spark, rows, "trailing")} == {1: 1, 2: 2, 3: 1}

@@ -48,10 +48,16 @@ def test_split_and_report_sinks(spark, tmp_path):
 def test_timestamps(spark):
     assert G.find_timestamp(spark.createDataFrame([(1, 2)], "TIMESTAMP int, a int")) == "TIMESTAMP"
     df = spark.createDataFrame([("07/07/2017 02:30:00 PM", "a"), ("2017-07-06 01:00:00", "a"), ("zz", "b")], "t string, f string")
-    out = G.temporal_split(df.withColumn("Flow ID", F.lit(1)), "t", "t")
+    with pytest.raises(ValueError, match="1 of 1 timestamps do not parse in b"):
+        G.temporal_split(df, "t", "t", file_col="f")
+    out = G.temporal_split(df.withColumn("Flow ID", F.lit(1)), "t", "t", max_unparsed=0.5)
     assert "Flow ID" not in out.columns
     assert [r.split == "test" for r in out.collect()] == [True, False, False]
     assert [r.f for r in G.parse_failures(df, "t", "f").collect()] == ["b"]
+    short = spark.createDataFrame([("7/7/2017 3:30",), ("7/7/2017 8:59:01 AM",), (" 7/6/2017 8:59:01 pm",), ("12/1/2017 18:05:09",)], "t string")
+    assert [str(r[0]) for r in short.select(G.parse_timestamp(F.col("t")).cast("string")).collect()] == [
+        "2017-07-07 03:30:00", "2017-07-07 08:59:01", "2017-07-06 20:59:01", "2017-12-01 18:05:09"]
+    assert [r.split == "test" for r in G.temporal_split(short, "t", "t").collect()] == [True, True, False, True]
 
 
 @pytest.mark.parametrize("url,suffix,domain,sub", [

@@ -1,7 +1,7 @@
 """Roll scored flow alerts up into incidents per source -> destination.
 
 Modes: ``tumbling`` (one row per key and window), ``trailing`` (one row per
-triggering alert over the window that ends at it) and ``stateful`` (as trailing,
+alert over the window that ends at it) and ``stateful`` (as trailing,
 but a HIGH or CRITICAL incident empties the window).
 """
 
@@ -24,17 +24,20 @@ def flow_key() -> Column:
 
 
 def triggers(alerts: DataFrame) -> DataFrame:
-    """Alerts that count, in the narrow form the modes work on.
+    """Alerts in the narrow form the modes work on; ``live`` ones count.
 
     ``alerts``: ts (epoch seconds), ord, src_ip, dst_ip, dst_port, label,
-    alert_level, p_attack, margin.
+    alert_level, p_attack, margin. Alerts of other levels add nothing to a window,
+    but their arrival expires it and reads it like any other. A missing port is no
+    port; a missing probability or margin is 0.
     """
-    return alerts.filter(F.col("alert_level").isin("SUSPECT", "CONFIRMED")).select(
+    return alerts.select(
         flow_key().alias("key"),
         F.round(F.col("ts") * 1_000_000).cast("bigint").alias("at"),
         "ord", "label", F.col("dst_port").alias("port"),
-        (F.col("alert_level") == "CONFIRMED").cast("bigint").alias("conf"),
-        F.col("p_attack").alias("p"), F.col("margin").alias("m"),
+        F.coalesce(F.col("alert_level") == "CONFIRMED", F.lit(False)).cast("bigint").alias("conf"),
+        F.coalesce("p_attack", F.lit(0.0)).alias("p"), F.coalesce("margin", F.lit(0.0)).alias("m"),
+        F.coalesce(F.col("alert_level").isin("SUSPECT", "CONFIRMED"), F.lit(False)).alias("live"),
     )
 
 
@@ -108,13 +111,13 @@ def _trailing(trig: DataFrame, width: int) -> DataFrame:
     so a key of any size spreads over tasks.
     """
     win = F.floor(F.col("at") / width)
-    spread = trig.withColumn("win", F.explode(F.array(win, win + 1)))
+    spread = trig.filter("live").withColumn("win", F.explode(F.array(win, win + 1)))
     # One row per instant before anything is ordered.
     atoms = spread.groupBy("key", "win", "label", "at").agg(
         F.count("*").alias("n"), F.sum("conf").alias("conf"), F.sum("p").alias("p"), F.sum("m").alias("m"),
         F.min("ord").alias("ord"),
     )
-    points = atoms.filter(win == F.col("win")).select("key", "win", "at").distinct()
+    points = trig.select("key", win.alias("win"), "at").distinct()
     labels = atoms.select("key", "win", "label").distinct()
     # Every window reads every label of its piece: as many rows as the label set.
     reads = points.join(labels, ["key", "win"])
@@ -128,7 +131,8 @@ def _trailing(trig: DataFrame, width: int) -> DataFrame:
         .unionByName(reads.select(*part, "at", F.lit(1).alias("read"), *zero))
     )
     running = Window.partitionBy(*part).orderBy("at", "read").rowsBetween(Window.unboundedPreceding, 0)
-    sums = moves.select(*part, "at", "read", *[F.sum(c).over(running).alias(c) for c in figures]).filter("read = 1 AND n > 0").drop("read")
+    sums = moves.select(*part, "at", "read", *[F.sum(c).over(running).alias(c) for c in figures],
+                        F.max(F.when(F.col("n") > 0, F.col("at"))).over(running).alias("last_at")).filter("read = 1 AND n > 0").drop("read")
 
     # Oldest alert of the label still inside the window.
     marks = atoms.select(*part, F.col("at").alias("pos"), F.lit(0).alias("read"), "at", "ord").unionByName(
@@ -143,13 +147,13 @@ def _trailing(trig: DataFrame, width: int) -> DataFrame:
 
     by_label = sums.join(oldest, [*part, "at"])
     rolled = by_label.groupBy("key", "win", "at").agg(
-        F.min("first_at").alias("start_at"), F.sum("n").alias("n"), F.sum("conf").alias("confirmed"),
-        F.sum("p").alias("sum_p"), F.sum("m").alias("sum_m"),
+        F.min("first_at").alias("start_at"), F.max("last_at").alias("end_at"), F.sum("n").alias("n"),
+        F.sum("conf").alias("confirmed"), F.sum("p").alias("sum_p"), F.sum("m").alias("sum_m"),
         F.collect_list(F.struct("label", "n", "first_at", "first_ord")).alias("labels"),
     )
 
     # A port counts from each of its alerts until the next one or the window's length.
-    seen = spread.select("key", "win", "port", "at").distinct()
+    seen = spread.filter("port IS NOT NULL").select("key", "win", "port", "at").distinct()
     after = Window.partitionBy("key", "win", "port").orderBy("at")
     held = seen.withColumn("upto", F.least(F.col("at") + width + 1, F.lead("at").over(after)))
     steps = (
@@ -162,7 +166,7 @@ def _trailing(trig: DataFrame, width: int) -> DataFrame:
     level = Window.partitionBy("key", "win").orderBy("at", "read").rowsBetween(Window.unboundedPreceding, 0)
     ports = steps.select("key", "win", "at", "read", F.sum("d").over(level).alias("unique_ports")).filter("read = 1").drop("read")
 
-    windows = to_incidents(rolled.join(ports, ["key", "win", "at"]).withColumn("end_at", F.col("at")), "at")
+    windows = to_incidents(rolled.join(ports, ["key", "win", "at"]), "at")
     return windows.join(trig.select("key", "at", F.col("ord").alias("alert_ord")), ["key", "at"]).drop("at")
 
 
@@ -185,7 +189,8 @@ class WindowState:
         at, label, port, conf, p, m = row
         self.rows.append(row)
         self.by_label.setdefault(label, deque()).append(self.seq)
-        self.ports[port] = self.ports.get(port, 0) + 1
+        if port is not None:
+            self.ports[port] = self.ports.get(port, 0) + 1
         self.confirmed, self.sum_p, self.sum_m, self.seq = self.confirmed + conf, self.sum_p + p, self.sum_m + m, self.seq + 1
 
     def expire(self, before: int):
@@ -194,17 +199,21 @@ class WindowState:
             self.by_label[label].popleft()
             if not self.by_label[label]:
                 del self.by_label[label]
-            self.ports[port] -= 1
-            if not self.ports[port]:
-                del self.ports[port]
+            if port is not None:
+                self.ports[port] -= 1
+                if not self.ports[port]:
+                    del self.ports[port]
             self.confirmed, self.sum_p, self.sum_m = self.confirmed - conf, self.sum_p - p, self.sum_m - m
         if not self.rows:
             self.clear()
 
-    def push(self, at, label, port, conf, p, m) -> dict | None:
-        """Add an alert; the incident it raises, or None."""
+    def push(self, at, label, port, conf, p, m, live=True) -> dict | None:
+        """Let an alert arrive and, if it is live, add it; the incident the window then is, or None."""
         self.expire(at - self.width)
-        self._add((at, label, port, conf, p, m))
+        if live:
+            self._add((at, label, None if port is None or port != port else int(port), conf, p, m))
+        if not self.rows:
+            return None
         incident = self._incident()
         if incident and incident["severity"] in ("HIGH", "CRITICAL"):
             self.clear()
@@ -261,17 +270,17 @@ def _stateful(trig: DataFrame, width: int) -> DataFrame:
         slotted.join(runs, ["key", "slot"])
         .repartition("key", "run_start")
         .sortWithinPartitions("key", "run_start", "at", "ord")
-        .select("key", "run_start", "at", "ord", "label", "port", "conf", "p", "m")
+        .select("key", "run_start", "at", "ord", "label", "port", "conf", "p", "m", "live")
     )
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, state = None, None
         for pdf in batches:
             out = []
-            for key, run, at, ord_, label, port, conf, p, m in pdf.itertuples(index=False, name=None):
+            for key, run, at, ord_, *alert in pdf.itertuples(index=False, name=None):
                 if (key, run) != unit:
                     unit, state = (key, run), WindowState(width)
-                incident = state.push(at, label, port, conf, p, m)
+                incident = state.push(at, *alert)
                 if incident:
                     out.append({**incident, "key": key, "alert_ord": ord_})
             yield pd.DataFrame(out, columns=INCIDENT_COLUMNS)
@@ -283,7 +292,7 @@ def incidents(alerts: DataFrame, window: str = "30s", mode: str = "trailing") ->
     width = parse_window(window) * 1_000_000
     trig = triggers(alerts)
     if mode == "tumbling":
-        return _tumbling(trig, width)
+        return _tumbling(trig.filter("live"), width)
     if mode == "trailing":
         return _trailing(trig, width)
     if mode == "stateful":

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +29,25 @@ def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("_x", array_to_vector(features))
 
 
-def _binary(df: DataFrame, hit: Column) -> DataFrame:
-    """0/1 target with balanced weights: each side weighs half."""
+def _binary(df: DataFrame, hit: Column, up: float = 1.0, down: float = 1.0) -> DataFrame:
+    """0/1 target with the weight of each side."""
     marked = df.withColumn("_y", hit.cast("double"))
-    sides = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("pos")).first()
-    n, pos = sides["n"], sides["pos"]
-    up, down = n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1))
     return marked.withColumn("_w", F.when(F.col("_y") == 1, F.lit(up)).otherwise(F.lit(down)))
 
 
+def _balanced(n: int, pos: int) -> tuple[float, float]:
+    """Weights with which each side weighs half."""
+    return n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1))
+
+
+def side_weights(kind: str, n: int, pos: int, classes: int) -> tuple[float, float]:
+    """Weights of a class and of the rest. The linear SVM weighs the class by
+    n / (classes * its rows) and leaves the rest; trees are not weighted."""
+    if kind == "svm":
+        return n / (classes * max(pos, 1)), 1.0
+    return (1.0, 1.0) if kind == "gbt" else _balanced(n, pos)
+
+
 def learner(kind: str, n: int, c: float = 1.0, **params):
     """An untrained binary learner. ``c`` is the inverse penalty over ``n`` rows."""
     common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w"}
@@ -83,13 +93,17 @@ class PerClass:
 
 
 def train_ovr(df: DataFrame, kind: str, label: str = "label", labels: list[str] | None = None, c: float = 1.0, **params) -> PerClass:
-    """One model per class against the rest, classes balanced."""
-    if labels is None:
-        # As many rows as there are classes.
-        labels = sorted(r[0] for r in df.select(label).distinct().collect())
-    n = df.count()
+    """One model per class against the rest, weighted by :func:`side_weights`."""
+    # As many rows as there are classes.
+    counts = {r["label"]: r["n"] for r in df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
+    labels = sorted(k for k in counts if k is not None) if labels is None else labels
+    n = sum(counts.values())
     rows = _vectors(df)
-    return PerClass(kind, labels, [learner(kind, n, c, **params).fit(_binary(rows, F.col(label) == name)) for name in labels])
+    return PerClass(kind, labels, [
+        learner(kind, n, c, **params).fit(
+            _binary(rows, F.col(label).eqNullSafe(name), *side_weights(kind, n, counts.get(name, 0), len(labels))))
+        for name in labels
+    ])
 
 
 def macro_f1(predicted: DataFrame, label: str = "label") -> float:
@@ -135,7 +149,9 @@ class Gate:
 
 
 def train_gate(train: DataFrame, val: DataFrame, label: str = "label", benign: str = "BENIGN", **params) -> Gate:
-    model = learner("logreg", train.count(), **params).fit(_binary(_vectors(train), F.col(label) != benign))
+    sides = train.agg(F.count("*").alias("n"), F.count_if(F.col(label) != benign).alias("pos")).first()
+    weights = _balanced(sides["n"], sides["pos"])
+    model = learner("logreg", sides["n"], **params).fit(_binary(_vectors(train), F.col(label) != benign, *weights))
     gate = Gate(model, 0.5)
     marked = gate.score(val, "score").select(F.lit("ATTACK").alias("class"), "score", (F.col(label) != benign).alias("hit"))
     best = search_thresholds(marked, list(GATE_GRID), macro=True).first()
@@ -175,11 +191,14 @@ def top_coefficients(model: PerClass, names: list[str], spark, k: int = 15) -> D
     return table.withColumns({"from_top": up, "from_bottom": down}).filter((F.col("from_top") <= k) | (F.col("from_bottom") <= k))
 
 
-def train_text(df: DataFrame, text: str = "text", label: str = "label", vocabulary: int = 1 << 16) -> PipelineModel:
-    """TF-IDF and naive Bayes over prepared text; ``label`` is 0 or 1."""
+def train_text(df: DataFrame, text: str = "text", label: str = "label", width: int = 1 << 20) -> PipelineModel:
+    """TF-IDF and naive Bayes over prepared text; ``label`` is 0 or 1.
+
+    Terms are hashed to ``width`` places: none is dropped and no vocabulary is collected.
+    """
     words = df.select(tokens(scrub_text(text)).alias("words"), F.col(label).cast("double").alias("label"))
     stages = [
-        CountVectorizer(inputCol="words", outputCol="tf", vocabSize=vocabulary),
+        HashingTF(inputCol="words", outputCol="tf", numFeatures=width),
         IDF(inputCol="tf", outputCol="tfidf"),
         NaiveBayes(featuresCol="tfidf", labelCol="label"),
     ]

@@ -20,24 +20,35 @@ def find_timestamp(df: DataFrame, names=TIMESTAMP_NAMES) -> str | None:
     return (exact + loose + [None])[0]
 
 
+# Month first; one or two digits for month, day and hour; seconds and AM/PM optional.
+TEXT_DATES = ("M/d/yyyy h:mm[:ss] a", "M/d/yyyy H:mm[:ss]")
+
+
 def parse_timestamp(c: Column) -> Column:
-    """Timestamps of ISO or day-first-of-month text; NULL when unparsable."""
-    t = c.cast("string")
-    return F.coalesce(
-        F.try_to_timestamp(t),
-        F.try_to_timestamp(t, F.lit("MM/dd/yyyy hh:mm:ss a")),
-        F.try_to_timestamp(t, F.lit("MM/dd/yyyy HH:mm:ss")),
-        F.try_to_timestamp(t, F.lit("MM/dd/yyyy HH:mm")),
-    )
+    """Timestamps of ISO or month-first text; NULL when unparsable."""
+    t = F.trim(c.cast("string"))
+    return F.coalesce(F.try_to_timestamp(t), *[F.try_to_timestamp(t, F.lit(f)) for f in TEXT_DATES])
 
 
 def in_sample(key: str | Column, fraction: float, seed: int = 42) -> Column:
     return stable_hash(seed, key) < int(fraction * HASH_SPACE)
 
 
-def temporal_split(df: DataFrame, ts: str, key: str, val_fraction: float = 0.15, seed: int = 42) -> DataFrame:
-    """Fridays to test; of the rest a fixed share to validation."""
-    at = F.col(ts) if isinstance(df.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else parse_timestamp(F.col(ts))
+def temporal_split(
+    df: DataFrame, ts: str, key: str, val_fraction: float = 0.15, seed: int = 42, file_col: str | None = None,
+    max_unparsed: float = 0.01,
+) -> DataFrame:
+    """Fridays to test; of the rest a fixed share to validation.
+
+    Text dates are parsed; a file (without ``file_col``: the table) in which more than
+    ``max_unparsed`` of them do not parse stops the job, as its Fridays would be lost.
+    """
+    at = F.col(ts)
+    if not isinstance(df.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        at = parse_timestamp(at)
+        bad = parse_failures(df, ts, file_col, max_unparsed).first()
+        if bad:
+            raise ValueError(f"{bad['unparsed']} of {bad['rows']} timestamps do not parse in {bad[0] or 'the table'}")
     friday = F.coalesce(F.dayofweek(at) == 6, F.lit(False))
     split = F.when(friday, "test").when(in_sample(key, val_fraction, seed), "val").otherwise("train")
     return df.drop(*IDENTIFIER_COLUMNS).withColumn("split", split)
@@ -50,10 +61,11 @@ def filename_split(df: DataFrame, file_col: str, key: str, val_fraction: float =
     return df.drop(*IDENTIFIER_COLUMNS).withColumn("split", split)
 
 
-def parse_failures(df: DataFrame, ts: str, file_col: str, limit: float = 0.01) -> DataFrame:
-    """Files in which more than ``limit`` of the timestamps do not parse."""
+def parse_failures(df: DataFrame, ts: str, file_col: str | None = None, limit: float = 0.01) -> DataFrame:
+    """File, ``rows``, ``unparsed`` of files in which more than ``limit`` of the timestamps do not parse."""
     missed = parse_timestamp(F.col(ts)).isNull()
-    return df.groupBy(file_col).agg(F.count("*").alias("rows"), F.count_if(missed).alias("unparsed")).filter(
+    file = F.lit(None).cast("string") if file_col is None else F.col(file_col)
+    return df.groupBy(file.alias(file_col or "file")).agg(F.count("*").alias("rows"), F.count_if(missed).alias("unparsed")).filter(
         F.col("unparsed") > limit * F.col("rows")
     )
 

@@ -324,17 +324,18 @@ def _coefficients(spark, d):
 
 
 def _text_nb(spark, d):
+    """Fitted on the labelled documents; every document is scored."""
     labels = T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
-    docs = T.table(spark, d, "documents").join(labels, "doc_id")
-    scored = M.text_verdict(O.score_text(O.train_text(docs), docs))
+    docs = T.table(spark, d, "documents")
+    scored = M.text_verdict(O.score_text(O.train_text(docs.join(labels, "doc_id")), docs.join(labels, "doc_id", "left")))
     return scored.groupBy("prediction", "label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
 def _url_rf(spark, d):
-    """Forest that tells the made-up bad URL kinds from the others."""
-    made = U.feature_vector(U.url_features(T.urls(spark, d))).withColumn("label", F.col("kind").isin(2, 3, 5).cast("int"))
-    made = made.drop("p").persist()
-    scored = U.url_risk(O.score_urls(O.train_urls(made, trees=20, depth=5), made))
+    """Forest that tells the made-up bad URL kinds from the others, on pages it was not trained on."""
+    made = U.feature_vector(U.url_features(T.urls(spark, d))).withColumn("label", F.col("kind").isin(2, 3, 5).cast("int")).drop("p")
+    seen = G.in_sample("page_id", 0.5)
+    scored = U.url_risk(O.score_urls(O.train_urls(made.filter(seen)), made.filter(~seen)))
     return scored.groupBy("prediction", "label", "risk_level").agg(F.count("*").alias("n"))
 
 

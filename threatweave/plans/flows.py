@@ -19,7 +19,7 @@ def incident_table(incidents: DataFrame, *ids: str) -> DataFrame:
         *ids, "key", "start_at", "end_at", "severity",
         F.array_join(F.transform("top_labels", lambda t: F.concat(t["label"], F.lit("="), t["n"].cast("string"))), ",").alias("top_labels"),
         F.array_join(pairs, ",").alias("counts"),
-        "confirmed", "suspect", "unique_ports", F.round("confidence", 10).alias("confidence"),
+        "confirmed", "suspect", "unique_ports", F.round("confidence", 10).alias("confidence"), "recommendation",
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threatweave.functions import fixed as K
 from threatweave.plans.oracle_flow import FLOW_ORACLE
 
 EVENTS = """
@@ -218,10 +219,11 @@ incident AS (
          least(1.0, avg_p + CASE WHEN avg_m > 1.0 THEN 0.15 ELSE 0 END) AS confidence
   FROM graded g JOIN tops t USING (key, id))"""
 
-INCIDENT_COLUMNS = "key, start_at, end_at, severity, top_labels, counts, confirmed, suspect, unique_ports, round(confidence, 10) AS confidence"
+INCIDENT_COLUMNS = "key, start_at, end_at, severity, top_labels, counts, confirmed, suspect, unique_ports, round(confidence, 10) AS confidence, CASE severity " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in K.INCIDENT_ADVICE.items()) + " END AS recommendation"
 TUMBLING = FLOWS + ", win AS (SELECT *, CAST(floor(tm / 21600000000) AS BIGINT) AS id FROM trig)" + GRADED
 TRAILING = FLOWS + """, win AS (
-  SELECT o.*, t.ord AS id FROM trig t JOIN trig o ON o.key = t.key AND o.tm BETWEEN t.tm - 21600000000 AND t.tm)""" + GRADED
+  SELECT o.*, t.ord AS id FROM leveled t JOIN trig o ON o.key = t.key AND o.tm BETWEEN t.tm - 21600000000 AND t.tm)""" + GRADED
 
 INCIDENTS = {
     "incidents_tumbling": _with(TUMBLING, f"SELECT id AS bucket, {INCIDENT_COLUMNS} FROM incident"),

@@ -34,7 +34,7 @@ def incident_stream(alerts: DataFrame, window: str = "30s", delay: str = "1 minu
         rows = pd.concat(list(batches)).sort_values(["at", "ord"])
         out = []
         for r in rows.itertuples(index=False):
-            incident = held.push(int(r.at), r.label, int(r.port), int(r.conf), float(r.p), float(r.m))
+            incident = held.push(int(r.at), r.label, r.port, int(r.conf), float(r.p), float(r.m), bool(r.live))
             if incident:
                 out.append({**incident, "key": key[0], "alert_ord": r.ord})
         columns = [list(c) for c in zip(*held.rows)] if held.rows else [[] for _ in range(6)]
@@ -50,7 +50,7 @@ def incident_stream(alerts: DataFrame, window: str = "30s", delay: str = "1 minu
 
 def sliding_counts(alerts: DataFrame, window: str = "30 seconds", slide: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
     """Triggering alerts per key over sliding windows."""
-    trig = triggers(alerts).withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", delay)
+    trig = triggers(alerts).filter("live").withColumn("event_time", F.timestamp_micros("at")).withWatermark("event_time", delay)
     return trig.groupBy("key", F.window("event_time", window, slide)).agg(
         F.count("*").alias("n"), F.sum("conf").alias("confirmed"), F.approx_count_distinct("port").alias("ports")
     )
