@@ -68,6 +68,19 @@ def test_strict_errors(spark, record, error):
     assert rows(spark, [record])[0].error == error
 
 
+def test_repeated_keys_and_basic_dates(spark):
+    got = rows(spark, ['{"event_type": "a", "event_type": "b", "time": "20260208T080000Z"}', {"type": "c", "ts": "20260208"},
+                       {"type": "d", "ts": "20260208T080000+0530", "event_type": None, "category": ""}])
+    assert [(r.error, r.event_type) for r in got] == [(None, "b"), (None, "c"), (None, "d")]
+    assert [r.ts for r in got] == [dt.datetime(2026, 2, 8, 8), dt.datetime(2026, 2, 8), dt.datetime(2026, 2, 8, 2, 30)]
+
+
+def test_event_ids_by_named_columns(spark):
+    df = spark.createDataFrame([(1, json.dumps(OK), "f1"), (2, json.dumps(OK), "f1"), (3, json.dumps(OK), "f2")], "ord bigint, raw string, file string")
+    ids = [r.event_id for r in normalize_events(df, id_columns=("file",)).orderBy("ord").collect()]
+    assert ids[0] == ids[1] != ids[2]
+
+
 def test_lenient_repairs(spark):
     now = F.timestamp_seconds(F.lit(1_700_000_000))
     r = rows(spark, [{"event_type": "x", "src_ip": "bad", "dst_ip": "10.0.0.1", "confidence": 99, "severity": 99, "url": "http://a.com/x"}], strict=False, now=now)[0]

@@ -31,6 +31,7 @@ from threatweave.functions.raw import (
 ISO = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
+BASIC_ISO = r"^\d{8}(T\d{6}(Z|[+-]\d{2}:?\d{2})?)?$"
 OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 DOMAIN = r"^([a-zA-Z0-9-]{1,63}\.)+[a-zA-Z]{2,63}$"
@@ -48,7 +49,9 @@ def _flag(t: Column) -> Column:
 def parse_time(t: Column, kind: Column) -> Column:
     """Instant of a trimmed ISO text (UTC unless it says otherwise) or of epoch seconds."""
     seconds = F.when(is_flag(kind), _flag(t)).when(is_number(kind), t.try_cast("double"))
-    from_text = F.when(t.rlike(ISO), F.try_to_timestamp(F.replace(t, F.lit(","), F.lit("."))))
+    from_text = F.when(t.rlike(ISO), F.try_to_timestamp(F.replace(t, F.lit(","), F.lit(".")))).when(
+        t.rlike(BASIC_ISO), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(
+            t, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"), r"T(\d{2})(\d{2})(\d{2})", "T$1:$2:$3")))
     from_number = F.timestamp_micros(F.round(seconds * 1_000_000).try_cast("bigint"))
     return F.when(is_text(kind), from_text).otherwise(from_number)
 
@@ -117,6 +120,7 @@ def normalize_events(
     default_confidence: float = 0.6,
     strict: bool = True,
     now: Column | None = None,
+    id_columns: tuple[str, ...] = ("ord",),
 ) -> DataFrame:
     """Normalised events with an ``error`` column.
 
@@ -124,6 +128,8 @@ def normalize_events(
     when it comes from :func:`threatweave.operators.adapt.adapt_events`.
     ``source`` names rows that bring none; with None they are errors. ``now``
     stands in for a missing timestamp in lenient mode (default: the query's start).
+    The event id is a hash of the record, its source and ``id_columns``: name columns
+    there that do not change when the input is split or listed in another way.
     """
     if KEYS not in df.columns:
         df = with_fields(df)
@@ -182,7 +188,7 @@ def normalize_events(
     given = F.from_json(text_at("entities"), T.StructType([T.StructField(f, T.StringType()) for f in ENTITY_FIELDS]))
     # A row that is normalised already passes as it is, without the checks.
     final = {
-        "event_id": F.when(is_done, text_at("event_id")).otherwise(F.sha2(F.concat_ws("|", "raw", "_source", F.col("ord").cast("string")), 256)),
+        "event_id": F.when(is_done, text_at("event_id")).otherwise(F.sha2(F.concat_ws("|", "raw", "_source", *[F.col(c).cast("string") for c in id_columns]), 256)),
         "ts": F.when(is_done, parse_time(strip(text_at("timestamp")), kind_at("timestamp"))).when(no_time, now).otherwise(F.col("_ts")),
         "event_type": F.when(is_done, text_at("event_type")).otherwise(F.col("_type")),
         "source": F.when(is_done, text_at("source")).otherwise(F.col("_source")),

@@ -19,6 +19,8 @@ SETTINGS = {
     # A re-shuffle after a skewed join costs less than one task with a hot key.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A record that repeats a key keeps the last value, as JSON readers do.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
