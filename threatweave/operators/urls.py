@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatweave.functions.columns import SPACE, any_of, staged
+from threatweave.functions.columns import SPACE, any_of, stable_hash, staged
 from threatweave.functions.fixed import (
     GENERIC_SUFFIXES,
     HIGH_RISK_TLDS,
@@ -129,7 +129,7 @@ def url_features(df: DataFrame, url: str = "url", suffixes=SUFFIXES) -> DataFram
         "is_high_risk_tld": flag(F.col("tld").isin(*HIGH_RISK_TLDS)),
         "is_legitimate_tld": flag(F.col("tld").isin(*LEGITIMATE_TLDS)),
         # A hash that every process agrees on.
-        "tld_encoded": F.when(F.length("tld") > 0, F.pmod(F.xxhash64("tld"), F.lit(1000))).otherwise(0).cast("int"),
+        "tld_encoded": F.when(F.length("tld") > 0, stable_hash(0, "tld") % 1000).otherwise(0).cast("int"),
         "uses_ip_address": flag(u.rlike(IPV4) | u.rlike(r"\[([0-9a-fA-F:]+)\]")),
         "has_suspicious_symbols": flag(u.rlike(r"[@%&*]")),
         "has_double_slash": flag(F.contains("path", F.lit("//"))),

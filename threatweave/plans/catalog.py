@@ -374,7 +374,8 @@ def _to_table(spark, stream, name) -> DataFrame:
 
 def _stream_sessions(spark, d):
     ev = T.trap_events_in(_events_stream(spark, d)).withWatermark("ts", "10 minutes")
-    return traps.session_rows(_to_table(spark, ST.session_stream(ev, GAP), "sessions"))
+    emitted = _to_table(spark, ST.session_stream(ev, GAP), "sessions")
+    return traps.session_rows(ST.close_sessions(emitted, T.trap_events(spark, d), GAP))
 
 
 def _stream_dedupe(spark, d):

@@ -314,10 +314,9 @@ SELECT 'N001' AS rule_id, o0 AS start_ord, completion_ord, 'entities.dst_ip=' ||
        round(0.6 * 0.8 + 0.4 * CASE WHEN c1 > 0 THEN 2 / (1 / c0 + 1 / c1) ELSE c0 END, 9) AS confidence FROM kept"""),
 }
 
-# A stream gives the batch results; sessions still open at its end are held back.
+# A stream, closed at its end, gives the batch results.
 STREAMS = {
-    "stream_trap_sessions": TRAPS["trap_sessions"] + """
-WHERE end_at + 7200000000 <= ((SELECT max(tm) FROM tr) // 1000) * 1000 - 600000000""",
+    "stream_trap_sessions": TRAPS["trap_sessions"],
     "stream_event_dedupe": _with(TRAP, "SELECT action, count(*) AS n FROM tr GROUP BY action"),
     "stream_sequence_alerts": CORRELATION["alert_dedupe"],
 }

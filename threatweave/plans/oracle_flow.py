@@ -273,6 +273,9 @@ SELECT page_id, kind, registered_domain, tld, url_length, length(registered_doma
        regexp_matches(url, '[@%&*]')::INTEGER AS has_suspicious_symbols, contains(path, '//')::INTEGER AS has_double_slash,
        starts_with(url, 'https://')::INTEGER AS has_ssl, length(path) - length(replace(path, '/', '')) AS url_depth,
        (contains(url, 'bit.ly') OR contains(url, 'tinyurl') OR contains(url, 'goo.gl'))::INTEGER AS is_shortened, entropy FROM full_f"""),
+    "url_tld_codes": _with(URLS, """
+SELECT tld, CASE WHEN tld = '' THEN 0 ELSE (('0x' || left(md5('0:' || tld), 8))::BIGINT % 1000)::INTEGER END AS tld_encoded, count(*) AS n
+FROM full_f GROUP BY ALL"""),
     "url_risk": _with(URLS, f"""
 SELECT page_id, kind, risk_score, CASE WHEN p >= 0.35 THEN 'PHISHING' ELSE 'LEGITIMATE' END AS prediction,
        CASE WHEN p > 0.8 THEN 'HIGH' WHEN p > 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, risk_level, {ADVICE} AS recommendation,

@@ -45,6 +45,15 @@ def session_stream(events: DataFrame, gap: str = "300s", patterns: dict = ATTACK
     )
 
 
+def close_sessions(emitted: DataFrame, events: DataFrame, gap: str = "300s", patterns: dict = ATTACK_PATTERNS) -> DataFrame:
+    """All sessions of a stream that has ended: those it emitted and those it still held.
+
+    ``events``: the stream's rows, read as a table.
+    """
+    held = trap_sessions(events, gap, patterns).join(emitted.select("session_id"), "session_id", "left_anti")
+    return emitted.unionByName(held)
+
+
 def export_stream(events: DataFrame, folder: str, deliver: Deliver, checkpoint: str, gap: str = "300s") -> StreamingQuery:
     """Store each batch, then export every session that waits.
 
