@@ -225,7 +225,32 @@ TUMBLING = FLOWS + ", win AS (SELECT *, CAST(floor(tm / 21600000000) AS BIGINT)
 TRAILING = FLOWS + """, win AS (
   SELECT o.*, t.ord AS id FROM leveled t JOIN trig o ON o.key = t.key AND o.tm BETWEEN t.tm - 21600000000 AND t.tm)""" + GRADED
 
+# Replay alert by alert: ``cleared`` is the last alert a serious incident swept away.
+_FIGURES = """count(o.ord) AS n, coalesce(sum(o.conf), 0) AS confirmed, count(DISTINCT o.port) AS ports,
+           coalesce(bool_or(o.label IN ('Infiltration', 'Botnet', 'WebAttack')), false) AS rare,
+           coalesce(bool_or(o.label = 'PortScan'), false) AS scan"""
+_SERIOUS = """n > 0 AND NOT (scan AND ports < 20 AND raised <= 1 AND confirmed < 5)
+           AND (raised >= 2 OR (scan AND ports >= 50))"""
+STATEFUL = FLOWS + f""", numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY tm, ord) AS rn, alert_level <> 'NONE' AS live,
+         CASE WHEN alert_level = 'CONFIRMED' THEN 1 ELSE 0 END AS conf FROM leveled),
+replay(key, rn, cleared) AS (
+  SELECT DISTINCT key, 0::BIGINT, 0::BIGINT FROM numbered
+  UNION ALL
+  SELECT key, rn, CASE WHEN {_SERIOUS} THEN rn ELSE cleared END FROM (
+    SELECT *, CASE WHEN rare THEN least(base + 1, 3) ELSE base END AS raised FROM (
+      SELECT *, CASE WHEN confirmed >= 20 THEN 3 WHEN confirmed >= 5 THEN 2 WHEN n - confirmed >= 40 THEN 2
+                     WHEN n - confirmed >= 15 THEN 1 ELSE 0 END AS base FROM (
+        SELECT t.key, t.rn, r.cleared, {_FIGURES}
+        FROM replay r JOIN numbered t ON t.key = r.key AND t.rn = r.rn + 1
+        LEFT JOIN numbered o ON o.key = t.key AND o.live AND o.rn > r.cleared AND o.rn <= t.rn AND o.tm >= t.tm - 21600000000
+        GROUP BY t.key, t.rn, r.cleared)))),
+win AS (
+  SELECT o.*, t.ord AS id FROM numbered t JOIN replay r ON r.key = t.key AND r.rn = t.rn - 1
+  JOIN numbered o ON o.key = t.key AND o.live AND o.rn > r.cleared AND o.rn <= t.rn AND o.tm >= t.tm - 21600000000)""" + GRADED
+
 INCIDENTS = {
+    "incidents_stateful": _with("RECURSIVE " + STATEFUL.lstrip(), f"SELECT id AS alert_ord, {INCIDENT_COLUMNS} FROM incident"),
     "incidents_tumbling": _with(TUMBLING, f"SELECT id AS bucket, {INCIDENT_COLUMNS} FROM incident"),
     "incidents_trailing": _with(TRAILING, f"SELECT id AS alert_ord, {INCIDENT_COLUMNS} FROM incident"),
     "incident_top_labels": _with(TUMBLING, """
@@ -317,6 +342,7 @@ SELECT 'N001' AS rule_id, o0 AS start_ord, completion_ord, 'entities.dst_ip=' ||
 # A stream, closed at its end, gives the batch results.
 STREAMS = {
     "stream_trap_sessions": TRAPS["trap_sessions"],
+    "stream_incidents_stateful": INCIDENTS["incidents_stateful"],
     "stream_event_dedupe": _with(TRAP, "SELECT action, count(*) AS n FROM tr GROUP BY action"),
     "stream_sequence_alerts": CORRELATION["alert_dedupe"],
 }
