@@ -60,6 +60,22 @@ def test_timestamps(spark):
     assert [r.split == "test" for r in G.temporal_split(short, "t", "t").collect()] == [True, True, False, True]
 
 
+def test_jobs_that_stop(spark):
+    from threatweave.operators import labels as L
+    from threatweave.operators.rules import rule_tables
+    df = spark.createDataFrame([("odd", "a")], "label string, split string")
+    with pytest.raises(ValueError, match="canonical"):
+        L.keep_canonical(df)
+    assert L.keep_canonical(df, require=False)[0].isEmpty()
+    with pytest.raises(ValueError, match="no column"):
+        P.file_label_index(df, "Label", "split")
+    with pytest.raises(ValueError, match="test split"):
+        G.require_test_rows(df)
+    rule = {"id": "R", "name": "n", "severity": "low", "confidence": 0.5, "sequence": [{"event_type": "x"}]}
+    with pytest.raises(ValueError, match="twice"):
+        rule_tables(spark, {"rules": [rule, rule]})
+
+
 @pytest.mark.parametrize("url,suffix,domain,sub", [
     ("https://secure-login.verify-account.xyz/login.php?user=test", "xyz", "verify-account", "secure-login"),
     ("http://a.b.example.co.uk/x", "co.uk", "example", "a.b"), ("http://10.1.2.3:80/x", "", "10.1.2.3", ""),

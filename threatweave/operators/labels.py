@@ -78,9 +78,12 @@ def canonical_label(label: str | Column, variant: str = "permissive") -> Column:
     return canonical_permissive(clean_label(label, "index"))
 
 
-def keep_canonical(df: DataFrame, label: str = "label", top: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(rows of a canonical class, most frequent unknown labels)."""
+def keep_canonical(df: DataFrame, label: str = "label", top: int = 20, require: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows of a canonical class, most frequent unknown labels). With ``require``, no such row stops the job."""
     mapped = df.withColumn(label, canonical_label(label))
     known = F.col(label).isin(*CANONICAL_CLASSES)
     unknown = mapped.filter(~known).groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(top)
-    return mapped.filter(known), unknown
+    kept = mapped.filter(known)
+    if require and kept.isEmpty():
+        raise ValueError(f"no row has a canonical class in {label!r}")
+    return kept, unknown

@@ -159,7 +159,9 @@ def quality_gate(df: DataFrame, label: str, file_col: str, stats: DataFrame | No
 
 
 def file_label_index(df: DataFrame, label: str, file_col: str) -> DataFrame:
-    """Per file: rows, rows of a canonical class and the classes present."""
+    """Per file: rows, rows of a canonical class and the classes present. A table without the label column is an error."""
+    if label not in df.columns:
+        raise ValueError(f"no column {label!r}: {df.columns}")
     counts = raw_label_counts(df, label, file_col).withColumnRenamed("permissive", "label")
     known = F.col("label").isin(*CANONICAL_CLASSES)
     return counts.groupBy(file_col).agg(

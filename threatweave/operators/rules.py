@@ -41,8 +41,11 @@ def rule_tables(spark: SparkSession, ruleset: dict) -> tuple[DataFrame, DataFram
     """Turn a rule set into its two tables, filling in defaults.
 
     Both come from the caller's own rule list, so their size is that list's size
-    and they may be broadcast.
+    and they may be broadcast. Two rules of one id are an error.
     """
+    ids = [rule["id"] for rule in ruleset.get("rules", [])]
+    if repeated := sorted({i for i in ids if ids.count(i) > 1}):
+        raise ValueError(f"rule ids given twice: {repeated}")
     rules, steps = [], []
     for n, rule in enumerate(ruleset.get("rules", [])):
         span = rule.get("max_span")

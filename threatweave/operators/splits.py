@@ -155,6 +155,13 @@ def split_checks(df: DataFrame, label: str) -> DataFrame:
     return unseen.unionByName(only).unionByName(empty)
 
 
+def require_test_rows(df: DataFrame) -> DataFrame:
+    """The split table itself; a split without test rows stops the job."""
+    if df.filter("split = 'test'").isEmpty():
+        raise ValueError("no row falls on a Friday: the test split is empty")
+    return df
+
+
 def sample_rows(df: DataFrame, key: str, n: int = 5000, seed: int = 42) -> DataFrame:
     """A fixed random sample without replacement: the ``n`` lowest hashes."""
     return df.orderBy(stable_hash(seed, key), key).limit(n)
