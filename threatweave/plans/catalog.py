@@ -320,7 +320,7 @@ URL_TEXT = {
 
 def _coefficients(spark, d):
     train = flows.splits_of(T.model_rows(spark, d))[0]
-    return O.top_coefficients(O.train_ovr(train, "svm", maxIter=10), [f"e{i}" for i in range(64)], spark)
+    return O.top_coefficients(O.train_ovr(train, "svm"), [f"e{i}" for i in range(64)], spark)
 
 
 def _text_nb(spark, d):
@@ -339,14 +339,15 @@ def _url_rf(spark, d):
     return scored.groupBy("prediction", "label", "risk_level").agg(F.count("*").alias("n"))
 
 
-# Short training: few rounds are enough to run every step over the whole tables.
+# SVMs, gates and forests train with the operators' own settings. The penalty search
+# and the boosted trees run short: in full, per class, they take minutes to hours on one machine.
 MODELS = {
-    "linear_svm": lambda s, d: flows.svm_report(T.model_rows(s, d), maxIter=10),
+    "linear_svm": lambda s, d: flows.svm_report(T.model_rows(s, d)),
     "ovr_logreg": lambda s, d: flows.logreg_report(T.model_rows(s, d), (0.1, 1.0), maxIter=10),
     "gbt_ovr": lambda s, d: flows.boosted_report(T.model_rows(s, d), maxIter=2, maxDepth=3, minInstancesPerNode=5),
-    "two_stage_v1": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v1", maxIter=10),
-    "two_stage_v2": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v2", maxIter=10),
-    "two_stage_v3": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v3", maxIter=10),
+    "two_stage_v1": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v1"),
+    "two_stage_v2": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v2"),
+    "two_stage_v3": lambda s, d: flows.two_stage_report(T.model_rows(s, d), "v3"),
     "top_coefficients": _coefficients,
     "text_nb": _text_nb,
     "url_rf": _url_rf,
