@@ -240,6 +240,6 @@ def apply_mixing(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
     mixed = keyed.join(draws, ["tw$id", "tw$version", "tw$twin"]).select(*names, "tw$size", "tw$draws").mapInArrow(
         run, schema)
     return (
-        mixed.repartition("tw$shard", F.call_function("shiftright", "tw$place", F.lit(58)))
+        mixed.repartition("tw$shard", F.call_function("shiftright", "tw$place", F.lit(43)))
         .sortWithinPartitions("tw$shard", "tw$place").select(*names)
     )
