@@ -1,6 +1,8 @@
 """Mixing, sharding, training order and their permutations."""
 
+import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute as B
 import numpy as np
@@ -12,7 +14,9 @@ from tokenizers import Tokenizer
 from threatweave.llm.feistel import invert, permute
 from threatweave.llm.mixing import apply_mixing, mix_documents, mix_targets, split_quotas, taken_words
 from threatweave.llm.sharding import shard_documents
-from threatweave.llm.training_order import read_slots, shard_name, training_order, write_shards
+from threatweave.llm.queries import QUERIES
+from threatweave.llm.training_order import padded, read_slots, shard_name, training_order, write_order, write_shards
+from threatweave.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -177,6 +181,38 @@ def test_training_order(spark, docs, rows, tmp_path):
     assert [x.tobytes() for x in read] == [by_slot[s] for s in range(37, len(want))]
 
 
+def test_registered_training_order_writes(spark):
+    """The query leaves shards of all documents, and its rows say what is in them."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("training-shards-*"))
+    got = sorted(QUERIES["op10_training_order"](spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.slot)
+    folder, = set(shared.glob("training-shards-*")) - before
+    read = list(read_slots(f"file://{folder}", 0, len(got) + 1))
+    assert [hashlib.sha256(x.tobytes()).hexdigest() for x in read] == [r.record_sha256 for r in got]
+    library = Tokenizer.from_file(VOCABULARY)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    want = {(r.doc_id, p): ids[p * 512:][:512] for r in docs
+            for ids in [library.encode(r.text or "", add_special_tokens=False).ids + [49407]] for p in range(-(-len(ids) // 512))}
+    assert {(r.doc_id, r.part): read[r.slot][:r.n_tokens].tolist() for r in got} == want and len(got) == len(want)
+
+
+def test_write_order_small_shards(docs, tmp_path):
+    out = training_order(docs, VOCABULARY, 32, 50)
+    rows = {r.slot: r for r in write_order(out.coalesce(2), f"file://{tmp_path}/s", 32, 50).collect()}
+    plain = {r.slot: r for r in out.collect()}
+    keep = ("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens")
+    assert rows.keys() == plain.keys()
+    assert all([rows[s][k] for k in keep] == [plain[s][k] for k in keep] for s in rows)
+    assert all(rows[s].record_sha256 == hashlib.sha256(plain[s].record).hexdigest() for s in rows)
+
+
+def test_wide_ids():
+    n, records = padded([np.array([1, 65535], "<u4").tobytes(), b""], 7, 2)
+    assert n.tolist() == [3, 1] and records.tolist() == [[1, 65535], [7, 7], [7, 7]]
+    with pytest.raises(ValueError, match="16 bits"):
+        padded([np.array([65536], "<u4").tobytes()], 7, 4)
+
+
 def test_empty(none):
     for out in (taken_words(mix_documents(none)), apply_mixing(none), shard_documents(none), training_order(none, VOCABULARY)):
         assert out.count() == 0

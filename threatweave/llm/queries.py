@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threatweave.llm.bpe import bpe_round_trip
-from threatweave.llm.common import given_id, load
+from threatweave.llm.common import given_id, load, run_folder, settle
 from threatweave.llm.counts import token_counts
 from threatweave.llm.exact import exact_dedup
 from threatweave.llm.linededup import line_dedup
@@ -13,7 +13,7 @@ from threatweave.llm.mixing import mix_documents, taken_words
 from threatweave.llm.neardup import near_duplicates
 from threatweave.llm.quality import quality_rules
 from threatweave.llm.sharding import shard_documents
-from threatweave.llm.training_order import training_order
+from threatweave.llm.training_order import training_order, write_order
 from threatweave.llm.urlfilter import filter_urls
 
 
@@ -68,7 +68,9 @@ def _op9(spark, d):
 
 
 def _op10(spark, d):
-    return training_order(load(spark, d, "documents"), tokenizer_file("word_bpe_49k.json"))
+    ordered = training_order(load(spark, d, "documents"), tokenizer_file("word_bpe_49k.json"))
+    # Written here and now: the shards are there when the query returns, once.
+    return settle(write_order(ordered, run_folder(spark, "training-shards")), "training-order")
 
 
 QUERIES = {

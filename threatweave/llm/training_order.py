@@ -2,50 +2,101 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threatweave.llm.bpe import codec, grouped
-from threatweave.llm.common import run_folder
 from threatweave.llm.feistel import permute
 
 SEED = 20240818
 SEQ_TOKENS = 512
 SHARD_RECORDS = 1 << 16
 END = "<|endoftext|>"
+MAX_ID = (1 << 16) - 1
+# Records in one Arrow batch, and read back at once.
+BATCH_RECORDS = 4096
+CHANGED = "documents came in another order or number than when they were counted; write them down first"
+
 
+def padded(ids: list[bytes], end: int, seq_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens per text, its end token included, and all texts' records as rows of 16-bit ids."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    if max(int(flat.max(initial=0)), end) > MAX_ID:
+        raise ValueError(f"token id {max(int(flat.max(initial=0)), end)} does not fit 16 bits")
+    n = np.array([len(x) // 4 for x in ids], np.int64)
+    count = n // seq_tokens + 1
+    at = (np.cumsum(count) - count) * seq_tokens - (np.cumsum(n) - n)
+    records = np.full(int(count.sum()) * seq_tokens, end, "<u2")
+    records[np.arange(len(flat)) + np.repeat(at, n)] = flat
+    return n + 1, records.reshape(-1, seq_tokens)
 
-def _sequences(docs: DataFrame, path: str, seq_tokens: int) -> DataFrame:
-    """``doc_id, part, n_tokens, record``: every text's ids and an end token, cut into padded records."""
+
+def _record_counts(slim: DataFrame, path: str, seq_tokens: int) -> dict[int, tuple[int, int]]:
+    """Records and a checksum of the ids of every task that reads ``slim``."""
 
     def run(batches):
+        coder = codec(path)
+        n, check = 0, 0
+        for b in grouped(batches, "text"):
+            for ids in coder.encode_ids(b.column("text").to_pylist()):
+                n += len(ids) // 4 // seq_tokens + 1
+                check = zlib.crc32(ids, check)
+        yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                          "n": pa.array([n], pa.int64()), "check": pa.array([check], pa.int64())})
+
+    # One row per task.
+    return {r["task"]: (r["n"], r["check"]) for r in slim.mapInArrow(run, "task int, n bigint, check bigint").collect()}
+
+
+def _sequences(
+    slim: DataFrame, path: str, seq_tokens: int, counts: dict[int, tuple[int, int]], seed: int,
+) -> DataFrame:
+    """``slot, doc_id, part, n_tokens, record``: every text's ids and an end token, cut into padded records."""
+    total, first = 0, {}
+    for task in sorted(counts):
+        first[task] = total
+        total += counts[task][0]
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
         coder = codec(path)
         end = coder.special[END]
+        start, check = first.get(task, 0), 0
+        at = start
         for b in grouped(batches, "text"):
-            doc, part, n_tokens, records = [], [], [], []
-            for row, ids in enumerate(coder.encode_ids(b.column("text").to_pylist())):
-                tokens = np.append(np.frombuffer(ids, "<u4"), end).astype("<u2")
-                count = -(-len(tokens) // seq_tokens)
-                padded = np.full(count * seq_tokens, end, "<u2")
-                padded[:len(tokens)] = tokens
-                raw, stride = padded.tobytes(), 2 * seq_tokens
-                doc += [row] * count
-                part += range(count)
-                n_tokens += [min(seq_tokens, len(tokens) - k * seq_tokens) for k in range(count)]
-                records += [raw[k * stride:(k + 1) * stride] for k in range(count)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(part, pa.int32()),
-                 pa.array(n_tokens, pa.int32()), pa.array(records, pa.binary())],
-                names=["doc_id", "part", "n_tokens", "record"])
+            ids = coder.encode_ids(b.column("text").to_pylist())
+            for x in ids:
+                check = zlib.crc32(x, check)
+            n, records = padded(ids, end, seq_tokens)
+            count = -(-n // seq_tokens)
+            doc = np.repeat(np.arange(len(n)), count)
+            part = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            n_tokens = np.minimum(seq_tokens, n[doc] - part * seq_tokens)
+            if at + len(doc) > start + counts.get(task, (0, 0))[0]:
+                raise RuntimeError(CHANGED)
+            slot = permute(np.arange(at, at + len(doc)), total, seed).astype(np.int64)
+            at += len(doc)
+            for k in range(0, len(doc), BATCH_RECORDS):
+                cut = slice(k, k + BATCH_RECORDS)
+                size = len(doc[cut])
+                offsets = np.arange(size + 1, dtype=np.int32) * (2 * seq_tokens)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot[cut]), b.column("doc_id").take(pa.array(doc[cut])), pa.array(part[cut], pa.int32()),
+                     pa.array(n_tokens[cut], pa.int32()), pa.Array.from_buffers(
+                         pa.binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(records[cut].tobytes())])],
+                    names=["slot", "doc_id", "part", "n_tokens", "record"])
+        if (at - start, check) != counts.get(task, (0, 0)):
+            raise RuntimeError(CHANGED)
 
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, part int, n_tokens int, record binary")
+    return slim.mapInArrow(run, f"slot bigint, doc_id {kind}, part int, n_tokens int, record binary")
 
 
 def training_order(
@@ -61,31 +112,18 @@ def training_order(
     so a reader can start at any slot; ``feistel.invert`` names the sequence there.
 
     A null or empty text is one record that only ends. Repeated rows have their own
-    records. The records are written once to the shared folder, where their number and
-    order become fixed, and then move once, to their shards.
+    records. An id above 16 bits is an error.
+
+    Texts are encoded twice: first to count the records of each task, which fixes
+    their order, then to place them; they move once, to their shards. So ``docs`` has
+    to give the same rows in the same order when read again, as a table does; a task
+    that meets other rows than it counted stops the job.
     """
-    spark = docs.sparkSession
-    made = run_folder(spark, "sequences")
-    _sequences(docs, path, seq_tokens).withColumn("seen", F.monotonically_increasing_id()).write.option(
-        "compression", "zstd").parquet(made)
-    rows = spark.read.parquet(made)
-    part = F.call_function("shiftright", "seen", F.lit(33)).cast("int")
-    rows = rows.withColumn("task", part)
-    # One row per writing task: how many records the tasks before it made.
-    before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
-    bases = rows.groupBy("task").agg(F.count("*").alias("n"), F.min("seen").alias("first")).withColumn(
-        "base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    total = rows.count()
-
-    @F.pandas_udf("bigint")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), max(total, 1), seed).astype(np.int64))
-
-    placed = rows.join(bases.select("task", "first", "base"), "task").select(
-        slot_of(F.col("seen") - F.col("first") + F.col("base")).alias("slot"), "doc_id",
-        F.col("part"), "n_tokens", "record")
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = _record_counts(slim, path, seq_tokens)
+    total = sum(n for n, _ in counts.values())
     shard = F.floor(F.col("slot") / shard_records).cast("int")
-    placed = placed.withColumn("shard", shard)
+    placed = _sequences(slim, path, seq_tokens, counts, seed).withColumn("shard", shard)
     return placed.repartitionById(max(1, -(-total // shard_records)), F.col("shard")).sortWithinPartitions("slot").select(
         "slot", "shard", ((F.col("slot") % shard_records) * (2 * seq_tokens)).alias("byte_offset"), "doc_id", "part",
         "n_tokens", "record")
@@ -127,6 +165,68 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
         "shard", "record").mapInArrow(run, "shard int, records bigint, bytes bigint")
 
 
+def write_order(ordered: DataFrame, folder: str, seq_tokens: int = SEQ_TOKENS, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """Write the shards of :func:`training_order` and tell what they hold.
+
+    Returns ``slot, shard, byte_offset, doc_id, part, n_tokens, record_sha256``. A shard
+    is read again when its file has its name; slot, offset and digest come from the
+    file, and a file that does not hold its rows' slots stops the job. Each action on
+    the result writes the shards again. For ``folder`` and lost tasks see :func:`write_shards`.
+    """
+    stride = 2 * seq_tokens
+
+    def told(store, name, shard, rows):
+        rows = pa.Table.from_batches(rows).combine_chunks()
+        slots = rows.column("slot").to_numpy()
+        info = store.get_file_info(name)
+        if info.size != rows.num_rows * stride or (slots != shard * shard_records + np.arange(len(slots))).any():
+            raise RuntimeError(f"{name} holds {info.size} bytes for {rows.num_rows} records from slot {slots[0]}")
+        with store.open_input_stream(name) as f:
+            for k in range(0, rows.num_rows, BATCH_RECORDS):
+                part = rows.slice(k, BATCH_RECORDS)
+                raw = memoryview(f.read(part.num_rows * stride))
+                digests = [hashlib.sha256(raw[a:a + stride]).hexdigest() for a in range(0, len(raw), stride)]
+                place = np.arange(k, k + len(digests), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard * shard_records + place), pa.array(np.full(len(place), shard, np.int32)),
+                     pa.array(place * stride), *[part.column(n).combine_chunks() for n in ("doc_id", "part", "n_tokens")],
+                     pa.array(digests)],
+                    names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record_sha256"])
+
+    def run(batches):
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        shard, temporary, stream, rows = None, None, None, []
+
+        def finish():
+            stream.close()
+            store.move(temporary, f"{root}/{shard_name(shard)}")
+            return told(store, f"{root}/{shard_name(shard)}", shard, rows)
+
+        for b in batches:
+            shards = b.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                if shards[a] != shard:
+                    if stream is not None:
+                        yield from finish()
+                    shard, rows = int(shards[a]), []
+                    temporary = f"{root}/.{shard_name(shard)}-{np.random.default_rng().integers(1 << 62):x}"
+                    stream = store.open_output_stream(temporary)
+                mine = b.slice(a, z - a)
+                stream.write(b"".join(mine.column("record").to_pylist()))
+                rows.append(mine.select(["slot", "doc_id", "part", "n_tokens"]))
+        if stream is not None:
+            yield from finish()
+
+    kind = ordered.schema["doc_id"].dataType.simpleString()
+    return ordered.sortWithinPartitions("slot").select(
+        "slot", "shard", "doc_id", "part", "n_tokens", "record").mapInArrow(
+        run, f"slot bigint, shard int, byte_offset bigint, doc_id {kind}, part int, n_tokens int, record_sha256 string")
+
+
 def read_slots(folder: str, first: int, count: int, seq_tokens: int = SEQ_TOKENS, shard_records: int = SHARD_RECORDS):
     """Records ``first`` to ``first + count - 1`` as arrays of ids: one seek per shard, then sequential."""
     store, root = pafs.FileSystem.from_uri(folder)
