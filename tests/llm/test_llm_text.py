@@ -50,6 +50,19 @@ def test_quality_applied(docs, rows):
     assert B.ordered(out.select("doc_id", "text", "lang", "source", "n_chars", "kept").collect()) == B.ordered(want)
 
 
+def test_quality_hot_host(spark):
+    """A host's size does not spare its lines: a third of all rows have one host, 12 of them share a line."""
+    shared = "read more about this and other things on our pages"
+    rows = [(i, "\n".join(" ".join(f"w{i}x{j}x{k}" for k in range(10)) for j in range(6)) + (
+        f"\n{shared}" if i % 30 == 0 else ""), "en", "hot" if i % 3 == 0 else f"host{i % 41}") for i in range(360)]
+    rows += [(1000 + i, rows[i][1] + "\nthe line of every page", "en", "hot") for i in range(0, 120, 2)]
+    got = {r.id: r.n_removed_chars for r in quality_rules(B.frame(spark, rows)).collect()}
+    of = {i: (len(shared) if shared in t else 0) + (22 if i >= 1000 else 0) for i, t, _, s in rows if s == "hot"}
+    assert got == {i: of.get(i, 0) for i, *_ in rows} and sum(x > 0 for x in of.values()) > 12
+    texts = {r.doc_id: r.text for r in apply_quality(B.frame(spark, rows)).collect()}
+    assert len(texts) == len(rows) and not any(shared in t for t in texts.values())
+
+
 def test_line_dedup(docs, rows):
     got = line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
     want = B.kept_lines(rows)

@@ -12,9 +12,8 @@ from threatweave.llm.common import (
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-# A line is above the limits when more documents of its host than both hold it.
+# A line is above the limit when more documents of its host hold it, however large the host is.
 LINE_DOCS = 10
-LINE_HOST_PERCENT = 10
 # A document is depleted when lines above the limits hold more of its characters.
 DEPLETED_PERCENT = 50
 
@@ -97,10 +96,12 @@ def hashed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(
-    docs: DataFrame, host: str = "source", min_docs: int = LINE_DOCS, host_percent: int = LINE_HOST_PERCENT,
+    docs: DataFrame, host: str = "source", min_docs: int = LINE_DOCS, host_percent: int | None = None,
 ) -> DataFrame:
-    """``host, h1, h2, docs``: lines in more documents of a host than ``min_docs`` and ``host_percent`` %.
+    """``host, h1, h2, docs``: lines in more documents of a host than ``min_docs``.
 
+    ``host_percent`` asks for more than that share of the host's documents as well,
+    which spares lines of large hosts.
     Distinct documents are counted in two steps, line and document first, so a line
     of a third of all documents is spread before its count meets in one place.
     """
@@ -108,6 +109,8 @@ def frequent_lines(
         hashed_lines(docs, host).groupBy("host", "h1", "h2").agg(F.count_distinct("id").alias("docs"))
         .where(F.col("docs") > min_docs)
     )
+    if host_percent is None:
+        return counted
     hosts = (
         docs.select(F.col(host).cast("string").alias("host"), ident().alias("id"))
         .groupBy("host").agg(F.count_distinct("id").alias("host_docs"))
