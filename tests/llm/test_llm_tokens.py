@@ -20,7 +20,7 @@ LETTERS = "aAbB'sStTreVmlLdD  \n\t\r　 \x85 éÉßΣσςİı́ǅ日本語α
 def texts():
     rng = random.Random(9)
     odd = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
-    return odd + ["ab" * 3000, "aaa" * 500, "<|endoftext|><|endoftext|>", " <|endoftext|> 's", "  a   b\n\n c \n"] + [
+    return odd + ["ab" * 3000, "aaa" * 500, "<|endoftext|><|endoftext|>", " <|endoftext|> 's", "a <|ENDOFTEXT|> b", "a <|EndOfText|> b", "  a   b\n\n c \n"] + [
         t or "" for _, t, _, _ in B.corpus()]
 
 
@@ -44,6 +44,20 @@ def test_encoder(texts, monkeypatch):
         assert codec.decode(e.ids) == d
 
 
+def test_special_strings_in_other_case():
+    """Special strings match the raw text only; in other case they are plain text."""
+    library = Tokenizer.from_file(WORDS)
+    codec = WordCodec(WORDS)
+    texts = ["a <|ENDOFTEXT|> b", "a <|EndOfText|> b", "<|ENDOFTEXT|>", "<|StartOfText|> <|startoftext|>",
+             "<|EndOfText|><|endoftext|> <|endoftext|>", "x <|endoftext|> y"]
+    for group in [texts, *[[t] for t in texts]]:
+        ids, decoded = codec.encode_batch(group)
+        for t, i, d in zip(group, ids, decoded):
+            want = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(i, "<u4").tolist() == want, repr(t)
+            assert d == library.decode(want, skip_special_tokens=False), repr(t)
+
+
 def test_forgetting(texts, monkeypatch):
     import threatweave.llm.bpe as bpe
     import threatweave.llm.counts as counts

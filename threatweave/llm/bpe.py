@@ -114,24 +114,25 @@ class WordCodec:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")").split
         self.names = {i: t for t, i in {**vocab, **self.special}.items()}
-        self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
+        # By piece or word; special strings are tuples, as a plain piece may read the same once lower-cased.
+        self.ids: dict[str | tuple[str], bytes] = {}
+        self.shown: dict[str | tuple[str], str] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.ids.clear()
         self.shown.clear()
         for text, i in self.special.items():
-            self.ids[text] = np.array([i], "<u4").tobytes()
-            self.shown[text] = text
+            self.ids[text,] = np.array([i], "<u4").tobytes()
+            self.shown[text,] = text
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces between blanks and line ends of the normalised text; special strings whole."""
+    def pieces(self, text: str) -> list[str | tuple[str]]:
+        """Pieces between blanks and line ends of the normalised text; special strings whole, each in a tuple."""
         if "<|" not in text:
             return self._plain_pieces(text)
-        out: list[str] = []
+        out: list[str | tuple[str]] = []
         for part in self.split_special(text):
-            out.extend([part] if part in self.special else self._plain_pieces(part))
+            out.extend([(part,)] if part in self.special else self._plain_pieces(part))
         return out
 
     def _plain_pieces(self, text: str) -> list[str]:
@@ -152,7 +153,7 @@ class WordCodec:
             return [piece[:-1], piece[-1]]
         return self.pattern.findall(piece)
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str | tuple[str]]) -> None:
         """Encode the pieces not met before, all their words in the same rounds."""
         ids, shown = self.ids, self.shown
         fresh = {p: self._words(p) for p in pieces.difference(ids)}
