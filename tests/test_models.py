@@ -1,13 +1,38 @@
-"""Registered model queries do the whole job: models trained with full settings."""
+"""Registered model queries do the whole job: all pages scored, models trained with full settings."""
 
 import pytest
 
 from threatweave.operators import models as O
+from threatweave.plans import tables as T
 from threatweave.plans.catalog import MODELS
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_url_rf_scores_every_page(spark):
+    assert sum(r.n for r in MODELS["url_rf"](spark, SF).collect()) == T.urls(spark, SF).count()
+
+
+def test_url_rf_scores_unseen_pages(spark, monkeypatch):
+    ids = lambda df: {r.page_id for r in df.select("page_id").distinct().collect()}
+    train, score, pairs = O.train_urls, O.score_urls, []
+
+    def trained(df, **how):
+        model = train(df, trees=2, depth=2)
+        model.seen = ids(df)
+        return model
+
+    def scored(model, df, **how):
+        pairs.append((model.seen, ids(df)))
+        return score(model, df, **how)
+
+    monkeypatch.setattr(O, "train_urls", trained)
+    monkeypatch.setattr(O, "score_urls", scored)
+    MODELS["url_rf"](spark, SF)
+    assert len(pairs) == 2 and not any(seen & asked for seen, asked in pairs)
+    assert set.union(*[asked for _, asked in pairs]) == ids(T.urls(spark, SF))
+
+
 class Stop(Exception):
     pass
 

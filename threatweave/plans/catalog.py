@@ -332,10 +332,13 @@ def _text_nb(spark, d):
 
 
 def _url_rf(spark, d):
-    """Forest that tells the made-up bad URL kinds from the others, on pages it was not trained on."""
+    """Forests that tell the made-up bad URL kinds from the others; every page is scored by the one not trained on it."""
     made = U.feature_vector(U.url_features(T.urls(spark, d))).withColumn("label", F.col("kind").isin(2, 3, 5).cast("int")).drop("p")
-    seen = G.in_sample("page_id", 0.5)
-    scored = U.url_risk(O.score_urls(O.train_urls(made.filter(seen)), made.filter(~seen)))
+    half = G.in_sample("page_id", 0.5)
+    # A page without id is in the second half.
+    first, second = made.filter(F.coalesce(half, F.lit(False))), made.filter(~F.coalesce(half, F.lit(False)))
+    crossed = O.score_urls(O.train_urls(first), second).unionByName(O.score_urls(O.train_urls(second), first))
+    scored = U.url_risk(crossed)
     return scored.groupBy("prediction", "label", "risk_level").agg(F.count("*").alias("n"))
 
 
