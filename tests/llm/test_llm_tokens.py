@@ -139,3 +139,22 @@ def test_urls(spark):
     by_id = {r.page_id: r.verdict for r in filter_urls(_pages(spark, less), redirects=known).collect()}
     assert (by_id[8], by_id[15]) == ("block", "block")
     assert filter_urls(_pages(spark, [])).count() == 0
+
+
+def test_url_link_forms(spark):
+    """Quoted refresh targets, dot segments and escaped ampersands name the page they lead to."""
+    refresh, canonical = "<meta http-equiv=refresh content={}>", '<link rel=canonical href="{}">'
+    rows = [
+        (1, "http://a.org/1", refresh.format("\"0; url='http://b.net/fr/1'\"")),
+        (2, "http://a.org/2", refresh.format("'0; url=\"http://b.net/fr/2\"'")),
+        (3, "http://a.org/3", canonical.format("http://b.net/de/x/../../fr/./3")),
+        (4, "http://a.org/4", canonical.format("http://c.org/q?a=1&amp;b=2")),
+        (5, "http://c.org/q?a=1&b=2", canonical.format("http://b.net/fr/5")),
+        (6, "http://d.org/x/y/z", canonical.format("../up/./6?k=../1")),
+        (7, "http://d.org/x/up/6?k=../1", canonical.format("http://b.net/../../fr/7")),
+        (8, "http://d.org/e/f/g", canonical.format("..")),
+        (9, "http://d.org/e/", canonical.format("http://b.net/fr/9")),
+        (10, "http://d.org/free", canonical.format("http://d.org/e/..x/.y")),
+    ]
+    got = {r.page_id: r.verdict for r in filter_urls(_pages(spark, rows)).collect()}
+    assert got == {i: "allow" if i == 10 else "block" for i in range(1, 11)}

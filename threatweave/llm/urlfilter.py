@@ -58,6 +58,18 @@ def _absolute(target: Column, url: Column) -> Column:
     )
 
 
+def _resolved(url: Column) -> Column:
+    """``url`` without ``.`` and ``..`` segments in its path."""
+    steps = F.split(path_of(url), "/", -1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(
+        s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(s))))
+    ends = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    path = F.concat(F.array_join(kept, "/"), ends)
+    return F.when(path_of(url).rlike("/\\.{1,2}(/|$)"), F.concat(
+        F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1), path,
+        F.regexp_extract(url, "(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1))).otherwise(url)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """``u, v``: redirect (meta refresh) and canonical-link edges between url nodes, read from whole pages."""
     html = F.col("html")
@@ -68,11 +80,12 @@ def page_links(pages: DataFrame) -> DataFrame:
         lambda t: F.regexp_extract(t, "(?is)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
     refresh = F.transform(
         F.filter(tags, lambda t: t.rlike("(?is)^<meta\\b") & t.rlike("(?is)\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b")),
-        lambda t: F.regexp_extract(t, "(?is)\\burl\\s*=\\s*([^\"'\\s>]+)", 1))
+        lambda t: F.regexp_extract(t, "(?is)\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)", 1))
+    target = F.regexp_replace("target", "(?i)&amp;", "&")
     return (
         pages.where(F.contains("url", F.lit("://"))).select("url", F.explode(F.concat(canonical, refresh)).alias("target"))
         .where(F.col("target") != "")
-        .select(node_of(F.col("url")).alias("u"), node_of(_absolute(F.col("target"), F.col("url"))).alias("v"))
+        .select(node_of(F.col("url")).alias("u"), node_of(_resolved(_absolute(target, F.col("url")))).alias("v"))
         .where("u != v").distinct()
     )
 
