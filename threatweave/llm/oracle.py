@@ -143,10 +143,106 @@ SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, a.verdict, 'allow'
 FROM parts p LEFT JOIN hits h USING (page_id) LEFT JOIN alias a USING (node)
 """
 
+# CRC-32 from its polynomial; bytes of letters up to U+00FF in UTF-8.
+SPELLING = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n, range(8)), lambda a, b: if(a % 2 = 1, xor(3988292384, a // 2), a // 2))) AS tab),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+pairs AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+        string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+        lambda c: if(ord(c) < 128, [ord(c)::BIGINT], [195::BIGINT, ord(c)::BIGINT - 64])))),
+        lambda a, b: xor(tab[xor(a, b) % 256 + 1], a // 256)), 4294967295) AS h
+    FROM pairs, crc),
+words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END
+            AS word, n FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS MATERIALIZED (
+    SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (
+    SELECT x.word, y.word AS other, y.n AS other_n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b
+    WHERE x.word != y.word
+    UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.a || h.b = w.word
+    UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.a || h.b = w.word),
+best AS (
+    SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near
+    QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+           CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)),
+roots(word, root, form) AS (
+    SELECT word, word, form FROM forms
+    UNION ALL SELECT r.word, f.word, f.form FROM roots r JOIN forms f ON f.word = r.form)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word AND r.form IS NULL
+"""
+
+CHATS = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+sized AS (
+    SELECT *, length('### ') + length(CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN role
+            ELSE '\r' || replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c') END)
+        + 2 + length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) + length('</turn>') + 1 AS n
+    FROM turns),
+joined AS (
+    SELECT conv_id, count(*) AS n_turns, sum(n)::BIGINT AS formatted_chars,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+           string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text) AS loss
+    FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM joined
+"""
+
+
+def _cluster_sql(rounds: int = 5, clusters: int = 40) -> str:
+    """The rounds of k-means one after another, each from the centroids of the one before."""
+    steps = [f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+vectors AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest(v) AS x FROM kept),
+seeds AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c FROM kept
+    QUALIFY c < {clusters}),
+centroids0 AS MATERIALIZED (SELECT c, i, x FROM seeds JOIN vectors USING (rid))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+nearest{r} AS MATERIALIZED (
+    SELECT rid, c, d FROM (
+        SELECT v.rid, k.c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d
+        FROM vectors v JOIN centroids{r} k USING (i) GROUP BY v.rid, k.c)
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+centroids{r + 1} AS MATERIALIZED (
+    SELECT k.c, k.i, coalesce((s - ((s % n) + n) % n) // n, k.x)::BIGINT AS x FROM centroids{r} k LEFT JOIN (
+        SELECT c, i, sum(x) AS s, count(*) AS n FROM nearest{r} JOIN vectors USING (rid) GROUP BY c, i) m
+    ON m.c = k.c AND m.i = k.i)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM nearest{rounds} JOIN kept USING (rid) JOIN (
+    SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM centroids{rounds} GROUP BY c) USING (c)
+"""
+
+
+CLUSTERS = _cluster_sql()
+
+
 ORACLE = {
     "op1_quality_rules": QUALITY,
     "op2_line_dedup": LINES,
     "op4_url_filter": URLS,
     "op5_near_dedup": NEAR,
     "op6_exact_dedup": EXACT,
+    "op11_spelling_variants": SPELLING,
+    "op12_chat_format": CHATS,
+    "op13_centroid_clusters": CLUSTERS,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threatweave.llm.bpe import bpe_round_trip
+from threatweave.llm.centroids import centroid_clusters
+from threatweave.llm.chat import MarkedTemplate, format_chats, read_back
 from threatweave.llm.common import given_id, load, run_folder, settle
 from threatweave.llm.counts import token_counts
 from threatweave.llm.exact import exact_dedup
@@ -13,8 +15,10 @@ from threatweave.llm.mixing import mix_documents, taken_words
 from threatweave.llm.neardup import near_duplicates
 from threatweave.llm.quality import quality_rules
 from threatweave.llm.sharding import shard_documents
+from threatweave.llm.spelling import spelling_variants
 from threatweave.llm.training_order import training_order, write_order
 from threatweave.llm.urlfilter import filter_urls
+from threatweave.session import local_table
 
 
 def _op1(spark, d):
@@ -73,6 +77,25 @@ def _op10(spark, d):
     return settle(write_order(ordered, run_folder(spark, "training-shards")), "training-order")
 
 
+def _op11(spark, d):
+    return spelling_variants(load(spark, d, "documents"))
+
+
+# A conversation whose texts look like the template's own marks.
+TRICKY = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def _op12(spark, d):
+    convs = load(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        local_table(spark, TRICKY, "conv_id bigint, turn bigint, role string, text string"))
+    template = MarkedTemplate()
+    return read_back(format_chats(convs, template), template)
+
+
+def _op13(spark, d):
+    return centroid_clusters(load(spark, d, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": _op1,
     "op2_line_dedup": _op2,
@@ -84,4 +107,7 @@ QUERIES = {
     "op8_bpe": _op8,
     "op9_sharding": _op9,
     "op10_training_order": _op10,
+    "op11_spelling_variants": _op11,
+    "op12_chat_format": _op12,
+    "op13_centroid_clusters": _op13,
 }
