@@ -185,3 +185,11 @@ def test_lint(spark):
     issues = {(r.level, r.issue) for r in lint_rules(frame(spark, [event(1, "a", 0), event(2, "b", 0)]), rules, steps).collect()}
     assert ("error", "duplicate_id") in issues
     assert {"within_on_first_step", "within_exceeds_max_span", "low_confidence"} <= {i for _, i in issues}
+
+
+def test_lint_tells_every_repeat(spark):
+    once = {**SCAN, "sequence": [{"event_type": "zz", "within": "1m"}]}
+    rules, steps = rule_tables(spark, {"rules": [SCAN, SCAN, once]})
+    issues = sorted((r.rule_id, r.step_no, r.issue) for r in lint_rules(frame(spark, [event(1, "a", 0), event(2, "b", 0)]), rules, steps).collect())
+    # A window on the only step of a rule is no issue; its step that nothing meets is its own.
+    assert issues == [("R01", -1, "duplicate_id")] * 2 + [("R01", 0, "step_never_met")]

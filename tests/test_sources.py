@@ -62,7 +62,7 @@ def test_timestamps(spark):
 
 def test_jobs_that_stop(spark):
     from threatweave.operators import labels as L
-    from threatweave.operators.rules import rule_tables
+    from threatweave.operators.rules import eligible_steps, rule_tables
     df = spark.createDataFrame([("odd", "a")], "label string, split string")
     with pytest.raises(ValueError, match="canonical"):
         L.keep_canonical(df)
@@ -73,7 +73,7 @@ def test_jobs_that_stop(spark):
         G.require_test_rows(df)
     rule = {"id": "R", "name": "n", "severity": "low", "confidence": 0.5, "sequence": [{"event_type": "x"}]}
     with pytest.raises(ValueError, match="twice"):
-        rule_tables(spark, {"rules": [rule, rule]})
+        eligible_steps(*rule_tables(spark, {"rules": [rule, rule]}))
 
 
 @pytest.mark.parametrize("url,suffix,domain,sub", [

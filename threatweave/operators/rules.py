@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,11 +41,9 @@ def rule_tables(spark: SparkSession, ruleset: dict) -> tuple[DataFrame, DataFram
     """Turn a rule set into its two tables, filling in defaults.
 
     Both come from the caller's own rule list, so their size is that list's size
-    and they may be broadcast. Two rules of one id are an error.
+    and they may be broadcast. ``rule_ord`` tells two rules of one id apart:
+    :func:`lint_rules` reports them, :func:`eligible_steps` refuses them.
     """
-    ids = [rule["id"] for rule in ruleset.get("rules", [])]
-    if repeated := sorted({i for i in ids if ids.count(i) > 1}):
-        raise ValueError(f"rule ids given twice: {repeated}")
     rules, steps = [], []
     for n, rule in enumerate(ruleset.get("rules", [])):
         span = rule.get("max_span")
@@ -84,9 +82,14 @@ def rule_tables(spark: SparkSession, ruleset: dict) -> tuple[DataFrame, DataFram
 def eligible_steps(rules: DataFrame, steps: DataFrame) -> list[dict]:
     """Steps of enabled rules with at least two steps, with the rule's own bounds.
 
-    The rule set decides the shape of the plan, so it is read on the driver.
+    The rule set decides the shape of the plan, so it is read on the driver. Two
+    rules of one id are an error: their alerts could not be told apart.
     """
-    spans = {r["rule_id"]: r["max_span_s"] for r in rules.collect() if r["enabled"]}
+    given = rules.collect()
+    ids = [r["rule_id"] for r in given]
+    if repeated := sorted({i for i in ids if ids.count(i) > 1}):
+        raise ValueError(f"rule ids given twice: {repeated}")
+    spans = {r["rule_id"]: r["max_span_s"] for r in given if r["enabled"]}
     rows = [r.asDict() for r in steps.collect() if r["rule_id"] in spans]
     sizes: dict[str, int] = {}
     for r in rows:
@@ -126,17 +129,24 @@ def entity_at(path: Column, entities: str = "entities") -> Column:
 
 
 def lint_rules(events: DataFrame, rules: DataFrame, steps: DataFrame) -> DataFrame:
-    """Rule-set issues, including steps that no event of the table satisfies."""
-    repeated = (
-        rules.groupBy("rule_id").agg(F.count("*").alias("n")).filter("n > 1")
-        .select("rule_id", F.lit(-1).alias("step_no"), F.lit("error").alias("level"), F.lit("duplicate_id").alias("issue"))
-    )
+    """Rule-set issues, including steps that no event of the table satisfies.
+
+    ``rule_id, step_no`` (-1: the rule), ``level, issue``. Every rule but the first of
+    its id is one ``duplicate_id`` error; the other issues are looked for in each rule
+    by itself. Windows between steps only matter to rules of two steps or more.
+    """
+    nth = F.row_number().over(Window.partitionBy("rule_id").orderBy("rule_ord"))
+    repeated = rules.select("rule_id", nth.alias("nth")).filter("nth > 1").select(
+        "rule_id", F.lit(-1).alias("step_no"), F.lit("error").alias("level"), F.lit("duplicate_id").alias("issue"))
 
     def warn(df: DataFrame, issue: str, step: Column) -> DataFrame:
         return df.select("rule_id", step.cast("int").alias("step_no"), F.lit("warning").alias("level"), F.lit(issue).alias("issue"))
 
     no_step = F.lit(-1)
-    first = warn(steps.filter("step_no = 0 AND within_s IS NOT NULL"), "within_on_first_step", F.col("step_no"))
+    several = steps.filter("step_no = 1").select("rule_ord")
+    first = warn(
+        steps.filter("step_no = 0 AND within_s IS NOT NULL").join(F.broadcast(several), "rule_ord", "left_semi"),
+        "within_on_first_step", F.col("step_no"))
     totals = steps.filter("step_no > 0").groupBy("rule_ord").agg(F.sum("within_s").alias("total"))
     span = warn(rules.join(F.broadcast(totals), "rule_ord").filter("total > max_span_s"), "within_exceeds_max_span", no_step)
     noisy = warn(rules.filter("confidence < 0.5"), "low_confidence", no_step)
@@ -146,14 +156,14 @@ def lint_rules(events: DataFrame, rules: DataFrame, steps: DataFrame) -> DataFra
 
 
 def step_coverage(events: DataFrame, steps: DataFrame) -> DataFrame:
-    """Number of events that satisfy each rule step, zero included."""
+    """Number of events that satisfy each rule step, zero included; rules of one id are counted apart."""
+    keys = ["rule_ord", "rule_id", "step_no"]
     hits = (
         step_candidates(events.select("event_type", "confidence", "severity", "tags"), steps)
-        .groupBy("rule_id", "step_no").agg(F.count("*").alias("n_events"))
+        .groupBy(*keys).agg(F.count("*").alias("n_events"))
     )
     # One row per rule step at most, so this side is as small as the rule set.
     return (
-        steps.select("rule_id", "step_no").distinct()
-        .join(F.broadcast(hits), ["rule_id", "step_no"], "left")
+        steps.select(*keys).join(F.broadcast(hits), keys, "left")
         .select("rule_id", "step_no", F.coalesce("n_events", F.lit(0)).alias("n_events"))
     )

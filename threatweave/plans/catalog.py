@@ -39,8 +39,8 @@ def _alerts(ruleset, report, dedupe=True) -> Query:
     return lambda spark, d: report(C.correlate(T.security_events(spark, d), ruleset, dedupe=dedupe))
 
 
-def _lint(spark, d):
-    return R.lint_rules(T.security_events(spark, d), *R.rule_tables(spark, T.EVENT_RULES))
+def _lint(ruleset) -> Query:
+    return lambda spark, d: R.lint_rules(T.security_events(spark, d), *R.rule_tables(spark, ruleset))
 
 
 def _coverage(spark, d):
@@ -57,7 +57,8 @@ CORRELATION = {
     "alert_explain": _alerts(T.EVENT_RULES, C.alert_steps, dedupe=False),
     "alert_entities": _alerts(T.EVENT_RULES, C.alert_entities, dedupe=False),
     "alert_rule_report": _alerts(T.EVENT_RULES, C.rule_report),
-    "rule_lint": _lint,
+    "rule_lint": _lint(T.EVENT_RULES),
+    "rule_lint_repeated": _lint(T.REPEATED_RULES),
     "rule_step_coverage": _coverage,
 }
 

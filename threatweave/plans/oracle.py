@@ -15,6 +15,34 @@ ev AS (
          CAST(user_id AS VARCHAR) AS usr
   FROM events)"""
 
+
+
+def _lint_sql(more_rules: str = "", more_steps: str = "") -> str:
+    """Rule-set issues worked out from the rules as rows (times in seconds)."""
+    comma = ", " if more_rules else ""
+    return f"""WITH {EVENTS},
+rules(n, rule_id, conf, span) AS (VALUES
+  (0, 'W001', 0.85, 7200), (1, 'W002', 0.60, 43200), (2, 'W003', 0.90, NULL), (3, 'W004', 0.40, 300), (4, 'W005', 0.70, NULL)
+  {comma}{more_rules}),
+steps(n, step_no, kind, min_sev, min_conf, tags, win) AS (VALUES
+  (0, 0, 'error', 0, 0, '', NULL), (0, 1, 'purchase', 0, 0, '', 3600),
+  (1, 0, 'view', 0, 0, '', NULL), (1, 1, 'click', 0, 0, '', 14400), (1, 2, 'purchase', 0, 0, '', 14400),
+  (2, 0, 'error', 3, 0, '', NULL), (2, 1, 'error', 0, 0.01, '', 1800),
+  (3, 0, 'signup', 0, 0, '', 60), (3, 1, 'view', 0, 0, 'high,mid', 600),
+  (4, 0, 'click', 0, 0, '', NULL), (4, 1, 'no_such_type', 0, 0, '', 3600)
+  {comma}{more_steps}),
+spans AS (SELECT n, max(step_no) + 1 AS steps, sum(win) FILTER (step_no > 0) AS total FROM steps GROUP BY n)
+SELECT rule_id, -1 AS step_no, 'error' AS level, 'duplicate_id' AS issue FROM rules
+QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY n) > 1
+UNION ALL SELECT rule_id, 0, 'warning', 'within_on_first_step' FROM rules JOIN steps USING (n) JOIN spans USING (n)
+WHERE step_no = 0 AND win IS NOT NULL AND spans.steps >= 2
+UNION ALL SELECT rule_id, -1, 'warning', 'within_exceeds_max_span' FROM rules JOIN spans USING (n) WHERE total > span
+UNION ALL SELECT rule_id, -1, 'warning', 'low_confidence' FROM rules WHERE conf < 0.5
+UNION ALL SELECT rule_id, step_no, 'warning', 'step_never_met' FROM rules JOIN steps s USING (n)
+WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.event_type = s.kind AND ev.severity >= s.min_sev
+  AND ev.confidence >= s.min_conf AND (s.tags = '' OR contains(s.tags, ev.tag)))"""
+
+
 CHAINS = EVENTS + """,
 w1 AS (
   SELECT 'W001' AS rule_id, s.ord AS o0, s.at AS t0, c.ord AS o1, c.at AS t1,
@@ -115,12 +143,11 @@ SELECT rule_id, o0, 2, y2, CAST(o2 AS VARCHAR), (t2 - t1) // 1000000,
     "alert_rule_report": _with(ALERTS, """
 SELECT rule_id, count(*) AS alerts, round(avg(score), 6) AS mean_confidence, max(severity_score) AS max_severity_score
 FROM kept GROUP BY rule_id"""),
-    "rule_lint": _with(EVENTS, """
-SELECT 'W004' AS rule_id, 0 AS step_no, 'warning' AS level, 'within_on_first_step' AS issue
-UNION ALL SELECT 'W004', -1, 'warning', 'within_exceeds_max_span'
-UNION ALL SELECT 'W004', -1, 'warning', 'low_confidence'
-UNION ALL SELECT 'W005', 1, 'warning', 'step_never_met'
-WHERE (SELECT count(*) FROM ev WHERE event_type = 'no_such_type') = 0"""),
+    "rule_lint": _lint_sql(),
+    "rule_lint_repeated": _lint_sql(
+        "(5, 'W001', 0.85, 7200), (6, 'W001', 0.30, 600), (7, 'W004', 0.40, 300)",
+        "(5, 0, 'error', 0, 0, '', NULL), (5, 1, 'purchase', 0, 0, '', 3600), (6, 0, 'click', 0, 0, '', 60), "
+        "(6, 1, 'nowhere', 0, 0, '', 1200), (7, 0, 'signup', 0, 0, '', 60)"),
     "rule_step_coverage": _with(EVENTS, """
 SELECT rule_id, step_no, count(ev.ord) AS n_events
 FROM (VALUES ('W001', 0, 'error', 0, 0, ''), ('W001', 1, 'purchase', 0, 0, ''),

@@ -53,6 +53,16 @@ EVENT_RULES = {
     ]
 }
 
+# The same set with rules that repeat an id: one as it is, one with other steps, one of a single step.
+REPEATED_RULES = {
+    "rules": EVENT_RULES["rules"] + [
+        EVENT_RULES["rules"][0],
+        {**EVENT_RULES["rules"][0], "confidence": 0.3, "max_span": "10m", "sequence": [
+            {"event_type": "click", "within": "1m"}, {"event_type": "nowhere", "within": "20m"}]},
+        {**EVENT_RULES["rules"][3], "sequence": [{"event_type": "signup", "within": "1m"}]},
+    ],
+}
+
 TWO_STEP = {"rules": EVENT_RULES["rules"][:1]}
 THREE_STEP = {"rules": EVENT_RULES["rules"][1:2]}
 
