@@ -2,7 +2,9 @@
 
 import pytest
 
+from threatweave.operators import boosting as H
 from threatweave.operators import models as O
+from threatweave.plans import flows
 from threatweave.plans import tables as T
 from threatweave.plans.catalog import MODELS
 
@@ -38,7 +40,6 @@ class Stop(Exception):
 
 
 @pytest.mark.parametrize("name, kind, want", [
-    ("gbt_ovr", "gbt", {"maxIter": 220, "maxDepth": 8, "minInstancesPerNode": 30}),
     ("ovr_logreg", "logreg", {"maxIter": 100}),
 ])
 def test_full_settings(spark, monkeypatch, name, kind, want):
@@ -58,3 +59,11 @@ def test_full_settings(spark, monkeypatch, name, kind, want):
         MODELS[name](spark, SF)
     assert made[0][0] == kind and {k: made[0][1].getOrDefault(k) for k in want} == want
     assert grids == ([O.C_GRID] if kind == "logreg" else [])
+
+
+def test_boosted_query_has_full_settings(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(flows, "train_boosted", lambda df, **params: given.append((df.count(), params)) or H.train_boosted(df, rounds=1))
+    assert sum(r.support for r in MODELS["gbt_ovr"](spark, SF).collect()) > 0
+    rows = T.model_rows(spark, SF).filter("split = 'train'").count()
+    assert given == [(rows, {})] and (H.ROUNDS, H.RATE, H.DEPTH, H.LEAVES, H.MIN_ROWS) == (220, 0.08, 8, 31, 30)

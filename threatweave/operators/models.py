@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatweave.functions.fixed import URL_FEATURES
+from threatweave.operators.boosting import BoostedTrees
 from threatweave.operators.evaluate import GATE_GRID, CLASS_GRID, class_metrics, f1_summary, search_thresholds
 from threatweave.operators.gates import alert_level, hard_gate, predict_with_thresholds, score_margin
 from threatweave.operators.text import tokens, scrub_text
@@ -120,7 +121,7 @@ def search_penalty(train: DataFrame, val: DataFrame, grid=C_GRID, label: str = "
     return train_ovr(train.unionByName(val), "logreg", label, c=best_c, **params), best_c, best
 
 
-def fit_thresholds(model: PerClass, val: DataFrame, label: str = "label", grid=CLASS_GRID) -> list[float]:
+def fit_thresholds(model: PerClass | BoostedTrees, val: DataFrame, label: str = "label", grid=CLASS_GRID) -> list[float]:
     """Best threshold of each class on validation rows, in the order of the model's labels."""
     marks = F.array(
         *[F.struct(F.lit(n).alias("class"), F.get("scores", F.lit(i)).alias("score"), (F.col(label) == n).alias("hit")) for i, n in enumerate(model.labels)]
@@ -130,7 +131,7 @@ def fit_thresholds(model: PerClass, val: DataFrame, label: str = "label", grid=C
     return [best.get(n, 0.5) for n in model.labels]
 
 
-def predict_thresholded(model: PerClass, df: DataFrame, thresholds: list[float]) -> DataFrame:
+def predict_thresholded(model: PerClass | BoostedTrees, df: DataFrame, thresholds: list[float]) -> DataFrame:
     return model.score(df).withColumn("prediction", model.name(predict_with_thresholds(F.col("scores"), thresholds)))
 
 

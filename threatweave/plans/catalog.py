@@ -21,7 +21,7 @@ from threatweave.operators import splits as G
 from threatweave.operators import store
 from threatweave.operators import text as M
 from threatweave.operators import urls as U
-from threatweave.operators.gates import with_alert_levels
+from threatweave.operators.gates import predict_with_thresholds, with_alert_levels
 from threatweave.operators.normalize import contract_violations
 from threatweave.plans import correlate as C
 from threatweave.plans import flows
@@ -265,6 +265,19 @@ def _thresholds(spark, d, grid, macro):
     return _round(V.search_thresholds(scored, grid, macro), "threshold", "f1")
 
 
+# Few vectors pass for the first classes and most for the last.
+LIMITS = [0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.0, 0.0]
+
+
+def _predict_thresholds(spark, d):
+    """The class of each vector, its first components taken as the scores of the classes."""
+    scores = F.transform(F.slice("embedding", 1, len(LIMITS)), lambda x: F.round(x.cast("double"), 2) + F.lit(0.0))
+    at = predict_with_thresholds(scores, LIMITS)
+    return T.table(spark, d, "embeddings").select(
+        "vec_id", F.get(F.array(*map(F.lit, CANONICAL_CLASSES)), at).alias("prediction"), F.round(F.get(scores, at), 2).alias("score"))
+
+
+
 EVALUATE = {
     "feature_fit": _fitted,
     "feature_standardize": _standardized,
@@ -277,6 +290,7 @@ EVALUATE = {
     "binary_report": lambda s, d: _round(V.binary_report(T.scored_orders(s, d), "label", "prediction"), "precision", "recall", "f1"),
     "threshold_search": lambda s, d: _thresholds(s, d, V.CLASS_GRID, False),
     "gate_threshold_search": lambda s, d: _thresholds(s, d, V.GATE_GRID, True),
+    "predict_thresholds": _predict_thresholds,
     "alert_levels": lambda s, d: with_alert_levels(T.scored_orders(s, d), "prediction", "score").groupBy("prediction", "alert_level").agg(F.count("*").alias("n")),
 }
 

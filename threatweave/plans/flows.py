@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threatweave.operators import evaluate as V
 from threatweave.operators import models as O
+from threatweave.operators.boosting import train_boosted
 
 
 def incident_table(incidents: DataFrame, *ids: str) -> DataFrame:
@@ -55,7 +56,7 @@ def logreg_report(df: DataFrame, grid, **params) -> DataFrame:
 
 def boosted_report(df: DataFrame, **params) -> DataFrame:
     train, val, test = splits_of(df)
-    model = O.train_ovr(train, "gbt", **params)
+    model = train_boosted(train, **params)
     return model_report(O.predict_thresholded(model, test, O.fit_thresholds(model, val)))
 
 

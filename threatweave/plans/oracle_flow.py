@@ -203,6 +203,11 @@ FROM (SELECT label, count(*) AS n FROM o GROUP BY label), (SELECT count(*) AS to
 names AS""") + "," + _metrics("SELECT unnest(['ATTACK', 'BENIGN']) AS label"), MET),
     "threshold_search": _search(1, 20, False),
     "gate_threshold_search": _search(2, 20, True),
+    "predict_thresholds": """WITH s AS (
+  SELECT vec_id, unnest(range(1, 10)) AS c, unnest([0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.0, 0.0]) AS least,
+         round(CAST(unnest(embedding[1:9]) AS DOUBLE), 2) + CAST(0 AS DOUBLE) AS score FROM embeddings)
+SELECT vec_id, (""" + _array(K.CANONICAL_CLASSES) + """)[c] AS prediction, round(score, 2) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score >= least DESC, score DESC, c) = 1""",
     "alert_levels": _with(SCORED, """
 SELECT prediction, CASE WHEN prediction <> 'BENIGN' AND score >= 0.65 THEN 'CONFIRMED' WHEN prediction <> 'BENIGN' AND score >= 0.35 THEN 'SUSPECT'
        WHEN prediction = 'BENIGN' AND score >= 0.65 THEN 'SUSPECT' ELSE 'NONE' END AS alert_level, count(*) AS n FROM s GROUP BY ALL"""),
