@@ -1,22 +1,20 @@
 """Roll scored flow alerts up into incidents per source -> destination.
 
 Modes: ``tumbling`` (one row per key and window), ``trailing`` (one row per
-alert over the window that ends at it) and ``stateful`` (as trailing,
-but a HIGH or CRITICAL incident empties the window).
+alert over the window that ends at it) and ``stateful`` (as trailing, alert by alert
+in order, but a HIGH or CRITICAL incident empties the window).
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatweave.functions.columns import parse_window
 from threatweave.functions.fixed import INCIDENT_ADVICE, INCIDENT_LEVELS, RARE_LABELS
-from threatweave.operators.sessions import chain_slots
+from threatweave.operators.clearing import cleared_windows
 
 
 def flow_key() -> Column:
@@ -255,39 +253,6 @@ INCIDENT_COLUMNS = [
 ]
 
 
-def _stateful(trig: DataFrame, width: int) -> DataFrame:
-    """Exact replay of emit-and-clear.
-
-    What an incident clears decides the next one, so alerts of a key closer
-    together than the window are one sequence. A longer pause empties the window
-    whatever came before, so each gap-free run is its own unit of work. Rows
-    stream through a task in order; it holds one window, never a group.
-    """
-    slotted = trig.withColumn("slot", F.floor(F.col("at") / width))
-    slots = slotted.groupBy("key", "slot").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    runs = chain_slots(slots, ["key"], width).select("key", "slot", "run_start")
-    ordered = (
-        slotted.join(runs, ["key", "slot"])
-        .repartition("key", "run_start")
-        .sortWithinPartitions("key", "run_start", "at", "ord")
-        .select("key", "run_start", "at", "ord", "label", "port", "conf", "p", "m", "live")
-    )
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, state = None, None
-        for pdf in batches:
-            out = []
-            for key, run, at, ord_, *alert in pdf.itertuples(index=False, name=None):
-                if (key, run) != unit:
-                    unit, state = (key, run), WindowState(width)
-                incident = state.push(at, *alert)
-                if incident:
-                    out.append({**incident, "key": key, "alert_ord": ord_})
-            yield pd.DataFrame(out, columns=INCIDENT_COLUMNS)
-
-    return ordered.mapInPandas(replay, STATEFUL_SCHEMA)
-
-
 def incidents(alerts: DataFrame, window: str = "30s", mode: str = "trailing") -> DataFrame:
     width = parse_window(window) * 1_000_000
     trig = triggers(alerts)
@@ -296,5 +261,5 @@ def incidents(alerts: DataFrame, window: str = "30s", mode: str = "trailing") ->
     if mode == "trailing":
         return _trailing(trig, width)
     if mode == "stateful":
-        return _stateful(trig, width)
+        return to_incidents(cleared_windows(trig, width), "alert_ord")
     raise ValueError(f"unknown mode: {mode!r}")
