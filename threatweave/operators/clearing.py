@@ -97,6 +97,7 @@ def next_clears(starts: DataFrame) -> DataFrame:
 
 def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
     """``work`` on the nodes of whole blocks, many at a time, in the order of their places."""
+    size = BLOCK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -108,26 +109,26 @@ def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
             last = (rows["key"] == rows["key"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
             held = rows[last]
             if not last.all():
-                yield work(rows[~last])
+                yield work(rows[~last], size)
         if held is not None:
-            yield work(held)
+            yield work(held, size)
 
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "pos").mapInPandas(run, schema)
 
 
-def _steps(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _steps(nodes: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The nodes' next places (0: none), and which node of the same block that is (their number: outside)."""
     key, block = nodes["key"].to_numpy(), nodes["block"].to_numpy(np.int64)
     pos, to = nodes["pos"].to_numpy(np.int64), nodes["next"].fillna(0).to_numpy(np.int64)
     fresh = np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
-    base = np.cumsum(fresh) * BLOCK
-    at = np.searchsorted(base + pos % BLOCK, base + to % BLOCK)
-    return to, np.where((to > 0) & (to // BLOCK == block), at, len(pos))
+    base = np.cumsum(fresh) * size
+    at = np.searchsorted(base + pos % size, base + to % size)
+    return to, np.where((to > 0) & (to // size == block), at, len(pos))
 
 
-def _leave(nodes: pd.DataFrame) -> pd.DataFrame:
+def _leave(nodes: pd.DataFrame, size: int) -> pd.DataFrame:
     """Per node the first one outside the block that its steps lead to."""
-    to, at = _steps(nodes)
+    to, at = _steps(nodes, size)
     end = np.where(at < len(at), at, np.arange(len(at)))
     while (end[end] != end).any():
         end = end[end]
@@ -135,9 +136,9 @@ def _leave(nodes: pd.DataFrame) -> pd.DataFrame:
     return out[out["exit"] > 0]
 
 
-def _walk(nodes: pd.DataFrame) -> pd.DataFrame:
+def _walk(nodes: pd.DataFrame, size: int) -> pd.DataFrame:
     """The nodes on the way from the blocks' entries."""
-    _, at = _steps(nodes)
+    _, at = _steps(nodes, size)
     on = np.append(nodes["entry"].to_numpy(bool), False)
     hop = np.append(at, len(at))
     while (hop < len(at)).any():
