@@ -382,18 +382,26 @@ def _run_dir(spark) -> str:
     return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
 
 
+def _drain(stream, folder) -> DataFrame:
+    """Run a stream until it has read all there is, into files of ``folder``; goes on where it stopped."""
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def _to_table(spark, stream, name) -> DataFrame:
     """Drain a stream into files of the shared folder and read them back."""
-    folder = f"{_run_dir(spark)}/{name}"
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start(folder)
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(folder)
+    return _drain(stream, f"{_run_dir(spark)}/{name}")
 
 
 def _stream_sessions(spark, d):
-    ev = T.trap_events_in(_events_stream(spark, d)).withWatermark("ts", "10 minutes")
-    emitted = _to_table(spark, ST.session_stream(ev, GAP), "sessions")
-    return traps.session_rows(ST.close_sessions(emitted, T.trap_events(spark, d), GAP))
+    """All sessions as the stream emits them: drained, told its end, and run on from its checkpoint."""
+    folder = _run_dir(spark)
+    ev = ST.with_end(T.trap_events_in(_events_stream(spark, d)), f"{folder}/end").withWatermark("ts", "10 minutes")
+    sessions = ST.session_stream(ev, GAP)
+    _drain(sessions, folder)
+    ST.end_stream(spark, f"{folder}/end")
+    return traps.session_rows(_drain(sessions, folder))
 
 
 def _stream_dedupe(spark, d):
@@ -413,7 +421,22 @@ def _stream_alerts(spark, d):
     return C.alert_keys(SC.read_alerts(spark, folder))
 
 
+def _stream_sliding(spark, d):
+    """Windows that have ended by the stream's last watermark."""
+    counts = SI.sliding_counts(T.flow_alerts_in(_events_stream(spark, d)), "6 hours", "2 hours")
+    return _to_table(spark, counts, "sliding").select("key", F.unix_micros("window.start").alias("start_us"), "n", "confirmed")
+
+
+def _stream_export(spark, d):
+    """Acknowledgements of a stream that delivers its sessions batch by batch."""
+    folder = _run_dir(spark)
+    ST.export_stream(T.trap_events_in(_events_stream(spark, d)), folder, traps.accept_some, f"{folder}/state", GAP).awaitTermination()
+    return spark.read.schema(ST.ACKS).option("recursiveFileLookup", "true").parquet(f"{folder}/acks")
+
+
 STREAMS = {
+    "stream_sliding_counts": _stream_sliding,
+    "stream_export_acks": _stream_export,
     "stream_trap_sessions": _stream_sessions,
     "stream_event_dedupe": _stream_dedupe,
     "stream_incidents_stateful": _stream_incidents,

@@ -368,6 +368,13 @@ SELECT 'N001' AS rule_id, o0 AS start_ord, completion_ord, 'entities.dst_ip=' ||
 
 # A stream, closed at its end, gives the batch results.
 STREAMS = {
+    # Windows that end by the watermark: a minute behind the newest alert, in milliseconds.
+    "stream_sliding_counts": _with(FLOWS, """
+SELECT key, start AS start_us, count(*) AS n, CAST(sum(conf) AS BIGINT) AS confirmed
+FROM (SELECT *, (tm // 7200000000 - unnest(range(3))) * 7200000000 AS start FROM trig)
+WHERE (start + 21600000000) // 1000 <= (SELECT max(tm) // 1000 - 60000 FROM trig) GROUP BY key, start"""),
+    "stream_export_acks": _with(ALL_TRAPS, """
+SELECT event_id, session_id FROM named WHERE session_id IN (SELECT session_id FROM sess WHERE event_count > 1)"""),
     "stream_trap_sessions": TRAPS["trap_sessions"],
     "stream_incidents_stateful": INCIDENTS["incidents_stateful"],
     "stream_event_dedupe": _with(TRAP, "SELECT action, count(*) AS n FROM tr GROUP BY action"),

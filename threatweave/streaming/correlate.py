@@ -3,7 +3,8 @@
 State is a table, not a keyed store: the events of the last retention period in
 the shared folder. Each micro-batch matches over what is still in reach with the
 batch operator, so a hot entity is spread over tasks in a stream as well, and
-both forms give the same alerts.
+both forms give the same alerts. Events and signatures that no later batch can
+reach are deleted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from threatweave.functions.columns import parse_window
 from threatweave.operators.alerts import build_alerts
 from threatweave.operators.rules import rule_tables
 from threatweave.operators.sequence import match_sequences
-from threatweave.streaming.batches import earlier_batches, write_batch
+from threatweave.streaming.batches import write_batch
+from threatweave.streaming.retention import RetentionLog
 
 SIGNATURE = ["rule_id", "key_entity", "bucket"]
 
@@ -25,32 +27,37 @@ def process_batch(batch: DataFrame, batch_id: int, folder: str, ruleset: dict, r
     """Add a batch of normalised events and write the alerts it completes.
 
     Everything is written under the batch id and earlier batches are only read,
-    so a repeated batch replaces its own files and nothing else.
+    so a repeated batch replaces its own files and nothing else. ``folder`` keeps the
+    alerts; events are forgotten the retention period behind the newest one, signatures
+    of alerts a bucket later (an alert starts within reach, its bucket at most a bucket
+    before). A batch without dated events writes none.
     """
     spark = batch.sparkSession
-    events, alerts = f"{folder}/events", f"{folder}/alerts"
-    write_batch(batch, events, batch_id)
-    mine = spark.read.schema(batch.schema).parquet(f"{events}/batch-{batch_id}")
-    first = mine.agg(F.min("ts")).first()[0]
-    if first is None:
+    keep, extra = (parse_window(w) * 1_000_000 for w in (retention, bucket))
+    events = RetentionLog(spark, f"{folder}/events", batch.schema, "unix_micros(ts)", keep)
+    held = events.before(batch_id)
+    mine, lo, hi = events.append(batch, batch_id)
+    if hi is None:
         return
-    earlier = earlier_batches(spark, events, batch_id, batch.schema)
-    latest = earlier.agg(F.max("ts")).first()[0]
     reach = mine
-    if latest is not None:
+    if held.high is not None:
         # What earlier batches have left within reach; older arrivals are pruned at once.
-        keep = F.expr(f"INTERVAL {parse_window(retention)} SECONDS")
-        mine = mine.filter(F.col("ts") >= F.lit(latest) - keep)
-        old = earlier.filter((F.col("ts") >= F.lit(latest) - keep) & (F.col("ts") >= F.lit(first) - keep))
-        reach = old.unionByName(mine)
+        since = F.timestamp_micros(F.lit(held.high - keep))
+        mine = mine.filter(F.col("ts") >= since)
+        reach = events.read(held, max(held.high, lo) - keep).unionByName(mine)
     rules, steps = rule_tables(spark, ruleset)
     chains = match_sequences(reach, rules, steps, retention)
     slots = chains.select("rule_id", "start_ord", F.explode("ords").alias("ord"))
     fresh = slots.join(mine.select("ord"), "ord", "left_semi").select("rule_id", "start_ord").distinct()
     found = build_alerts(chains.join(fresh, ["rule_id", "start_ord"], "left_semi"), reach, rules, steps, True, bucket)
-    known = earlier_batches(spark, alerts, batch_id, found.schema).select(*SIGNATURE)
-    found = found.join(known, SIGNATURE, "left_anti")
-    write_batch(found, alerts, batch_id)
+    signed = found.select(*SIGNATURE, "start_at")
+    signatures = RetentionLog(spark, f"{folder}/signatures", signed.schema, "start_at", keep + extra)
+    known = signatures.before(batch_id)
+    write_batch(found.join(signatures.read(known).select(*SIGNATURE), SIGNATURE, "left_anti"), f"{folder}/alerts", batch_id)
+    written = spark.read.schema(found.schema).parquet(f"{folder}/alerts/batch-{batch_id}")
+    _, first, last = signatures.append(written.select(*SIGNATURE, "start_at"), batch_id)
+    high = events.commit(held, batch_id, lo, hi)
+    signatures.commit(known, batch_id, first, last, high)
 
 
 def correlate_stream(events: DataFrame, folder: str, ruleset: dict, checkpoint: str, retention: str = "6h", bucket: str = "10m") -> StreamingQuery:

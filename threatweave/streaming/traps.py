@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,7 +12,9 @@ from threatweave.functions.columns import parse_window
 from threatweave.functions.fixed import ATTACK_PATTERNS
 from threatweave.operators.sessions import attack_patterns, session_members, source_key, trap_sessions
 from threatweave.operators.store import Deliver, acks_of, deliver_sessions, insert_new, unacked
-from threatweave.streaming.batches import earlier_batches, write_batch
+from threatweave.session import local_table
+from threatweave.streaming.batches import batch_ids, drop_folder, write_batch
+from threatweave.streaming.retention import RetentionLog
 
 
 ACKS = "event_id string, session_id string"
@@ -45,33 +49,61 @@ def session_stream(events: DataFrame, gap: str = "300s", patterns: dict = ATTACK
     )
 
 
-def close_sessions(emitted: DataFrame, events: DataFrame, gap: str = "300s", patterns: dict = ATTACK_PATTERNS) -> DataFrame:
-    """All sessions of a stream that has ended: those it emitted and those it still held.
+# Later than any event: what has no end of its own ends here.
+END_OF_TIME = dt.datetime(2900, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def with_end(events: DataFrame, end_folder: str) -> DataFrame:
+    """A stream of events that :func:`end_stream` can end; without that it goes on as it is.
+
+    Put the watermark on what this returns.
+    """
+    spark = events.sparkSession
+    local_table(spark, [], events.schema).write.mode("ignore").parquet(end_folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(end_folder))
+
+
+def end_stream(spark: SparkSession, end_folder: str) -> None:
+    """Tell a stream made by :func:`with_end`, and drained, that no more events come.
 
-    ``events``: the stream's rows, read as a table.
+    Started again from its checkpoint it reads one row beyond all time: the watermark
+    passes every open session and the stream emits it. That row's own session never ends.
     """
-    held = trap_sessions(events, gap, patterns).join(emitted.select("session_id"), "session_id", "left_anti")
-    return emitted.unionByName(held)
+    spark.createDataFrame([(END_OF_TIME,)], "ts timestamp").write.mode("append").parquet(end_folder)
 
 
-def export_stream(events: DataFrame, folder: str, deliver: Deliver, checkpoint: str, gap: str = "300s") -> StreamingQuery:
+def export_stream(
+    events: DataFrame, folder: str, deliver: Deliver, checkpoint: str, gap: str = "300s", remember: str = "30d",
+) -> StreamingQuery:
     """Store each batch, then export every session that waits.
 
-    Events and acknowledgements are written per batch id, so a batch that is
-    run again replaces its own files. Sessions that are not acknowledged come
-    up again with the next batch.
+    Below ``folder``: ``events`` stored once per id, ``acks`` of delivered sessions, both
+    per batch id, so a batch that is run again replaces its own files; ``waiting``, the
+    events not acknowledged yet, handed on from batch to batch; ``ids``, those stored in the
+    last ``remember`` of event time. A batch reads the last two only. Sessions that are not
+    acknowledged come up again with the next batch. A copy of an event that arrives more
+    than ``remember`` behind the newest event is stored again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored, acked = f"{folder}/events", f"{folder}/acks"
-        known = earlier_batches(spark, stored, batch_id, batch.schema)
-        write_batch(insert_new(batch, known), stored, batch_id)
-        everything = earlier_batches(spark, stored, batch_id + 1, batch.schema)
-        acks = earlier_batches(spark, acked, batch_id, ACKS)
-        waiting = unacked(everything, acks)
+        stored, acked, waits = (f"{folder}/{name}" for name in ("events", "acks", "waiting"))
+        ids = RetentionLog(spark, f"{folder}/ids", "event_id string, ts timestamp", "unix_micros(ts)", parse_window(remember) * 1_000_000)
+        held = ids.before(batch_id)
+        write_batch(insert_new(batch, ids.read(held)), stored, batch_id)
+        fresh = spark.read.schema(batch.schema).parquet(f"{stored}/batch-{batch_id}")
+        earlier = [i for i in batch_ids(spark, waits) if i < batch_id]
+        waiting = fresh
+        if earlier:
+            waiting = spark.read.schema(batch.schema).parquet(f"{waits}/batch-{earlier[-1]}").unionByName(fresh)
         delivered = deliver_sessions(trap_sessions(waiting, gap), deliver)
         write_batch(acks_of(session_members(waiting, gap), delivered), acked, batch_id)
+        acks = spark.read.schema(ACKS).parquet(f"{acked}/batch-{batch_id}")
+        write_batch(unacked(waiting, acks), waits, batch_id)
+        _, lo, hi = ids.append(fresh.select("event_id", "ts"), batch_id)
+        ids.commit(held, batch_id, lo, hi)
+        for i in earlier[:-1]:
+            drop_folder(spark, f"{waits}/batch-{i}")
 
     return (
         events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
