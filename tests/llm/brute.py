@@ -67,7 +67,7 @@ def words(t):
     return WORD.findall(t or "")
 
 
-def quality(rows, min_docs=10, percent=10):
+def quality(rows, min_docs=10, percent=None):
     """Sorted (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     def keys(t):
         return [k for k in (lower(x.strip(BLANK)) for x in (t or "").split("\n")) if k]
@@ -76,10 +76,11 @@ def quality(rows, min_docs=10, percent=10):
         hosts[s].add(i)
         for k in keys(t):
             docs[s, k].add(i)
-    often = {x for x, d in docs.items() if len(d) > min_docs and 100 * len(d) > percent * len(hosts[x[0]])}
-    removed = Counter()
+    often = {x for x, d in docs.items() if len(d) > min_docs and (percent is None or 100 * len(d) > percent * len(hosts[x[0]]))}
+    # Lines of a text by place: a repeated row adds none.
+    gone = defaultdict(dict)
     for i, t, _, s in rows:
-        removed[i] += sum(len(k) for k in keys(t) if (s, k) in often)
+        gone[i, t or ""].update({at: len(k) for at, k in enumerate(keys(t)) if (s, k) in often})
     out = []
     for i, t, _, _ in rows:
         w = words(t)
@@ -88,7 +89,7 @@ def quality(rows, min_docs=10, percent=10):
         full = [x for x in (t or "").split("\n") if WORD.search(x)]
         failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
         out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(full) - len(set(full)),
-                    len(hit), failed, not failed and 100 * removed[i] <= 50 * len(t or "")))
+                    len(hit), failed, not failed and 100 * sum(gone[i, t or ""].values()) <= 50 * len(t or "")))
     return out, often
 
 

@@ -216,3 +216,20 @@ def test_wide_ids():
 def test_empty(none):
     for out in (taken_words(mix_documents(none)), apply_mixing(none), shard_documents(none), training_order(none, VOCABULARY)):
         assert out.count() == 0
+
+
+def test_mixing_keeps_a_text_under_two_sources(spark):
+    """Equal ids and texts under several sources, and repeated rows, are drawn each in its own source."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", s) for s in ("a", "b", None, "a", "a")] + [(2, text, "en", "b"), (3, "x y z", "en", "c")]
+    docs = B.frame(spark, rows)
+    drawn = Counter()
+    for r in taken_words(mix_documents(docs)).join(docs.select("doc_id").distinct(), "doc_id").collect():
+        drawn[r.source_size, r.target] += r.taken
+    by_source = {r["source"]: r["n"] for r in mix_documents(docs).groupBy("source").agg(
+        F.sum(F.aggregate("draws", F.lit(0).cast("bigint"), lambda n, d: n + d["n_words"])).alias("n")).collect()}
+    mixed = Counter()
+    for r in apply_mixing(docs).collect():
+        mixed[r.source] += len(B.words(r.text))
+    assert sum(drawn.values()) == sum(by_source.values()) and {k: v for k, v in by_source.items() if v} == dict(mixed)
+    assert len(mixed) == 4

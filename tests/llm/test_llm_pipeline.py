@@ -33,7 +33,7 @@ def test_runs(spark, name):
 
 def test_registered():
     assert set(__spark_entry__.queries()) >= {*QUERIES, "pipeline"}
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_stages(spark):

@@ -30,7 +30,7 @@ def none(spark):
     return B.frame(spark, [])
 
 
-@pytest.mark.parametrize("limits", [(10, 10), (2, 5)])
+@pytest.mark.parametrize("limits", [(10, None), (10, 10), (2, 5), (2, None)])
 def test_quality(docs, rows, limits):
     got = quality_rules(docs, min_docs=limits[0], host_percent=limits[1]).select(
         given_id("id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +50,22 @@ def test_quality_applied(docs, rows):
     assert B.ordered(out.select("doc_id", "text", "lang", "source", "n_chars", "kept").collect()) == B.ordered(want)
 
 
+def test_repeated_rows_change_no_verdict(spark, rows):
+    """Also where most of a text is shared lines once it is counted twice, or where one text stands under two hosts."""
+    shared = [f"shared line number {i} of all these pages" for i in range(3)]
+    more = [(5000 + i, "\n".join([*shared, *(" ".join(f"w{i}x{j}x{k}" for k in range(12)) for j in range(5))]), "en", "h") for i in range(14)]
+    more += [(6000 + i, "\n".join([*shared, "one more"]), "en", "h") for i in range(3)]
+
+    def verdicts(given):
+        out = quality_rules(B.frame(spark, given)).select(given_id("id"), "version", "n_removed_chars", "kept").distinct().collect()
+        return B.ordered(out)
+    once = verdicts(rows + more)
+    assert verdicts([*rows, *rows, *more, *more, *more]) == once
+    assert [r[3] for r in once if (r[0] or 0) >= 5000] == [True] * 14 + [False] * 3
+    moved = verdicts(rows + more + [(i, t, lang, "elsewhere") for i, t, lang, _ in more])
+    assert moved == once
+
+
 def test_quality_hot_host(spark):
     """A host's size does not spare its lines: a third of all rows have one host, 12 of them share a line."""
     shared = "read more about this and other things on our pages"

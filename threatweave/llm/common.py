@@ -46,6 +46,16 @@ def ascii_folded(c: Column) -> Column:
     return F.lower(F.decode(c.cast("binary"), "ISO-8859-1"))
 
 
+def tie_break(df: DataFrame) -> Column:
+    """A number that orders rows which agree in what an operator looks at, the same in every rerun.
+
+    Made of all columns but those that Spark cannot hash (maps, variants); rows that agree
+    in the rest may then swap.
+    """
+    kinds = ("map", "variant")
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not any(k in kind for k in kinds)])
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once per row, however often the body reads it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from threatweave.llm.common import WORD, given_id, ident, settle, whole_text
+from threatweave.llm.common import WORD, given_id, ident, settle, tie_break, whole_text
 from threatweave.llm.feistel import mix, permute
 from threatweave.session import local_table
 
@@ -132,6 +132,11 @@ def _draws(batches):
         yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [lists], names=[*keep, "draws"])
 
 
+def _named_source(source: Column) -> Column:
+    """A source to group and join by; a missing one is a source too."""
+    return F.when(source.isNull(), "null").otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
 def mix_documents(
     docs: DataFrame, shards: int = SHARDS, seed: int = SEED, weights=WEIGHTS, max_rate: int = MAX_RATE,
 ) -> DataFrame:
@@ -152,7 +157,7 @@ def mix_documents(
     Only one row per source passes through the driver.
     """
     spark = docs.sparkSession
-    skey = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
+    skey = _named_source(F.col("source"))
     t = F.col("t")
     rows = settle(
         docs.select(ident().alias("id"), F.col("source").cast("string").alias("source"), whole_text().alias("t"))
@@ -192,14 +197,19 @@ def apply_mixing(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: one row per document and pass.
 
     A document taken whole keeps its text; of one taken in part, runs of drawn words
-    stay, joined by line ends. Rows lie by shard, shuffled within it. ``n_chars``,
-    where present, follows the text.
+    stay, joined by line ends. A row lies where the first of its blocks was dealt: rows
+    are grouped by shard and place, a shard over several files. ``n_chars``, where
+    present, follows the text. Repeated rows are drawn each by themselves, within their
+    source, in an order that reruns keep.
     """
     draws = mix_documents(docs, shards, **how).where(F.size("draws") > 0).select(
-        F.col("id").alias("tw$id"), F.col("version").alias("tw$version"), F.col("twin").alias("tw$twin"),
+        _named_source(F.col("source")).alias("tw$source"), F.col("id").alias("tw$id"), F.col("version").alias("tw$version"),
+        F.col("twin").alias("tw$twin"),
         F.col("size").alias("tw$size"), F.col("draws").alias("tw$draws"))
-    keyed = docs.withColumns({"tw$id": ident(), "tw$version": F.xxhash64(whole_text())})
-    keyed = keyed.withColumn("tw$twin", F.row_number().over(W.partitionBy("tw$id", "tw$version").orderBy("tw$id")))
+    row = ["tw$source", "tw$id", "tw$version"]
+    keyed = docs.withColumns({
+        "tw$source": _named_source(F.col("source")), "tw$id": ident(), "tw$version": F.xxhash64(whole_text()), "tw$tie": tie_break(docs)})
+    keyed = keyed.withColumn("tw$twin", F.row_number().over(W.partitionBy(*row).orderBy("tw$tie")))
     names = docs.columns
     word = regex.compile(WORD)
 
@@ -237,7 +247,7 @@ def apply_mixing(docs: DataFrame, shards: int = SHARDS, **how) -> DataFrame:
                 + [pa.array(shard, pa.int32()), pa.array(place, pa.int64())], names=[*names, "tw$shard", "tw$place"])
 
     schema = StructType([*docs.schema, StructField("tw$shard", IntegerType()), StructField("tw$place", LongType())])
-    mixed = keyed.join(draws, ["tw$id", "tw$version", "tw$twin"]).select(*names, "tw$size", "tw$draws").mapInArrow(
+    mixed = keyed.join(draws, [*row, "tw$twin"]).select(*names, "tw$size", "tw$draws").mapInArrow(
         run, schema)
     return (
         mixed.repartition("tw$shard", F.call_function("shiftright", "tw$place", F.lit(43)))

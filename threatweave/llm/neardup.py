@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threatweave.llm.bpe import grouped
-from threatweave.llm.common import given_id, ident, settle, whole_text
+from threatweave.llm.common import given_id, ident, settle, tie_break, whole_text
 from threatweave.llm.components import connected_components
 from threatweave.llm.feistel import mix
 
@@ -337,9 +337,13 @@ def _compare_blocks(table: pa.Table, percent: int) -> tuple[pa.Array, pa.Array]:
 
 
 def apply_near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of ``docs`` that stay: the smallest id of every component, once."""
+    """The documents of ``docs`` that stay: the smallest id of every component, once.
+
+    Of rows that repeat that id and text, reruns keep the same one.
+    """
     kept = near_duplicates(docs, percent).where("kept").select(
         F.col("id").alias("tw$id"), F.col("version").alias("tw$version")).distinct()
-    keyed = docs.withColumns({"tw$id": ident(), "tw$version": F.xxhash64(whole_text())}).join(kept, ["tw$id", "tw$version"])
-    first = F.row_number().over(W.partitionBy("tw$id", "tw$version").orderBy("tw$id"))
+    keyed = docs.withColumns({"tw$id": ident(), "tw$version": F.xxhash64(whole_text()), "tw$tie": tie_break(docs)}).join(
+        kept, ["tw$id", "tw$version"])
+    first = F.row_number().over(W.partitionBy("tw$id", "tw$version").orderBy("tw$tie"))
     return keyed.withColumn("tw$twin", first).where(F.col("tw$twin") == 1).select(*docs.columns)

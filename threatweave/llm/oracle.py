@@ -18,18 +18,16 @@ lines AS (
 full_lines AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
 keyed AS (
-    SELECT doc_id, source,
+    SELECT doc_id, source, i,
            regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key
     FROM full_lines),
-hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source),
-often AS (
-    SELECT k.source, k.key FROM keyed k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source
-    GROUP BY k.source, k.key, h.n
-    HAVING count(DISTINCT doc_id) > 10 AND 100 * count(DISTINCT doc_id) > 10 * h.n),
+often AS (SELECT source, key FROM keyed GROUP BY source, key HAVING count(DISTINCT doc_id) > 10),
 removed AS (
-    SELECT k.doc_id, sum(length(k.key))::BIGINT AS n FROM keyed k JOIN often o
-    ON k.source IS NOT DISTINCT FROM o.source AND k.key = o.key GROUP BY k.doc_id),
+    SELECT doc_id, sum(n)::BIGINT AS n FROM (
+        SELECT k.doc_id, k.i, any_value(length(k.key)) AS n FROM keyed k JOIN often o
+        ON k.source IS NOT DISTINCT FROM o.source AND k.key = o.key GROUP BY k.doc_id, k.i)
+    GROUP BY doc_id),
 base AS (
     SELECT d.doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_words,
            length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

@@ -139,20 +139,26 @@ def quality_rules(
 ) -> DataFrame:
     """Verdict per document: base signals, characters in lines above the limits, ``kept``.
 
-    One row per input row. Null or empty text: no words, base failed. Rows that
-    repeat a ``doc_id`` are one document to the line counts and share one depletion
-    verdict; a null ``doc_id`` is an id of its own, a null host a host of its own.
+    One row per input row. Null or empty text: no words, base failed. Rows of one
+    ``doc_id`` are one document to the line counts. Each of its texts has a verdict of its
+    own, in which a line counts once however often the row is repeated (and where two hosts
+    hold the text, if it is above the limits of either); a null ``doc_id`` is an id of its
+    own, a null host a host of its own.
     Other columns are ignored. ``above`` are the lines above the limits where known.
     """
     above = lines_above_limits(docs, host, **limits) if above is None else above
-    removed = above.groupBy(F.col("id").alias("of")).agg(F.sum("line_chars").alias("removed"))
+    # Dealt by text once; both groupings find their rows in place.
+    removed = (
+        above.repartition("id", "version").groupBy("id", "version", "pos").agg(F.any_value("line_chars").alias("line_chars"))
+        .groupBy("id", "version").agg(F.sum("line_chars").alias("removed"))
+    )
     base = base_signals(docs)
     lost = F.coalesce("removed", F.lit(0).cast("bigint"))
     return (
-        base.join(removed, base.id == F.col("of"), "left")
+        base.join(removed, ["id", "version"], "left")
         .withColumn("n_removed_chars", lost)
         .withColumn("kept", ~F.col("base_failed") & (100 * lost <= depleted_percent * F.col("chars")))
-        .drop("of", "removed")
+        .drop("removed")
     )
 
 
