@@ -87,6 +87,24 @@ def test_url_parts(spark, url, suffix, domain, sub):
     assert 0 <= U.url_risk(U.url_features(spark.createDataFrame([(url, 0.99)], "url string, p double"))).first().risk_score <= 100
 
 
+RULES = ("uk", "co.uk", "us", "k12.ca.us", "*.ck", "!www.ck", "deep.er.example.org")
+
+
+@pytest.mark.parametrize("host,suffix,domain,sub", [
+    ("school.lausd.k12.ca.us", "k12.ca.us", "lausd", "school"), ("ca.us", "us", "ca", ""), ("a.b.ck", "b.ck", "a", ""), ("b.ck", "b.ck", "", ""),
+    ("www.ck", "ck", "www", ""), ("x.www.ck", "ck", "www", "x"), ("ck", "ck", "", ""), ("A.Co.UK", "Co.UK", "A", ""),
+    ("v.w.deep.er.example.org", "deep.er.example.org", "w", "v"), ("er.example.org", "", "org", "er.example"), ("10.0.0.1", "", "10.0.0.1", ""),
+    ("a." * 3000 + "co.uk", "co.uk", "a", "a." * 2998 + "a"), ("", "", "", ""), (None, "", "", ""),
+])
+def test_suffix_rules(spark, host, suffix, domain, sub):
+    url = spark.createDataFrame([(host and f"http://{host}/x",)], "url string")
+    table = spark.createDataFrame([(r,) for r in RULES], "rule string")
+    for rules in (RULES, table):
+        r = U.url_parts(url, suffixes=rules).first()
+        assert (r.suffix, r.domain, r.subdomain) == (suffix, domain, sub)
+    assert U.url_parts(url, suffixes=table.limit(0)).columns == U.url_parts(url).columns
+
+
 def test_empty_batch_has_no_rate(spark):
     empty = spark.createDataFrame([], "is_phishing boolean")
     assert U.url_batch_stats(empty).first().asDict() == {"total_urls": 0, "phishing_count": 0, "safe_count": 0, "phishing_rate": None}

@@ -47,11 +47,57 @@ def entropy(c: Column) -> Column:
     return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
+def rule_depth(rules) -> int:
+    """Labels of the longest rule: no longer part of a host has to be looked at."""
+    if isinstance(rules, DataFrame):
+        return rules.agg(F.max(F.size(F.split("rule", r"\.")))).first()[0] or 1
+    return max((r.count(".") + 1 for r in rules), default=1)
+
+
+def suffix_rules(labels: Column, depth: int) -> Column:
+    """Every rule that may speak of a host: for each number of last labels the plain
+    rule, the wildcard in place of the first of them, and the exception.
+
+    Each comes with the labels that it leaves to the suffix: an exception one less.
+    """
+    n = F.size(labels)
+
+    def of(k):
+        plain = F.array_join(F.slice(labels, n - k + 1, k), ".")
+        below = F.array_join(F.slice(labels, n - k + 2, k - 1), ".")
+        return F.array(*[
+            F.struct(rule.alias("rule"), F.lit(exception).alias("exception"), width.alias("width"))
+            for rule, exception, width in (
+                (plain, False, k), (F.concat(F.lit("*."), below), False, k), (F.concat(F.lit("!"), plain), True, k - 1))
+        ])
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(depth))), of))
+
+
+def listed_width(labels: Column, rules) -> Column:
+    """Labels of the suffix by a list of rules; NULL where no rule fits.
+
+    An exception wins, then the rule of most labels.
+    """
+    fits = F.filter(suffix_rules(labels, rule_depth(rules)), lambda c: c["rule"].isin(*rules))
+    return F.array_max(F.transform(fits, lambda c: F.struct(c["exception"], c["width"].alias("width"))))["width"]
+
+
+def host_widths(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, width) of each host that a rule of a table fits; ``hosts`` are lower-case and distinct."""
+    said = hosts.select("host", F.inline(suffix_rules(F.split("host", r"\."), rule_depth(rules))))
+    fits = said.join(rules.select(F.lower("rule").alias("rule")).distinct(), "rule")
+    return fits.groupBy("host").agg(F.max(F.struct("exception", "width"))["width"].alias("width"))
+
+
 def url_parts(df: DataFrame, url: str = "url", suffixes=SUFFIXES) -> DataFrame:
     """Add host, path, query, suffix, domain and subdomain of each URL.
 
-    The longest listed suffix counts; any two-letter last label is a country
-    suffix; an address has none.
+    ``suffixes`` are rules of any number of labels: ``co.uk``, wildcards ``*.ck`` and
+    exceptions ``!www.ck``. Of the rules that fit a host an exception wins, then the
+    longest. A table with a column ``rule`` serves for long lists; it meets each
+    distinct host once. Without a rule a two-letter last label is a country suffix; an
+    address has none.
     """
     u = F.coalesce(F.col(url), F.lit(""))
     scheme = F.lower(F.regexp_extract(u, PARTS, 1))
@@ -61,13 +107,16 @@ def url_parts(df: DataFrame, url: str = "url", suffixes=SUFFIXES) -> DataFrame:
     host = F.regexp_replace(F.regexp_extract(u, AUTHORITY, 1), r"^.*@|:\d*$", "")
     df = staged(df, {"path": path, "query": F.regexp_extract(u, PARTS, 4), "host": F.rtrim(host, F.lit("."))})
     low = F.split(F.lower("host"), r"\.")
-    last = F.get(low, F.size(low) - 1)
-    last_two = F.concat_ws(".", F.get(low, F.size(low) - 2), last)
+    if isinstance(suffixes, DataFrame):
+        widths = host_widths(df.select(F.lower("host").alias("host")).distinct(), suffixes)
+        df = df.withColumn("_host", F.lower("host")).join(
+            widths.select(F.col("host").alias("_host"), F.col("width").alias("_listed")), "_host", "left").drop("_host")
+        listed = F.col("_listed")
+    else:
+        listed = listed_width(low, suffixes)
     address = F.col("host").rlike(rf"^{IPV4}$|^\[")
-    width = (
-        F.when(address, 0).when(last_two.isin(*suffixes) & (F.size(low) >= 2), 2)
-        .when(last.isin(*suffixes) | last.rlike("^[a-z]{2}$"), 1).otherwise(0)
-    )
+    country = F.get(low, F.size(low) - 1).rlike("^[a-z]{2}$")
+    width = F.when(address, 0).otherwise(F.coalesce(listed, country.cast("int"), F.lit(0)))
     df = staged(df, {"_address": address, "_width": width, "_labels": F.split("host", r"\.")})
     n, w = F.size("_labels"), F.col("_width")
     own = F.coalesce(F.get("_labels", n - w - 1), F.lit(""))
@@ -79,7 +128,7 @@ def url_parts(df: DataFrame, url: str = "url", suffixes=SUFFIXES) -> DataFrame:
             "domain": F.when(F.col("_address"), F.col("host")).otherwise(own),
             "subdomain": F.when(F.col("_address"), "").otherwise(sub),
         },
-    ).drop("_address", "_width", "_labels")
+    ).drop("_address", "_width", "_labels", "_listed")
 
 
 def url_features(df: DataFrame, url: str = "url", suffixes=SUFFIXES) -> DataFrame:

