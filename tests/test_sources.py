@@ -26,6 +26,47 @@ def test_drifting_parquet(spark, tmp_path):
         files.read_parquet(spark, str(tmp_path / "nowhere"))
 
 
+def test_drift_by_tasks(spark, tmp_path):
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    root = tmp_path / "many files"
+    (root / "a b%20c").mkdir(parents=True)
+    for i in range(300):
+        odd = {0: {"n": pa.array([i], pa.int32())}, 1: {"n": pa.array([i], pa.float64())}, 2: {"n": pa.array([i], pa.int64()), f"only{i}": pa.array(["x"])}}[i % 3]
+        pq.write_table(pa.table({"Label": pa.array(["B"]), **odd}), root / f"a b%20c/f{i:03}.parquet")
+    when = pd.to_datetime(["2026-01-01 00:00:00"])
+    foreign = pa.table({"label": pa.array(["low"]).dictionary_encode(), "u": pa.array([2**32 - 1], pa.uint32()), "t": pa.array(when)})
+    pq.write_table(foreign, root / "g.parquet", use_deprecated_int96_timestamps=True)
+    df = files.read_drifting_parquet(spark, str(root))
+    types = dict(df.dtypes)
+    assert (types["n"], types["u"], types["t"], types["Label"], types["only2"]) == ("double", "bigint", "timestamp", "string", "string")
+    # A branch for integers, one for doubles, one for longs, one without the column, for 301 files.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 4
+    r = df.agg(F.count("*"), F.sum("n"), F.count("Label"), F.max("Label"), F.count("only2"), F.count("only5"), F.max("u"), F.max(F.col("t").cast("string"))).first()
+    assert tuple(r) == (301, float(sum(range(300))), 301, "low", 1, 1, 2**32 - 1, "2026-01-01 00:00:00")
+    schemas = files.schema_table(spark, str(root))
+    assert schemas.count() == 301 and P.schema_mismatches(schemas).count() == 101
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        files.read_drifting_parquet(spark, str(tmp_path / "none"))
+
+
+def test_csv_of_mixed_encodings(spark, tmp_path):
+    root = tmp_path / "my c+s%20v"
+    (root / "sub").mkdir(parents=True)
+    body = "Label,x\ncafé,{}\n"
+    (root / "a é.csv").write_bytes(body.format(1).encode())
+    (root / "sub/b.csv").write_bytes(body.format(2).encode("latin-1"))
+    (root / "c.csv").write_bytes(b"Label,x\nDoS Hulk,3\n")
+    (root / "empty.csv").write_bytes(b"")
+    df = files.read_csv(spark, str(root))
+    assert sorted((r.x, r.Label, r.file) for r in df.select("x", "Label", F.try_url_decode("file").alias("file")).collect()) == [
+        ("1", "café", "a é.csv"), ("2", "café", "b.csv"), ("3", "DoS Hulk", "c.csv")]
+    only = files.read_csv(spark, str(root / "sub"), schema="Label string, x int")
+    assert [tuple(r) for r in only.collect()] == [("café", 2, "b.csv")]
+
+
 def test_csv_in_latin1(spark, tmp_path):
     (tmp_path / "c/sub").mkdir(parents=True)
     (tmp_path / "c/a.csv").write_bytes("Label,x\ncafé,1\n".encode("latin-1"))
