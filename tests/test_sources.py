@@ -86,6 +86,23 @@ def test_split_and_report_sinks(spark, tmp_path):
     assert {r.problem for r in G.split_checks(split, "Label").collect()} == {"test_benign_only"}
 
 
+def test_feature_contract(spark, tmp_path):
+    from threatweave.operators import features as X
+    inf, nan = float("inf"), float("nan")
+    rows = [("train", "a", 1.0, None, 3, "x"), ("train", "b", 3.0, nan, 3, "x"), ("train", None, None, inf, 3, "x"), ("val", "a", inf, 9.0, 4, "y"), ("test", "b", 0.1, 1.0, None, "z")]
+    df = spark.createDataFrame(rows, "split string, Label string, v double, `odd.name` double, n int, `Flow ID` string")
+    listed = X.write_features(df, "Label", str(tmp_path / "f"))
+    assert {(r.split, r.label, r.rows, r.features, *r.dropped) for r in listed.collect()} == {
+        (s, lab, 1, 3, "Flow ID") for s, lab in (("train", "a"), ("train", "b"), ("train", None), ("val", "a"), ("test", "b"))}
+    again = X.FeatureContract.load(str(tmp_path / "f/contract"))
+    assert again.stats == X.fit_features(df.filter("split = 'train'").drop("split"), "Label") and again.getOrDefault(again.label) == "Label"
+    by_split = {r.split: list(r.features) for r in again.transform(df).filter("split <> 'train'").collect()}
+    assert by_split == {r.split: list(r.features) for r in X.read_features(spark, str(tmp_path / "f")).filter("split <> 'train'").collect()}
+    assert by_split["val"] == [1.0, 9.0, 0.0]  # n, odd.name (no value: median 0), v (infinite: the median)
+    with pytest.raises(ValueError, match="features"):
+        X.write_features(df, "Label", str(tmp_path / "g"), keep=["features"])
+
+
 def test_timestamps(spark):
     assert G.find_timestamp(spark.createDataFrame([(1, 2)], "TIMESTAMP int, a int")) == "TIMESTAMP"
     df = spark.createDataFrame([("07/07/2017 02:30:00 PM", "a"), ("2017-07-06 01:00:00", "a"), ("zz", "b")], "t string, f string")

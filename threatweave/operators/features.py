@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml import Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,3 +115,59 @@ def feature_table(df: DataFrame, label: str, split: str = "split", keep=()) -> t
 def manifest(table: DataFrame, label: str, stats: list[dict], split: str = "split") -> DataFrame:
     """Rows per split and label with the number of features."""
     return table.groupBy(split, F.col(label).cast("string").alias("label")).agg(F.count("*").alias("rows")).withColumn("features", F.lit(len(stats)))
+
+
+class FeatureContract(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Fitted features as a pipeline stage: adds ``features`` to any table with the columns.
+
+    Order of the features, medians, means and deviations are its parameters, so saving
+    and loading keep them to the last bit. A column that a table lacks is an error.
+    """
+
+    names = Param(Params._dummy(), "names", "feature columns in order", TypeConverters.toListString)
+    medians = Param(Params._dummy(), "medians", "values for missing cells", TypeConverters.toListFloat)
+    means = Param(Params._dummy(), "means", "means of the imputed columns", TypeConverters.toListFloat)
+    deviations = Param(Params._dummy(), "deviations", "population deviations, 1 for constant columns", TypeConverters.toListFloat)
+    label = Param(Params._dummy(), "label", "label column", TypeConverters.toString)
+
+    def __init__(self, stats: list[dict] | None = None, label: str | None = None):
+        super().__init__()
+        if stats is not None:
+            self._set(
+                names=[s["feature"] for s in stats], medians=[s["median"] for s in stats],
+                means=[s["mean"] for s in stats], deviations=[s["std"] for s in stats], label=label)
+
+    @property
+    def stats(self) -> list[dict]:
+        lists = (self.getOrDefault(p) for p in (self.names, self.medians, self.means, self.deviations))
+        return [{"feature": f, "median": m, "mean": a, "std": s} for f, m, a, s in zip(*lists)]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("features", F.array(*[standardized(s) for s in self.stats]).cast("array<float>"))
+
+
+def write_features(df: DataFrame, label: str, folder: str, split: str = "split", keep=(), leakage=LEAKAGE_COLUMNS) -> DataFrame:
+    """Fit on the training rows and write what training needs below ``folder``.
+
+    ``contract`` is the saved stage, ``features`` the table by split, ``manifest`` rows
+    per split and label, number of features and columns left out as leaking. Returns
+    the manifest as written. A label or kept column called ``features`` is an error.
+    """
+    if "features" in (label, *keep):
+        raise ValueError("a column 'features' would be overwritten")
+    spark = df.sparkSession
+    contract = FeatureContract(fit_features(df.filter(F.col(split) == "train").drop(split, *keep), label, leakage), label)
+    contract.write().overwrite().save(f"{folder}/contract")
+    table = contract.transform(df).select(*keep, F.col(label), "features", split)
+    table.write.mode("overwrite").partitionBy(split).parquet(f"{folder}/features")
+    rows = manifest(read_features(spark, folder, table.schema), label, contract.stats, split)
+    left_out = sorted(c for c in df.columns if c in leakage and c != label)
+    rows = rows.withColumn("dropped", F.array(*map(F.lit, left_out)).cast("array<string>"))
+    rows.write.mode("overwrite").json(f"{folder}/manifest")
+    return spark.read.schema(rows.schema).json(f"{folder}/manifest")
+
+
+def read_features(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """The feature table of a folder."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{folder}/features")

@@ -28,6 +28,7 @@ from threatweave.plans import flows
 from threatweave.plans import tables as T
 from threatweave.plans import traps
 from threatweave.session import local_table, shared_dir
+from threatweave.sources import files
 from threatweave.streaming import correlate as SC
 from threatweave.streaming import incidents as SI
 from threatweave.streaming import traps as ST
@@ -200,7 +201,34 @@ def _kept(spark, d):
     return unknown.select(F.col("Label").alias("label"), "n").unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("(kept)").alias("label"), "n"))
 
 
+def _drifting(spark, d):
+    """The flow dataset as three exports of other columns and types, read as one table."""
+    ds, folder = T.flow_dataset(spark, d), f"{_run_dir(spark)}/exports"
+    flag, port = F.col("class name"), F.col("attack port")
+    exports = {
+        "A": ds.filter(flag == "A").drop("tax").withColumn("attack port", port.cast("int")),
+        "N": ds.filter(flag == "N").withColumns({"protocol": F.col("protocol").cast("bigint"), "attack port": port.cast("double")}),
+        "R": ds.filter(flag == "R").withColumns({"price": F.col("price").cast("string"), "LABEL": F.lit("same")}),
+    }
+    for name, export in exports.items():
+        export.drop("file").write.parquet(f"{folder}/{name}")
+    return files.read_drifting_parquet(spark, folder).groupBy(F.col("class name").alias("class_name"), F.col("label").alias("label")).agg(
+        F.count("*").alias("n"), F.sum("protocol").alias("protocols"), F.count("tax").alias("taxed"),
+        F.sum(F.col("attack port").cast("bigint")).alias("ports"), F.round(F.sum(F.col("price").cast("decimal(18,2)")).cast("double"), 2).alias("price"))
+
+
+def _encodings(spark, d):
+    """Orders exported as CSV by a producer of each encoding, read without being told which is which."""
+    rows = T.labelled_orders(spark, d).select("o_orderkey", F.concat("label", F.lit(" caf\u00e9")).alias("note"), "file")
+    folder = f"{_run_dir(spark)}/csv"
+    for name, encoding in (("Friday-flows", "ISO-8859-1"), ("Monday-flows", "UTF-8")):
+        rows.filter(F.col("file") == name).drop("file").write.option("header", "true").option("encoding", encoding).csv(f"{folder}/{name}")
+    return files.read_csv(spark, folder).groupBy("note").agg(F.count("*").alias("n"), F.sum(F.col("o_orderkey").cast("bigint")).alias("keys"))
+
+
 PROFILE = {
+    "drifting_exports": _drifting,
+    "csv_encodings": _encodings,
     "label_canonical": _labels,
     "label_keep_canonical": _kept,
     "label_distribution": lambda s, d: P.label_distribution(T.flow_dataset(s, d), "Label", "file").na.fill("(all)", ["file"]),
@@ -256,6 +284,19 @@ def _standardized(spark, d):
     return table.select("vec_id", F.posexplode("features").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 3).alias("x"))
 
 
+def _feature_contract(spark, d):
+    """Features written by split; the contract, loaded again, has to give the same floats."""
+    labels = T.model_rows(spark, d).select("vec_id", "split")
+    ds = T.vectors(spark, d).join(labels, "vec_id")
+    folder = f"{_run_dir(spark)}/training"
+    listed = X.write_features(ds, "label", folder, keep=["vec_id"])
+    again = X.FeatureContract.load(f"{folder}/contract").transform(ds).select("vec_id", F.col("features").alias("again"))
+    first = F.get("features", 0).cast("double")
+    checked = X.read_features(spark, folder).join(again, "vec_id").groupBy("split", "label").agg(
+        F.count_if(F.col("features") == F.col("again")).alias("same"), F.round(F.avg(first * first), 4).alias("mean_square"))
+    return listed.drop("dropped").join(checked, ["split", "label"])
+
+
 def _round(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
@@ -281,6 +322,7 @@ def _predict_thresholds(spark, d):
 EVALUATE = {
     "feature_fit": _fitted,
     "feature_standardize": _standardized,
+    "feature_contract": _feature_contract,
     "class_weights": lambda s, d: _round(V.class_weights(T.labelled_orders(s, d)), "weight"),
     "confusion": lambda s, d: V.confusion(T.scored_orders(s, d)),
     "confusion_normalized": lambda s, d: _round(V.normalized_confusion(V.confusion(T.scored_orders(s, d))), "share"),

@@ -17,6 +17,17 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# --- orders as labelled flows ---------------------------------------------------
+ORDERS = """
+o AS (
+  SELECT o_orderkey, o_orderdate, o_totalprice,
+         CASE WHEN left(o_orderpriority, 1) = '1' THEN 'DDoS' WHEN left(o_orderpriority, 1) = '2' THEN 'DoS'
+              WHEN left(o_orderpriority, 1) = '3' AND o_orderstatus = 'P' THEN 'Odd'
+              WHEN left(o_orderpriority, 1) = '4' THEN 'PortScan' ELSE 'BENIGN' END AS label,
+         left(o_orderpriority, 1) = '1' AS friday_file,
+         ('0x' || left(md5('42:' || o_orderkey), 8))::BIGINT AS h
+  FROM orders)"""
+
 # --- dataset profile ---------------------------------------------------------
 DATASET = """
 ds AS (
@@ -58,6 +69,14 @@ def _stat(name: str, expr: str, number: bool = True, inf: bool = False) -> str:
 
 
 PROFILE = {
+    "drifting_exports": _with(DATASET, """
+SELECT flag AS class_name, CASE WHEN flag = 'R' THEN 'same' ELSE raw_label END AS label, count(*) AS n, CAST(sum(protocol) AS BIGINT) AS protocols,
+       CAST(count(tax) FILTER (flag <> 'A') AS BIGINT) AS taxed, CAST(sum(port) AS BIGINT) AS ports, round(sum(price::DECIMAL(18,2))::DOUBLE, 2) AS price
+FROM (SELECT *, CASE WHEN no = 1 THEN '  Benign ' WHEN no = 2 AND flag = 'A' THEN NULL WHEN no = 2 THEN 'BENIGN' WHEN no = 3 THEN 'DoS Hulk'
+                     WHEN no = 4 THEN 'FTP-Patator' WHEN no = 5 AND flag = 'N' THEN 'Web Attack ' || chr(65533) || ' Sql Injection'
+                     WHEN no = 5 THEN 'Web  Attack ' || chr(8211) || ' XSS' WHEN no = 6 THEN 'Bot' WHEN flag = 'A' THEN 'Unknown thing'
+                     ELSE 'WebAttack- Brute Force' END AS raw_label FROM ds) GROUP BY ALL"""),
+    "csv_encodings": _with(ORDERS, "SELECT label || ' caf' || chr(233) AS note, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM o GROUP BY 1"),
     "label_canonical": _with(DATASET, """
 SELECT validator, indexed, coalesce(strict, '-') AS strict, permissive, count(*) AS n FROM lab GROUP BY ALL"""),
     "label_keep_canonical": _with(DATASET, """
@@ -89,16 +108,6 @@ FROM lab GROUP BY file"""),
 }
 
 # --- splits ------------------------------------------------------------------
-ORDERS = """
-o AS (
-  SELECT o_orderkey, o_orderdate, o_totalprice,
-         CASE WHEN left(o_orderpriority, 1) = '1' THEN 'DDoS' WHEN left(o_orderpriority, 1) = '2' THEN 'DoS'
-              WHEN left(o_orderpriority, 1) = '3' AND o_orderstatus = 'P' THEN 'Odd'
-              WHEN left(o_orderpriority, 1) = '4' THEN 'PortScan' ELSE 'BENIGN' END AS label,
-         left(o_orderpriority, 1) = '1' AS friday_file,
-         ('0x' || left(md5('42:' || o_orderkey), 8))::BIGINT AS h
-  FROM orders)"""
-
 WEEKDAY = ORDERS + """,
 sp AS (SELECT *, CASE WHEN dayofweek(o_orderdate) = 5 THEN 'test' WHEN h < 644245094 THEN 'val' ELSE 'train' END AS split FROM o)"""
 
@@ -189,6 +198,12 @@ WITH x AS (SELECT vec_id, i AS name, embedding[i + 1]::DOUBLE AS v FROM embeddin
 st AS (SELECT name, avg(v) AS mu, stddev_pop(v) AS sd FROM x GROUP BY name),
 ranked AS (SELECT i, row_number() OVER (ORDER BY 'e' || i) - 1 AS pos FROM range(0, 64) AS r(i))
 SELECT vec_id, pos, round(((v - mu) / sd)::FLOAT::DOUBLE, 3) AS x FROM x JOIN st USING (name) JOIN ranked ON i = name""",
+    "feature_contract": """
+WITH h AS (SELECT vec_id, label, embedding[1]::DOUBLE AS v, ('0x' || left(md5('42:' || vec_id), 8))::BIGINT / 4294967296.0 AS share FROM embeddings),
+s AS (SELECT *, CASE WHEN share < 0.2 THEN 'test' WHEN share < 0.35 THEN 'val' ELSE 'train' END AS split FROM h),
+fit AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM s WHERE split = 'train')
+SELECT split, label::VARCHAR AS label, count(*) AS rows, 64 AS features, count(*) AS same, round(avg(((v - mu) / sd) * ((v - mu) / sd)), 4) AS mean_square
+FROM s, fit GROUP BY ALL""",
     "class_weights": _with(ORDERS, """
 SELECT label, n, round(total / (k * n), 9) AS weight
 FROM (SELECT label, count(*) AS n FROM o GROUP BY label), (SELECT count(*) AS total, count(DISTINCT label) AS k FROM o)"""),
