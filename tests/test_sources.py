@@ -103,6 +103,27 @@ def test_feature_contract(spark, tmp_path):
         X.write_features(df, "Label", str(tmp_path / "g"), keep=["features"])
 
 
+def test_dataset_reports(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", "BENIGN", 1.0, 5), ("a", "odd", nan, 5), ("a", "BENIGN", inf, 5), ("b", None, 2.0, None)]
+    df = spark.createDataFrame(rows, "file string, Label string, rows double, k int")
+    schemas = spark.createDataFrame([("a", ["Label", "rows", "k"]), ("b", ["rows", "attack x"]), ("c", ["Label", "rows", "k"])], "file string, columns array<string>")
+    report, summary = P.dataset_reports(df, "Label", "file", schemas)
+    got = {r.file: r for r in report.collect()}
+    assert (got["a"].rows, got["a"].missing, got["a"].infinite, got["a"].label_found, got["a"].leakage) == (3, 1, 1, True, [])
+    assert [tuple(x) for x in got["a"].classes] == [("BENIGN", 2)] and [tuple(x) for x in got["a"].unmapped] == [("odd", 1)]
+    assert [tuple(x) for x in got["a"].ranges] == [("k", 5.0, 5.0), ("rows", 1.0, inf)]
+    # Of b only the columns it has count; c has no rows.
+    assert (got["b"].rows, got["b"].missing, got["b"].label_found, got["b"].leakage, [x.column for x in got["b"].ranges]) == (1, 0, False, ["attack x"], ["rows"])
+    assert (got["c"].rows, got["c"].missing, got["c"].classes, got["c"].ranges) == (0, 0, [], None)
+    one = summary.first()
+    assert (one.files, one.rows, one.mismatches, one.files_without_label, one.constant, one.columns) == (3, 4, 1, 1, ["k"], ["Label", "attack x", "k", "rows"])
+    assert one.failures == ["unmapped_labels", "missing_values", "infinite_values", "label_column_missing", "schema_mismatch"] and not one.passed
+    bare, whole = P.dataset_reports(df.drop("Label").limit(0), "Label", "file")
+    assert bare.count() == 0 and whole.first().failures == ["no_rows"]
+    assert P.dataset_reports(df.drop("Label"), "Label", "file")[1].first().failures == ["missing_values", "infinite_values", "label_column_missing"]
+
+
 def test_timestamps(spark):
     assert G.find_timestamp(spark.createDataFrame([(1, 2)], "TIMESTAMP int, a int")) == "TIMESTAMP"
     df = spark.createDataFrame([("07/07/2017 02:30:00 PM", "a"), ("2017-07-06 01:00:00", "a"), ("zz", "b")], "t string, f string")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from threatweave.functions.columns import staged
 from threatweave.functions.fixed import CANONICAL_CLASSES, DROP_COLUMNS, LEAKAGE_WORDS
 from threatweave.operators.labels import canonical_label, clean_label
-from threatweave.session import local_table
+from threatweave.session import cut, local_table
 
 FLOATS = (T.DoubleType, T.FloatType)
 CLASS_SCHEMA = "class_no int, label string"
@@ -38,12 +38,9 @@ def _clean(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def column_stats(df: DataFrame, file_col: str | None = None, drop=DROP_COLUMNS) -> DataFrame:
-    """Per file and column: rows, missing and infinite cells, minimum, maximum.
-
-    One pass with one row per file; the wide row is turned on its side afterwards.
-    """
-    fields = [f for f in df.schema if f.name not in drop and f.name != file_col]
+def _cell_figures(df: DataFrame, skip) -> tuple[list[Column], list[Column]]:
+    """Aggregates of all columns but some, and one entry per column made of them."""
+    fields = [f for f in df.schema if f.name not in skip]
     numeric = {f.name for f in fields if isinstance(f.dataType, T.NumericType)}
     floating = {f.name for f in fields if isinstance(f.dataType, FLOATS)}
     aggs = [F.count("*").alias("rows")]
@@ -53,10 +50,8 @@ def column_stats(df: DataFrame, file_col: str | None = None, drop=DROP_COLUMNS)
             aggs.append(F.count_if(F.abs(_clean(f.name)) == float("inf")).alias(f"i{i}"))
         if f.name in numeric:
             aggs += [F.min(_clean(f.name)).alias(f"lo{i}"), F.max(_clean(f.name)).alias(f"hi{i}")]
-    keys = [file_col] if file_col else []
-    wide = df.groupBy(*keys).agg(*aggs)
     null = F.lit(None).cast("double")
-    entries = [
+    return aggs, [
         F.struct(
             F.lit(f.name).alias("column"), F.lit(f.name in numeric).alias("numeric"),
             F.col(f"m{i}").alias("missing"),
@@ -66,7 +61,16 @@ def column_stats(df: DataFrame, file_col: str | None = None, drop=DROP_COLUMNS)
         )
         for i, f in enumerate(fields)
     ]
-    return wide.select(*keys, "rows", F.inline(F.array(*entries)))
+
+
+def column_stats(df: DataFrame, file_col: str | None = None, drop=DROP_COLUMNS) -> DataFrame:
+    """Per file and column: rows, missing and infinite cells, minimum, maximum.
+
+    One pass with one row per file; the wide row is turned on its side afterwards.
+    """
+    keys = [file_col] if file_col else []
+    aggs, entries = _cell_figures(df, [*drop, *keys])
+    return df.groupBy(*keys).agg(*aggs).select(*keys, "rows", F.inline(F.array(*entries)))
 
 
 def over_files(stats: DataFrame) -> DataFrame:
@@ -116,11 +120,15 @@ def unmapped_labels(df: DataFrame, label: str, top: int | None = None) -> DataFr
     return ranked.limit(top) if top else ranked
 
 
+def leaks(name: Column, label: str) -> Column:
+    """Whether a column's name says that it may give the label away."""
+    return name.rlike(rf"(?i)\b({'|'.join(LEAKAGE_WORDS)})\b") & (F.lower(name) != label.lower())
+
+
 def leakage_columns(df: DataFrame, label: str) -> DataFrame:
     """Columns whose name says they may give the label away."""
     names = local_table(df.sparkSession, [(c,) for c in df.columns], "column string")
-    words = "|".join(LEAKAGE_WORDS)
-    return names.filter(F.col("column").rlike(rf"(?i)\b({words})\b") & (F.lower("column") != label.lower()))
+    return names.filter(leaks(F.col("column"), label))
 
 
 def schema_mismatches(schemas: DataFrame) -> DataFrame:
@@ -176,6 +184,81 @@ def dataset_labels(df: DataFrame, label: str) -> DataFrame:
     return raw_label_counts(df, label).groupBy(F.col("permissive").alias("label")).agg(F.sum("n").alias("n"))
 
 
+def dataset_reports(
+    df: DataFrame, label: str, file_col: str, schemas: DataFrame | None = None, drop=DROP_COLUMNS, top: int = 20,
+) -> tuple[DataFrame, DataFrame]:
+    """Report per file and one-row summary of a dataset, from one pass over its rows.
+
+    The pass leaves one row per file and raw label, which is written down; all else is
+    worked out from those. ``schemas`` (file, columns) says what each file has, as
+    ``sources.files.schema_table`` gives it; cells of columns a file lacks do not
+    count then. Without it every file has the columns of ``df``. A file without rows is
+    reported only with ``schemas``. The summary names the ``top`` unmapped labels and counts
+    files that differ; ``schema_mismatches`` names those. A dataset without the label
+    column is reported as such.
+    """
+    found = label in df.columns
+    data = df if found else df.withColumn(label, F.lit(None).cast("string"))
+    aggs, entries = _cell_figures(df, [*drop, file_col])
+    # Keys by names of their own, as a column of the data may be called like a figure.
+    keyed = data.groupBy(F.col(f"`{file_col}`").alias("file"), F.col(f"`{label}`").alias("raw"))
+    scan = cut(keyed.agg(*aggs).select("file", "raw", "rows", F.array(*entries).alias("cells")))
+    if schemas is None:
+        own = [c for c in df.columns if c != file_col]
+        schemas = scan.select("file").distinct().withColumn("columns", F.array(*map(F.lit, own)).cast("array<string>"))
+    schemas = schemas.select("file", "columns")
+    cells = (
+        scan.select("file", F.inline("cells")).groupBy("file", "column", "numeric")
+        .agg(F.sum("missing").alias("missing"), F.sum("infinite").alias("infinite"), F.min("min").alias("min"), F.max("max").alias("max"))
+        .join(schemas.select("file", F.explode("columns").alias("column")), ["file", "column"], "left_semi")
+    )
+    named = staged(scan.select("file", "raw", F.col("rows").alias("n")), {"clean": clean_label("raw"), "class": canonical_label("raw", "strict")})
+    named = named.filter(F.lit(found))
+
+    def counted(rows: DataFrame, name: str, out: str) -> DataFrame:
+        per = rows.groupBy("file", F.col(name).alias("label")).agg(F.sum("n").alias("n"))
+        most = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "label")))
+        return per.groupBy("file").agg(F.transform(most, lambda e: F.struct(e["label"].alias("label"), (-e["less"]).alias("n"))).alias(out))
+
+    figures = cells.groupBy("file").agg(
+        F.sum("missing").alias("missing"), F.sum("infinite").alias("infinite"),
+        F.sort_array(F.collect_list(F.when(F.col("numeric"), F.struct("column", "min", "max")))).alias("ranges"))
+    report = schemas.join(scan.groupBy("file").agg(F.sum("rows").alias("rows")), "file", "left")
+    known, unknown = named.filter("class IS NOT NULL"), named.filter("class IS NULL")
+    for part in (figures, counted(known, "class", "classes"), counted(unknown, "clean", "unmapped")):
+        report = report.join(part, "file", "left")
+    none = F.array().cast("array<struct<label:string,n:bigint>>")
+    report = report.select(
+        "file", F.coalesce("rows", F.lit(0)).alias("rows"), "columns", F.array_contains("columns", label).alias("label_found"),
+        F.coalesce("classes", none).alias("classes"), F.coalesce("unmapped", none).alias("unmapped"),
+        F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("infinite", F.lit(0)).alias("infinite"), "ranges",
+        F.filter("columns", lambda c: leaks(c, label)).alias("leakage"),
+    )
+
+    # Each side below is a single row: figures over files, labels, columns, names.
+    over = report.agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum("infinite"), F.lit(0)).alias("infinite"), F.count_if(~F.col("label_found")).alias("files_without_label"))
+    shared = schemas.groupBy("columns").agg(F.count("*").alias("n"), F.min("file").alias("first"))
+    differ = shared.agg(F.coalesce(F.sum("n") - F.min_by("n", "first"), F.lit(0)).alias("mismatches"))
+    names = schemas.select(F.explode("columns").alias("column")).distinct().agg(
+        F.sort_array(F.collect_list("column")).alias("columns"),
+        F.sort_array(F.collect_list(F.when(leaks(F.col("column"), label), F.col("column")))).alias("leakage"))
+    constant = constant_columns(cells.filter("numeric").groupBy("column").agg(F.min("min").alias("min"), F.max("max").alias("max"))).agg(
+        F.sort_array(F.collect_list("column")).alias("constant"))
+    missed = unknown.groupBy(F.col("clean").alias("label")).agg(F.sum("n").alias("n"))
+    entry = F.struct("label", "n")
+    unmapped = missed.agg(F.count("*").alias("unmapped_labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("unmapped_rows")).crossJoin(
+        missed.orderBy(F.desc("n"), "label").limit(top).agg(F.sort_array(F.collect_list(entry)).alias("unmapped")))
+    classes = known.groupBy(F.col("class").alias("label")).agg(F.sum("n").alias("n")).agg(F.sort_array(F.collect_list(entry)).alias("classes"))
+    joined = reduce(lambda a, b: a.crossJoin(b), [over, differ, names, constant, unmapped, classes])
+    failures = F.array_compact(F.array(
+        F.when(F.col("rows") == 0, "no_rows"), F.when(F.col("unmapped_rows") > 0, "unmapped_labels"),
+        F.when(F.col("missing") > 0, "missing_values"), F.when(F.col("infinite") > 0, "infinite_values"),
+        F.when(F.col("files_without_label") > 0, "label_column_missing"), F.when(F.col("mismatches") > 0, "schema_mismatch")))
+    return report, joined.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+
+
 def profile_dataset(df: DataFrame, label: str, file_col: str, drop=DROP_COLUMNS) -> dict[str, DataFrame]:
     """All reports of a dataset by name."""
     stats = column_stats(df, file_col, drop)

@@ -226,7 +226,31 @@ def _encodings(spark, d):
     return files.read_csv(spark, folder).groupBy("note").agg(F.count("*").alias("n"), F.sum(F.col("o_orderkey").cast("bigint")).alias("keys"))
 
 
+def _labels_text(name):
+    return F.array_join(F.transform(F.sort_array(name), lambda e: F.concat_ws("=", F.coalesce(e["label"], F.lit("?")), e["n"])), ",")
+
+
+def _reports(spark, d, which):
+    return P.dataset_reports(T.flow_dataset(spark, d), "Label", "file")[which]
+
+
+def _file_report(spark, d):
+    low_high = F.aggregate("ranges", F.lit(0.0), lambda a, r: a + F.when(F.abs(r["max"]) < float("inf"), r["min"] + r["max"]).otherwise(r["min"]))
+    return _reports(spark, d, 0).select(
+        "file", "rows", F.size("columns").alias("columns"), "label_found", _labels_text("classes").alias("classes"), _labels_text("unmapped").alias("unmapped"),
+        "missing", "infinite", F.size("ranges").alias("ranges"), F.round(low_high, 4).alias("low_high"), F.array_join("leakage", ",").alias("leakage"))
+
+
+def _dataset_summary(spark, d):
+    return _reports(spark, d, 1).select(
+        "files", "rows", F.size("columns").alias("columns"), "mismatches", "files_without_label", "unmapped_labels", "unmapped_rows",
+        _labels_text("unmapped").alias("unmapped"), _labels_text("classes").alias("classes"), "missing", "infinite",
+        F.array_join("leakage", ",").alias("leakage"), F.array_join("constant", ",").alias("constant"), F.array_join("failures", ",").alias("failures"), "passed")
+
+
 PROFILE = {
+    "file_report": _file_report,
+    "dataset_summary": _dataset_summary,
     "drifting_exports": _drifting,
     "csv_encodings": _encodings,
     "label_canonical": _labels,

@@ -68,7 +68,41 @@ def _stat(name: str, expr: str, number: bool = True, inf: bool = False) -> str:
        {infinite} AS infinite, {low}::DOUBLE AS min, {high}::DOUBLE AS max FROM ds GROUP BY file"""
 
 
+def _per_column(*names: str) -> str:
+    """One row per file and number column: its least and greatest value."""
+    return "\nUNION ALL ".join(
+        f"SELECT file, '{n}' AS name, min(x) FILTER (NOT isnan(x)) AS lo, max(x) FILTER (NOT isnan(x)) AS hi FROM (SELECT file, {c}::DOUBLE AS x FROM ds) GROUP BY file"
+        for n, c in (n.split(":") for n in names))
+
+
+REPORTS = DATASET + ", ranges AS (" + _per_column("quantity:quantity", "tax:tax", "rate:rate", "price:price", "protocol:protocol", "attack port:port") + f"""),
+names AS (SELECT unnest(['Label', 'quantity', 'tax', 'rate', 'price', 'protocol', 'attack port', 'class name']) AS name),
+leaking AS (SELECT string_agg(name, ',' ORDER BY name) AS leakage FROM names WHERE regexp_matches(name, '(?i)\\b({'|'.join(K.LEAKAGE_WORDS)})\\b') AND lower(name) <> 'label'),
+cells AS (
+  SELECT file, count(*) AS rows, count(*) FILTER (tax IS NULL OR isnan(tax)) + count(*) FILTER (no = 2 AND flag = 'A') AS missing,
+         count(*) FILTER (isinf(rate)) AS infinite FROM ds GROUP BY file),
+cls AS (SELECT file, strict AS label, count(*) AS n FROM lab WHERE strict IS NOT NULL GROUP BY ALL),
+unm AS (SELECT file, coalesce(validator, '?') AS label, count(*) AS n FROM lab WHERE strict IS NULL GROUP BY ALL)"""
+
 PROFILE = {
+    "file_report": _with(REPORTS, """
+SELECT file, rows, 8 AS columns, TRUE AS label_found,
+       (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM cls WHERE cls.file = cells.file) AS classes,
+       (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM unm WHERE unm.file = cells.file) AS unmapped, missing, infinite,
+       (SELECT count(*) FROM ranges r WHERE r.file = cells.file) AS ranges,
+       (SELECT round(sum(lo) + sum(hi) FILTER (NOT isinf(hi)), 4) FROM ranges r WHERE r.file = cells.file) AS low_high, leakage
+FROM cells, leaking"""),
+    "dataset_summary": _with(REPORTS + """,
+one AS (SELECT label, sum(n) AS n FROM unm GROUP BY 1), two AS (SELECT label, sum(n) AS n FROM cls GROUP BY 1),
+total AS (SELECT count(*) AS files, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(infinite) AS BIGINT) AS infinite FROM cells),
+bad AS (SELECT count(*) AS unmapped_labels, CAST(sum(n) AS BIGINT) AS unmapped_rows, string_agg(label || '=' || n, ',' ORDER BY label) AS unmapped FROM one),
+verdict AS (SELECT concat_ws(',', CASE WHEN rows = 0 THEN 'no_rows' END, CASE WHEN unmapped_rows > 0 THEN 'unmapped_labels' END,
+                   CASE WHEN missing > 0 THEN 'missing_values' END, CASE WHEN infinite > 0 THEN 'infinite_values' END) AS failures FROM total, bad)""", """
+SELECT files, rows, (SELECT count(*) FROM names) AS columns, 0 AS mismatches, 0 AS files_without_label, unmapped_labels, unmapped_rows, unmapped,
+       (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM two) AS classes, missing, infinite, leakage,
+       (SELECT string_agg(name, ',' ORDER BY name) FROM (SELECT name FROM ranges GROUP BY 1 HAVING min(lo) = max(hi) AND NOT isinf(min(lo)))) AS constant,
+       failures, failures = '' AS passed
+FROM total, bad, leaking, verdict"""),
     "drifting_exports": _with(DATASET, """
 SELECT flag AS class_name, CASE WHEN flag = 'R' THEN 'same' ELSE raw_label END AS label, count(*) AS n, CAST(sum(protocol) AS BIGINT) AS protocols,
        CAST(count(tax) FILTER (flag <> 'A') AS BIGINT) AS taxed, CAST(sum(port) AS BIGINT) AS ports, round(sum(price::DECIMAL(18,2))::DOUBLE, 2) AS price
