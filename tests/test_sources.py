@@ -47,6 +47,8 @@ def test_drift_by_tasks(spark, tmp_path):
     assert tuple(r) == (301, float(sum(range(300))), 301, "low", 1, 1, 2**32 - 1, "2026-01-01 00:00:00")
     schemas = files.schema_table(spark, str(root))
     assert schemas.count() == 301 and P.schema_mismatches(schemas).count() == 101
+    leaking = P.leaking_files(files.parquet_footers(spark, str(root)), "n")
+    assert leaking.count() == 301 and {r.column for r in leaking.collect()} == {"Label", "label"}
     (tmp_path / "none").mkdir()
     with pytest.raises(FileNotFoundError):
         files.read_drifting_parquet(spark, str(tmp_path / "none"))

@@ -131,6 +131,15 @@ def leakage_columns(df: DataFrame, label: str) -> DataFrame:
     return names.filter(leaks(F.col("column"), label))
 
 
+def leaking_files(footers: DataFrame, label: str) -> DataFrame:
+    """(file, column) of such names over all files of a folder, from their footers.
+
+    ``footers`` as ``sources.files.parquet_footers`` gives them: no rows are read.
+    """
+    found = footers.filter(leaks(F.col("name"), label))
+    return found.select(F.substring_index("path", "/", -1).alias("file"), F.col("name").alias("column"))
+
+
 def schema_mismatches(schemas: DataFrame) -> DataFrame:
     """Files whose ordered column list differs from that of the first file.
 

@@ -259,6 +259,7 @@ PROFILE = {
     "unmapped_labels": lambda s, d: P.unmapped_labels(T.flow_dataset(s, d), "Label", 20),
     "column_stats": _stats,
     "constant_columns": _constant,
+    "leakage_in_files": lambda s, d: P.leaking_files(files.parquet_footers(s, d), "toxic"),
     "leakage_columns": lambda s, d: P.leakage_columns(T.flow_dataset(s, d), "Label"),
     "quality_gate": _verdict,
     "file_label_index": _file_index,

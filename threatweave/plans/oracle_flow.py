@@ -126,6 +126,9 @@ UNION ALL SELECT '(all)', c.class_no, c.label, count(lab.no) FROM classes c LEFT
         _stat("protocol", "protocol"), _stat("attack port", "port"), _stat("class name", "flag", number=False),
         _stat("Label", "CASE WHEN NOT (no = 2 AND flag = 'A') THEN 1 END", number=False)])),
     "constant_columns": _with(DATASET, """SELECT 'protocol' AS "column" FROM (SELECT count(DISTINCT protocol) AS k FROM ds) WHERE k = 1"""),
+    "leakage_in_files": f"""
+SELECT table_name || '.parquet' AS file, column_name AS "column" FROM information_schema.columns
+WHERE regexp_matches(column_name, '(?i)\\b({'|'.join(K.LEAKAGE_WORDS)})\\b') AND lower(column_name) <> 'toxic'""",
     "leakage_columns": _with(DATASET, """SELECT unnest(['attack port', 'class name']) AS "column" WHERE (SELECT count(*) FROM ds) >= 0"""),
     "quality_gate": _with(DATASET, """
 SELECT (SELECT count(DISTINCT file) FROM ds) AS files, (SELECT count(*) FROM ds) AS rows_total,
