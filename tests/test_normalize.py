@@ -12,6 +12,7 @@ from threatweave.operators.normalize import contract_violations, normalize_event
 from threatweave.plans.correlate import correlate
 from threatweave.sources.events import read_events, write_alerts
 
+# Golden records and the two rules whose alerts the results have to equal.
 GOLDEN = [
     {"event_type": "phishing_detected", "timestamp": "2026-02-08T09:00:00Z", "user": "alice", "domain": "evil.com", "severity": 6, "confidence": 0.90},
     {"event_type": "malware_download", "timestamp": "2026-02-08T09:20:00Z", "user": "alice", "domain": "evil.com", "severity": 7, "confidence": 0.80},

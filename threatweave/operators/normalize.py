@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatweave.functions.columns import staged, strip
-from threatweave.functions.fixed import ALIASES, ENTITY_FIELDS, NORMALIZED_KEYS
+from threatweave.functions.fixed import ALIASES, DOMAIN, ENTITY_FIELDS, IPV4, NORMALIZED_KEYS
 from threatweave.functions.raw import (
     KEYS,
     all_present,
@@ -32,9 +32,6 @@ ISO = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
 BASIC_ISO = r"^\d{8}(T\d{6}(Z|[+-]\d{2}:?\d{2})?)?$"
-OCTET = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
-IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
-DOMAIN = r"^([a-zA-Z0-9-]{1,63}\.)+[a-zA-Z]{2,63}$"
 WEB = r"(?i)^https?://"
 
 
