@@ -128,3 +128,12 @@ def test_golden_replay_from_file(spark, tmp_path):
     assert found["R001"].confidence == pytest.approx(0.848824, abs=1e-6) and found["R001"].severity_score == 7
     assert found["R002"].confidence == pytest.approx(0.867273, abs=1e-6) and found["R002"].severity_score == 9
     assert found["R001"].key_entity == "entities.domain=evil.com" and found["R002"].key_entity == "entities.dst_ip=10.0.0.5"
+
+
+def test_repeated_key_in_a_plain_session(spark, tmp_path):
+    """The last value counts, in sessions that were made without the library's settings too."""
+    (tmp_path / "e.jsonl").write_text('{"event_type": "a", "event_type": "b", "timestamp": 1760000000}\n[1]\n')
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    good, rejects = read_events(spark, str(tmp_path))
+    assert [r.event_type for r in normalize_events(good).collect()] == ["b"] and rejects.count() == 1
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "true"

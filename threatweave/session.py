@@ -34,8 +34,9 @@ def builder(app: str = "threatweave"):
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on (time zone) and what hot keys need (skew joins)."""
+    """Pin what results depend on (time zone, repeated keys of records) and what hot keys need (skew joins)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
