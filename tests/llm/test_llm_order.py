@@ -15,7 +15,7 @@ from threatweave.llm.feistel import invert, permute
 from threatweave.llm.mixing import apply_mixing, mix_documents, mix_targets, split_quotas, taken_words
 from threatweave.llm.sharding import shard_documents
 from threatweave.llm.queries import QUERIES
-from threatweave.llm.training_order import padded, read_slots, shard_name, training_order, write_order, write_shards
+from threatweave.llm.training_order import SEED, padded, read_slots, shard_name, training_order, write_order
 from threatweave.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -158,27 +158,68 @@ def test_sharding_near_equal(spark):
     assert len(got) == 16 and max(rest) - min(rest) < 0.01 * max(rest)
 
 
-def test_training_order(spark, docs, rows, tmp_path):
-    n, per = 32, 50
-    out = training_order(docs, VOCABULARY, n, per)
-    got = out.collect()
+def brute_sequences(rows, n):
+    """All (doc_id, part, n_tokens, ids) as the library encodes them."""
     library = Tokenizer.from_file(VOCABULARY)
-    want = []
+    out = []
     for i, t, _, _ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids + [49407]
         for p in range(0, len(ids), n):
-            want.append((i, p // n, len(ids[p:p + n]), tuple((ids[p:p + n] + [49407] * n)[:n])))
-    assert sorted(r.slot for r in got) == list(range(len(want)))
-    assert B.ordered((r.doc_id, r.part, r.n_tokens, tuple(np.frombuffer(r.record, "<u2").tolist())) for r in got) == B.ordered(want)
-    assert all(r.shard == r.slot // per and r.byte_offset == r.slot % per * 2 * n for r in got)
+            out.append((i, p // n, len(ids[p:p + n]), tuple((ids[p:p + n] + [49407] * n)[:n])))
+    return out
+
+
+def test_training_order(docs, rows, tmp_path):
+    n, per = 32, 50
+    ordered = training_order(docs, VOCABULARY, n, per)
     folder = f"file://{tmp_path}/shards"
-    written = write_shards(out, folder).collect()
-    assert {r.shard: r.records for r in written} == Counter(r.shard for r in got)
-    assert (tmp_path / "shards" / shard_name(0)).stat().st_size == per * 2 * n
-    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == [shard_name(k) for k in range(len(written))]
-    by_slot = {r.slot: r.record for r in got}
-    read = list(read_slots(folder, 37, 10_000, n, per))  # resumed in the middle, to the end
-    assert [x.tobytes() for x in read] == [by_slot[s] for s in range(37, len(want))]
+    got = sorted(write_order(ordered, folder, n).collect(), key=lambda r: r.slot)
+    want = brute_sequences(rows, n)
+    assert [r.slot for r in got] == list(range(len(want)))
+    read = list(read_slots(folder, 0, len(want) + 1, n))
+    assert B.ordered((r.doc_id, r.part, r.n_tokens, tuple(x.tolist())) for r, x in zip(got, read)) == B.ordered(want)
+    assert all(hashlib.sha256(x.tobytes()).hexdigest() == r.record_sha256 for r, x in zip(got, read)) and len(read) == len(got)
+    # Every row names the bytes that hold it; shards follow one another without gaps.
+    for r, x in zip(got, read):
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            f.seek(r.byte_offset)
+            assert f.read(2 * n) == x.tobytes()
+    sizes = Counter(r.shard for r in got)
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == [shard_name(k) for k in sorted(sizes)]
+    assert [r.shard for r in got] == sorted(r.shard for r in got) and len(sizes) > 3
+    resumed = list(read_slots(folder, 37, 10_000, n))  # from the middle, to the end
+    assert [x.tobytes() for x in resumed] == [x.tobytes() for x in read[37:]]
+    assert [x.tobytes() for x in read_slots(folder, 37, 3, n)] == [x.tobytes() for x in read[37:40]]
+
+
+def test_training_order_is_the_permutation(docs, rows, tmp_path):
+    """Places invert to numbers that run from the task's multiple of the bound, without a hole; reruns agree."""
+    n = 32
+    ordered = training_order(docs.coalesce(2), VOCABULARY, n, 50).collect()
+    assert [r.place for r in ordered] == sorted(r.place for r in ordered)
+    sums = [sum(3 * len((t or "").encode()) // n + 1 for _, t, _, _ in part) for part in
+            docs.coalesce(2).select("doc_id", "text", "lang", "source").rdd.glom().collect()]
+    bound, domain = max(sums), max(sums) * len(sums)
+    number = invert(np.array([r.place for r in ordered]), domain, SEED).astype(int)
+    by_task = defaultdict(list)
+    for k, r in sorted(zip(number.tolist(), ordered)):
+        by_task[k // bound].append((k % bound, r))
+    assert sorted(by_task) == list(range(len(sums)))
+    for found in by_task.values():
+        assert [k for k, _ in found] == list(range(len(found)))
+        assert all(b.part == a.part + 1 or b.part == 0 for (_, a), (_, b) in zip(found, found[1:]))
+    again = training_order(docs.coalesce(2), VOCABULARY, n, 50).collect()
+    assert again == ordered
+
+
+def test_training_order_repeated_rows_and_extra_columns(spark, tmp_path):
+    rows = [(1, "the same words", "en", "a")] * 3 + [(None, None, None, None), (2, "", "en", "a"), (3, "long " * 3000, "en", "b")]
+    docs = B.frame(spark, rows).withColumns({"place": F.lit("x"), "shard": F.lit("y"), "record": F.lit(1), "n": F.lit(2)})
+    got = write_order(training_order(docs, VOCABULARY, 16, 40), f"file://{tmp_path}/s", 16).collect()
+    want = brute_sequences(rows, 16)
+    assert sorted(r.slot for r in got) == list(range(len(want)))
+    digests = [(i, p, n, hashlib.sha256(np.array(x, "<u2").tobytes()).hexdigest()) for i, p, n, x in want]
+    assert B.ordered((r.doc_id, r.part, r.n_tokens, r.record_sha256) for r in got) == B.ordered(digests)
 
 
 def test_registered_training_order_writes(spark):
@@ -196,14 +237,17 @@ def test_registered_training_order_writes(spark):
     assert {(r.doc_id, r.part): read[r.slot][:r.n_tokens].tolist() for r in got} == want and len(got) == len(want)
 
 
-def test_write_order_small_shards(docs, tmp_path):
-    out = training_order(docs, VOCABULARY, 32, 50)
-    rows = {r.slot: r for r in write_order(out.coalesce(2), f"file://{tmp_path}/s", 32, 50).collect()}
-    plain = {r.slot: r for r in out.collect()}
-    keep = ("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens")
-    assert rows.keys() == plain.keys()
-    assert all([rows[s][k] for k in keep] == [plain[s][k] for k in keep] for s in rows)
-    assert all(rows[s].record_sha256 == hashlib.sha256(plain[s].record).hexdigest() for s in rows)
+def test_write_order_of_several_shards_in_a_task(docs, tmp_path):
+    ordered = training_order(docs, VOCABULARY, 32, 50)
+    keep = ("slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record_sha256")
+    one, two = ({tuple(r[k] for k in keep) for r in write_order(o, f"file://{tmp_path}/{name}", 32).collect()}
+                for name, o in (("a", ordered), ("b", ordered.coalesce(2))))
+    assert one == two
+
+
+def test_order_without_documents(none, tmp_path):
+    assert write_order(training_order(none, VOCABULARY), f"file://{tmp_path}/s").count() == 0
+    assert list(read_slots(f"file://{tmp_path}/s", 0, 5)) == []
 
 
 def test_wide_ids():

@@ -102,9 +102,13 @@ class MergeTable:
 
 
 class WordCodec:
-    """Encoder and decoder of a lower-casing word BPE file (NFC, words split by a pattern)."""
+    """Encoder and decoder of a lower-casing word BPE file (NFC, words split by a pattern).
 
-    def __init__(self, path: str):
+    One that never ``decodes`` remembers ids only.
+    """
+
+    def __init__(self, path: str, decodes: bool = True):
+        self.decodes = decodes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -159,9 +163,13 @@ class WordCodec:
         fresh = {p: self._words(p) for p in pieces.difference(ids)}
         words = list({w for found in fresh.values() for w in found}.difference(ids))
         flat, begin = self.merges.encode([w.encode() for w in words])
-        raw, names, begin = flat.astype("<u4").tobytes(), [self.names[i] for i in flat.tolist()], begin.tolist()
+        raw, begin = flat.astype("<u4").tobytes(), begin.tolist()
+        ids.update((word, raw[4 * a:4 * b]) for word, a, b in zip(words, begin, begin[1:]))
+        if not self.decodes:
+            ids.update((p, b"".join([ids[w] for w in found])) for p, found in fresh.items() if found != [p])
+            return
+        names = [self.names[i] for i in flat.tolist()]
         for word, a, b in zip(words, begin, begin[1:]):
-            ids[word] = raw[4 * a:4 * b]
             shown[word] = " ".join(names[a:b])
         for piece, found in fresh.items():
             if len(found) == 2:
@@ -194,9 +202,9 @@ class WordCodec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> WordCodec:
+def codec(path: str, decodes: bool = True) -> WordCodec:
     """One codec per worker process and file."""
-    made = WordCodec(path)
+    made = WordCodec(path, decodes)
     gc.freeze()  # its tables stay: the collector need not walk them again and again
     gc.set_threshold(1_000_000)  # words make no cycles
     return made

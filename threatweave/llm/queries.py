@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threatweave.llm.bpe import bpe_round_trip
 from threatweave.llm.centroids import centroid_clusters
 from threatweave.llm.chat import MarkedTemplate, format_chats, read_back
-from threatweave.llm.common import given_id, load, run_folder, settle
+from threatweave.llm.common import given_id, load, run_folder
 from threatweave.llm.counts import token_counts
 from threatweave.llm.exact import exact_dedup
 from threatweave.llm.linededup import line_dedup
@@ -73,8 +73,7 @@ def _op9(spark, d):
 
 def _op10(spark, d):
     ordered = training_order(load(spark, d, "documents"), tokenizer_file("word_bpe_49k.json"))
-    # Written here and now: the shards are there when the query returns, once.
-    return settle(write_order(ordered, run_folder(spark, "training-shards")), "training-order")
+    return write_order(ordered, run_folder(spark, "training-shards"))
 
 
 def _op11(spark, d):
