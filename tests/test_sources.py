@@ -54,6 +54,16 @@ def test_drift_by_tasks(spark, tmp_path):
         files.read_drifting_parquet(spark, str(tmp_path / "none"))
 
 
+def test_leaking_columns_of_tables_in_part_files(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id", "id % 3 AS label", "id AS class")
+    rows.repartition(4).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.write.partitionBy("class").parquet(str(tmp_path / "a b/by class.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "single.parquet")
+    found = P.leaking_files(files.parquet_footers(spark, str(tmp_path)), "toxic").collect()
+    assert sorted(map(tuple, found)) == [
+        ("by class.parquet", "label"), ("folder.parquet", "class"), ("folder.parquet", "label"), ("single.parquet", "class"), ("single.parquet", "label")]
+
+
 def test_csv_of_mixed_encodings(spark, tmp_path):
     root = tmp_path / "my c+s%20v"
     (root / "sub").mkdir(parents=True)

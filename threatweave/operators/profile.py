@@ -134,10 +134,11 @@ def leakage_columns(df: DataFrame, label: str) -> DataFrame:
 def leaking_files(footers: DataFrame, label: str) -> DataFrame:
     """(file, column) of such names over all files of a folder, from their footers.
 
-    ``footers`` as ``sources.files.parquet_footers`` gives them: no rows are read.
+    ``footers`` as ``sources.files.parquet_footers`` gives them: no rows are read. A table
+    written as a folder ``x.parquet`` of part files is the one file ``x.parquet``.
     """
     found = footers.filter(leaks(F.col("name"), label))
-    return found.select(F.substring_index("path", "/", -1).alias("file"), F.col("name").alias("column"))
+    return found.select(F.regexp_extract("path", r"([^/]*\.parquet)(/|$)", 1).alias("file"), F.col("name").alias("column")).distinct()
 
 
 def schema_mismatches(schemas: DataFrame) -> DataFrame:
