@@ -203,6 +203,22 @@ def test_looking_back_too_far_is_found():
     assert any(far.add("user", str(i))[-1] for i in range(20))
 
 
+def test_whole_history_is_rendered():
+    def numbered(turns):  # keeps its history, though each turn depends on all before it
+        return "".join(f"{i} {turns[0][0]}>{t};" for i, (_, t) in enumerate(turns))
+
+    def late(turns):  # takes its first turn back at the fiftieth
+        return "".join("-" if i == 0 and len(turns) >= 50 else f"{t};" for i, (_, t) in enumerate(turns))
+    turns = [("user", f"t{i}") for i in range(100)]
+    renderer = Renderer(numbered)
+    got = [renderer.add(*t) for t in turns]
+    whole = numbered(turns)
+    assert not any(g[-1] for g in got) and "".join(g[1] for g in got) == whole
+    assert [whole[g[2]:g[3]] for g in got] == [t for _, t in turns]
+    renderer = Renderer(late)
+    assert [i for i, t in enumerate(turns) if renderer.add(*t)[-1]] == [49]
+
+
 def test_trimming_template_locates_what_it_kept():
     r = Renderer(lambda turns: "".join(f"<{role}>{text.strip()}</>" for role, text in turns))
     assert r.add("user", "  hi ")[2:4] == (6, 8) and r.add("assistant", " ")[2:4] == (22, 22)

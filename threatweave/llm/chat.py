@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Turns a template is shown besides the one it renders: at least this many, at most twice as many.
-CONTEXT = 16
 # Rows handed back at once, and characters in them.
 BATCH_TURNS = 1024
 BATCH_CHARS = 1 << 22
@@ -71,18 +69,18 @@ def _shared(a: str, b: str) -> int:
 class Renderer:
     """Renders one conversation turn after turn through a template it knows nothing about.
 
-    Each turn is the difference between the outputs for the turns up to it and for
+    Each turn is the difference between the outputs for all turns up to it and for
     those before it. An output that does not start with the one before shows a template
-    that rewrites history.
+    that rewrites history, however far back.
 
-    The template is given the last ``context`` to ``2 * context`` turns. A longer
-    conversation moves on by rendering its last ``context`` turns alone: what the turns
-    after the first of them added must come out the same, else the template looks back
-    further than ``context`` turns, which counts as rewriting too.
+    With ``context`` the template is given the last ``context`` to ``2 * context`` turns
+    only. A longer conversation then moves on by rendering its last ``context`` turns
+    alone: what the turns after the first of them added must come out the same, else the
+    template looks back further than ``context`` turns, which counts as rewriting too.
     """
 
-    def __init__(self, template: Callable[[list[Turn]], str], context: int = CONTEXT):
-        self.template, self.context = template, max(1, context)
+    def __init__(self, template: Callable[[list[Turn]], str], context: int | None = None):
+        self.template, self.context = template, context and max(1, context)
         self.turns: list[Turn] = []
         self.out, self.shift = template([]), 0
 
@@ -92,7 +90,7 @@ class Renderer:
 
     def add(self, role: str, text: str, located: bool = True) -> tuple[int, str, int | None, int | None, bool]:
         """Where the turn's output starts, the output from there on, the span of its text if ``located``, and whether history changed."""
-        moved = len(self.turns) >= 2 * self.context and self._move_on()
+        moved = bool(self.context) and len(self.turns) >= 2 * self.context and self._move_on()
         turns = [*self.turns, (role, text)]
         out = self.template(turns)
         start = _shared(self.out, out)
@@ -104,9 +102,11 @@ class Renderer:
     def _text_span(self, role: str, out: str, start: int) -> tuple[int | None, int | None]:
         """Two other texts in its place show what the template puts before and behind the text."""
         one, two = (self.template([*self.turns, (role, probe)]) for probe in ("a", "b"))
-        head = _shared(one, two)
+        if not (one.startswith(self.out[:start]) and two.startswith(self.out[:start])):
+            return None, None
+        head = start + _shared(one[start:], two[start:])
         tail = _shared(one[:head:-1], two[:head:-1])
-        if head < start or len(out) < head + tail or one[:head] != out[:head] or one[len(one) - tail:] != out[len(out) - tail:]:
+        if len(out) < head + tail or one[start:head] != out[start:head] or one[len(one) - tail:] != out[len(out) - tail:]:
             return None, None
         return self.shift + head, self.shift + len(out) - tail
 
@@ -121,7 +121,7 @@ class Renderer:
 
 
 def format_chats(
-    convs: DataFrame, template: Callable[[list[Turn]], str], context: int = CONTEXT, loss_roles: tuple[str, ...] = ("assistant",),
+    convs: DataFrame, template: Callable[[list[Turn]], str], context: int | None = None, loss_roles: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
     """One row per turn of ``convs`` (``conv_id, turn, role, text``), in order, conversations whole within a partition.
 
@@ -137,9 +137,10 @@ def format_chats(
     roles and texts are empty. Repeated rows are turns each. A null ``conv_id`` is one
     conversation. Empty texts have an empty span. Other columns are ignored; an empty table gives none.
 
-    Rows are dealt by conversation and sorted on disk; a task streams them and holds at
-    most ``2 * context`` turns, so a conversation of any length passes, through one
-    task, as its order asks.
+    Rows are dealt by conversation and sorted on disk; a task streams them and holds the
+    conversation it is at. The template renders every turn behind all the turns before
+    it, so work grows with the square of a conversation's length, whatever their number.
+    ``context`` bounds both for conversations without end (see :class:`Renderer`).
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
