@@ -132,3 +132,10 @@ def test_edges(spark):
     assert all(t.feature == [-1] for trees in few.rounds for t in trees)
     with pytest.raises(Exception, match="needs 2 features"):
         H.train_boosted(frame(spark, [("A", [1.0, 2.0]), ("B", [2.0])] * 5), rounds=1)
+
+
+def test_scores_are_brought_up_to_date_once_a_round(spark, monkeypatch):
+    calls, rescored = [], H._rescored
+    monkeypatch.setattr(H, "_rescored", lambda state, width, classes, trees: calls.append(len(trees)) or rescored(state, width, classes, trees))
+    H.train_boosted(frame(spark, make(200)), rounds=4, depth=2, min_rows=5, refresh=3)
+    assert calls == [1, 1, 1]

@@ -169,10 +169,10 @@ def _added(scores: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]]) -> np
     return out
 
 
-def _live(batch, width: int, classes: int, done: list[list[Tree]], growing: list[Tree], nodes: list[list[int]]):
+def _live(batch, width: int, classes: int, growing: list[Tree], nodes: list[list[int]]):
     """Per chunk and class with such nodes: the class, the place of each row's node in ``nodes``, bins, gradients, hessians."""
     for n, bins, y, scores in _read(batch, width, classes):
-        p = softmax(_added(scores, bins, done))
+        p = softmax(scores)
         for c, wanted in enumerate(nodes):
             if not wanted:
                 continue
@@ -189,13 +189,12 @@ def _cells(bins: np.ndarray) -> np.ndarray:
     return np.arange(bins.shape[1]) * 256 + bins.astype(np.int64)
 
 
-def _histograms(state: DataFrame, width: int, classes: int, done: list[list[Tree]], growing: list[Tree],
-                nodes: list[list[int]]) -> DataFrame:
+def _histograms(state: DataFrame, width: int, classes: int, growing: list[Tree], nodes: list[list[int]]) -> DataFrame:
     """Sums of every task per (class, node, feature) and bin; only bins that occur."""
 
     def run(batches):
         for batch in batches:
-            for c, at, bins, g, h in _live(batch, width, classes, done, growing, nodes):
+            for c, at, bins, g, h in _live(batch, width, classes, growing, nodes):
                 where = (at[:, None] * (width * 256) + _cells(bins)).ravel()
                 # Whole numbers below 2**53: sums of a chunk are exact in doubles.
                 size = len(nodes[c]) * width * 256
@@ -255,13 +254,12 @@ _ROWS = "cls int, node int, bins binary, g binary, h binary"
 _PARTS = "cls int, node int, place int, gain double, feature int, bin int, gl bigint, hl bigint, nl bigint, g bigint, h bigint, n bigint"
 
 
-def _node_rows(state: DataFrame, width: int, classes: int, done: list[list[Tree]], growing: list[Tree],
-               nodes: list[list[int]]) -> DataFrame:
+def _node_rows(state: DataFrame, width: int, classes: int, growing: list[Tree], nodes: list[list[int]]) -> DataFrame:
     """The rows of each (class, node): bins and sums' terms."""
 
     def run(batches):
         for batch in batches:
-            for c, at, bins, g, h in _live(batch, width, classes, done, growing, nodes):
+            for c, at, bins, g, h in _live(batch, width, classes, growing, nodes):
                 here = [(node, np.flatnonzero(at == i)) for i, node in enumerate(nodes[c])]
                 here = [(node, rows) for node, rows in here if len(rows)]
                 yield pa.RecordBatch.from_arrays(
@@ -464,8 +462,8 @@ def train_boosted(
 
     Rows are binned and written once; a job per level reads bytes. Nodes of at most
     ``node_rows`` rows are finished together, a task each (the same trees come out), which
-    moves at most ``classes * leaves * node_rows`` rows. Scores of the rows
-    take in the last rounds' trees on the fly and are written again every ``refresh`` rounds.
+    moves at most ``classes * leaves * node_rows`` rows. Scores of the rows take in a
+    round's trees once, are kept for the round's jobs and written every ``refresh`` rounds.
     """
     spark = df.sparkSession
     # As many rows as there are classes.
@@ -481,14 +479,14 @@ def train_boosted(
     if not width or classes == 1:
         return model
     state = cut(_chunks(df, labels, arrays, base, label, features)).persist(StorageLevel.MEMORY_AND_DISK)
-    recent: list[list[Tree]] = []
+    stale = None
     try:
         # As many tasks to find splits as made the sums, at most one per feature.
         tasks, most = min(width, state.rdd.getNumPartitions()), spark.sparkContext.defaultParallelism
         for turn in range(rounds):
             growth = [_Growth(total, depth, leaves, min_rows) for _ in labels]
             while any(nodes := [[k for k, n in g.open.items() if n > node_rows] for g in growth]):
-                sums = _histograms(state, width, classes, recent, [g.tree for g in growth], nodes)
+                sums = _histograms(state, width, classes, [g.tree for g in growth], nodes)
                 best: list[dict[int, tuple]] = [{} for _ in labels]
                 for cls, node, gain, feature, *rest in _find_splits(
                         sums.repartition(tasks, "cls", "node", "feature"), min_rows).collect():
@@ -499,7 +497,7 @@ def train_boosted(
                     g.take(splits)
             nodes = [list(g.open) for g in growth]
             if any(nodes):
-                rows = _node_rows(state, width, classes, recent, [g.tree for g in growth], nodes)
+                rows = _node_rows(state, width, classes, [g.tree for g in growth], nodes)
                 dealt = rows.repartition(min(most, sum(map(len, nodes))), "cls", "node").sortWithinPartitions("cls", "node")
                 levels = [{k: depth - g.level[k] for k in g.open} for g in growth]
                 parts: dict[tuple[int, int], dict[int, tuple]] = {}
@@ -509,18 +507,21 @@ def train_boosted(
                     growth[cls].take_subtree(node, splits)
             trees = [g.finish(rate) for g in growth]
             model.rounds.append(trees)
-            recent = [*recent, trees]
-            if len(recent) == refresh and turn + 1 < rounds:
-                fresh = cut(_rescored(state, width, classes, recent)).persist(StorageLevel.MEMORY_AND_DISK)
-                state.unpersist()
-                state, recent = fresh, []
+            # This round's jobs have read all of its scores: those they came from are no longer needed.
+            if stale is not None:
+                stale.unpersist()
+            if turn + 1 < rounds:
+                fresh = _rescored(state, width, classes, [trees])
+                stale, state = state, (cut(fresh) if (turn + 1) % refresh == 0 else fresh).persist(StorageLevel.MEMORY_AND_DISK)
     finally:
         state.unpersist()
+        if stale is not None:
+            stale.unpersist()
     return model
 
 
 def _rescored(state: DataFrame, width: int, classes: int, recent: list[list[Tree]]) -> DataFrame:
-    """The chunks with the trees of the last rounds in their scores."""
+    """The chunks with the trees of these rounds in their scores."""
 
     def run(batches):
         for batch in batches:
