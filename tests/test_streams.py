@@ -1,5 +1,9 @@
 """Streams in several micro-batches give the batch results; a repeated batch changes nothing."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +100,25 @@ def test_export_stream(spark, parts, tmp_path):
 
 def test_sliding_counts(spark, parts, tmp_path):
     assert drain(spark, SI.sliding_counts(T.flow_alerts_in(stream(spark, parts))), tmp_path / "w").count() > 0
+
+
+def test_rows_of_a_key_are_held_packed():
+    rng, n, batch = np.random.default_rng(1), 200_000, 10_000
+
+    def batches():
+        for a in range(0, n, batch):
+            label = pd.Series(np.array(["".join(["Do", "S"]), "BENIGN", None], object)[rng.integers(0, 3, batch)])
+            yield pd.DataFrame({
+                "key": ["a->b" + str(i) for i in range(batch)], "at": rng.integers(0, n // 4, batch), "ord": np.arange(a, a + batch)[::-1], "label": label,
+                "port": np.where(rng.random(batch) < 0.1, np.nan, 80.0), "conf": rng.integers(0, 2, batch), "p": rng.random(batch),
+                "m": rng.random(batch), "live": rng.random(batch) < 0.5})
+
+    tracemalloc.start()
+    before, seen = None, 0
+    for ord_, at, label, port, conf, p, m, live in SI.in_order(batches()):
+        assert before is None or before < (at, ord_)
+        assert label in ("DoS", "BENIGN", None) and isinstance(live, bool)
+        before, seen = (at, ord_), seen + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and peak < 150 * n

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,32 @@ from threatweave.operators.incidents import INCIDENT_COLUMNS, STATEFUL_SCHEMA, W
 STATE = "at array<bigint>, label array<string>, port array<int>, conf array<bigint>, p array<double>, m array<double>"
 
 
+# Incidents handed back at once.
+OUT_ROWS = 4096
+
+
+def in_order(batches: Iterable[pd.DataFrame]) -> Iterator[tuple]:
+    """The rows of one key in one micro-batch as ``ord, at, label, port, conf, p, m, live``, by time and ``ord``.
+
+    All are held, but packed: some 50 bytes each, labels as numbers. The trigger's input
+    limit bounds them.
+    """
+    names: dict = {}
+    parts = [(
+        b["ord"].to_numpy(), b["at"].to_numpy(np.int64), np.array([names.setdefault(x, len(names)) for x in b["label"]], np.int32),
+        b["port"].to_numpy(), b["conf"].to_numpy(np.int8), b["p"].to_numpy(np.float64), b["m"].to_numpy(np.float64), b["live"].to_numpy(bool),
+    ) for b in batches]
+    columns = []
+    for i in range(8):
+        columns.append(np.concatenate([p[i] for p in parts]))
+        parts = [(*p[:i], None, *p[i + 1:]) for p in parts]
+    labels, order = list(names), np.lexsort((columns[0], columns[1]))
+    for a in range(0, len(order), OUT_ROWS):
+        ord_, at, label, *rest = (c[order[a:a + OUT_ROWS]].tolist() for c in columns)
+        for o, t, k, *others in zip(ord_, at, label, *rest):
+            yield o, t, labels[k], *others
+
+
 def incident_stream(alerts: DataFrame, window: str = "30s", delay: str = "1 minute") -> DataFrame:
     """Incidents per triggering alert. State is one window of alerts per key and is
     dropped once the watermark has left it behind."""
@@ -30,16 +57,17 @@ def incident_stream(alerts: DataFrame, window: str = "30s", delay: str = "1 minu
             state.remove()
             return
         held = WindowState(width, zip(*state.get) if state.exists else ())
-        # The rows of one key in one micro-batch: bounded by the trigger's input limit.
-        rows = pd.concat(list(batches)).sort_values(["at", "ord"])
-        out = []
-        for r in rows.itertuples(index=False):
-            incident = held.push(int(r.at), r.label, r.port, int(r.conf), float(r.p), float(r.m), bool(r.live))
+        out, last = [], 0
+        for ord_, last, *alert in in_order(batches):
+            incident = held.push(last, *alert)
             if incident:
-                out.append({**incident, "key": key[0], "alert_ord": r.ord})
+                out.append({**incident, "key": key[0], "alert_ord": ord_})
+            if len(out) == OUT_ROWS:
+                yield pd.DataFrame(out, columns=INCIDENT_COLUMNS)
+                out = []
         columns = [list(c) for c in zip(*held.rows)] if held.rows else [[] for _ in range(6)]
         state.update(tuple(columns))
-        last_ms = int(rows["at"].max()) // 1000
+        last_ms = last // 1000
         state.setTimeoutTimestamp(max(last_ms + width // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=INCIDENT_COLUMNS)
 
