@@ -1,5 +1,7 @@
 """Registered model queries do the whole job: all pages scored, models trained with full settings."""
 
+import threading
+
 import pytest
 
 from threatweave.operators import boosting as H
@@ -67,3 +69,23 @@ def test_boosted_query_has_full_settings(spark, monkeypatch):
     assert sum(r.support for r in MODELS["gbt_ovr"](spark, SF).collect()) > 0
     rows = T.model_rows(spark, SF).filter("split = 'train'").count()
     assert given == [(rows, {})] and (H.ROUNDS, H.RATE, H.DEPTH, H.LEAVES, H.MIN_ROWS) == (220, 0.08, 8, 31, 30)
+
+
+def test_rows_are_dealt_over_all_cores(spark):
+    one_file = T.model_rows(spark, SF).coalesce(1)
+    parts = flows.splits_of(one_file)
+    assert all(p.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism for p in parts)
+    assert sum(p.count() for p in parts) == one_file.count()
+
+
+def test_classes_train_side_by_side(spark, monkeypatch):
+    train = flows.splits_of(T.model_rows(spark, SF))[0]
+    together, learner, gate = [], O.learner, threading.Barrier(2)
+
+    def made(*args, **params):
+        together.append(gate.wait(20))  # broken unless two classes are at it
+        return learner(*args, **params)
+
+    monkeypatch.setattr(O, "learner", made)
+    model = O.train_ovr(train.filter("label IN ('BENIGN', 'DoS')"), "svm", maxIter=3)
+    assert len(together) == 2 and model.labels == ["BENIGN", "DoS"] and len(model.models) == 2

@@ -8,7 +8,9 @@ persisted or written tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
@@ -24,6 +26,8 @@ from threatweave.operators.text import tokens, scrub_text
 from threatweave.session import local_table
 
 C_GRID = (0.05, 0.1, 0.5, 1.0, 2.0)
+# Classes trained at the same time: their many short jobs fill each other's gaps.
+PARALLEL = 9
 
 
 def _vectors(df: DataFrame, features: str = "features") -> DataFrame:
@@ -94,17 +98,20 @@ class PerClass:
 
 
 def train_ovr(df: DataFrame, kind: str, label: str = "label", labels: list[str] | None = None, c: float = 1.0, **params) -> PerClass:
-    """One model per class against the rest, weighted by :func:`side_weights`."""
+    """One model per class against the rest, weighted by :func:`side_weights`, several classes at a time."""
     # As many rows as there are classes.
     counts = {r["label"]: r["n"] for r in df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
     labels = sorted(k for k in counts if k is not None) if labels is None else labels
     n = sum(counts.values())
     rows = _vectors(df)
-    return PerClass(kind, labels, [
-        learner(kind, n, c, **params).fit(
+
+    @inheritable_thread_target(df.sparkSession)
+    def fit(name):
+        return learner(kind, n, c, **params).fit(
             _binary(rows, F.col(label).eqNullSafe(name), *side_weights(kind, n, counts.get(name, 0), len(labels))))
-        for name in labels
-    ])
+
+    with ThreadPool(max(1, min(PARALLEL, len(labels)))) as pool:
+        return PerClass(kind, labels, pool.map(fit, labels, chunksize=1))
 
 
 def macro_f1(predicted: DataFrame, label: str = "label") -> float:

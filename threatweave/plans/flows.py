@@ -34,8 +34,11 @@ def top_label_rows(incidents: DataFrame) -> DataFrame:
 
 
 def splits_of(df: DataFrame) -> list[DataFrame]:
-    """Train, validation and test rows, kept for the many passes of training."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Train, validation and test rows, dealt over all cores and kept for the many passes of training.
+
+    A table in few files or row groups would leave most cores idle in every pass.
+    """
+    kept = df.repartition(df.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     return [kept.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
 
 
