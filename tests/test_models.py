@@ -6,6 +6,7 @@ import pytest
 
 from threatweave.operators import boosting as H
 from threatweave.operators import models as O
+from threatweave.operators.text import scrub_text, tokens
 from threatweave.plans import flows
 from threatweave.plans import tables as T
 from threatweave.plans.catalog import MODELS
@@ -89,3 +90,13 @@ def test_classes_train_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(O, "learner", made)
     model = O.train_ovr(train.filter("label IN ('BENIGN', 'DoS')"), "svm", maxIter=3)
     assert len(together) == 2 and model.labels == ["BENIGN", "DoS"] and len(model.models) == 2
+
+
+def test_text_words_are_made_once(spark):
+    rows = spark.createDataFrame([("free money now", 1), ("meet at noon", 0), (None, 0)], "text string, label int")
+    words = rows.select("label", tokens(scrub_text("text")).alias("words"))
+    once = O.score_text(O.train_text(words, words="words"), words, words="words")
+    twice = O.score_text(O.train_text(rows), rows)
+    assert sorted(r.p for r in once.collect()) == sorted(r.p for r in twice.collect())
+    plan = MODELS["text_nb"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Relation" in plan

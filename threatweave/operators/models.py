@@ -199,12 +199,13 @@ def top_coefficients(model: PerClass, names: list[str], spark, k: int = 15) -> D
     return table.withColumns({"from_top": up, "from_bottom": down}).filter((F.col("from_top") <= k) | (F.col("from_bottom") <= k))
 
 
-def train_text(df: DataFrame, text: str = "text", label: str = "label", width: int = 1 << 20) -> PipelineModel:
+def train_text(df: DataFrame, text: str = "text", label: str = "label", width: int = 1 << 20, words: str | None = None) -> PipelineModel:
     """TF-IDF and naive Bayes over prepared text; ``label`` is 0 or 1.
 
     Terms are hashed to ``width`` places: none is dropped and no vocabulary is collected.
+    ``words`` names a column of tokens made before; the text is not read then.
     """
-    words = df.select(tokens(scrub_text(text)).alias("words"), F.col(label).cast("double").alias("label"))
+    words = df.select(_words(text, words).alias("words"), F.col(label).cast("double").alias("label"))
     stages = [
         HashingTF(inputCol="words", outputCol="tf", numFeatures=width),
         IDF(inputCol="tf", outputCol="tfidf"),
@@ -213,9 +214,13 @@ def train_text(df: DataFrame, text: str = "text", label: str = "label", width: i
     return Pipeline(stages=stages).fit(words)
 
 
-def score_text(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "p") -> DataFrame:
+def _words(text: str, words: str | None) -> Column:
+    return tokens(scrub_text(text)) if words is None else F.col(words)
+
+
+def score_text(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "p", words: str | None = None) -> DataFrame:
     kept = df.columns
-    scored = model.transform(df.withColumn("words", tokens(scrub_text(text))))
+    scored = model.transform(df.withColumn("words", _words(text, words)))
     return scored.select(*kept, F.get(vector_to_array("probability"), F.lit(1)).alias(out))
 
 

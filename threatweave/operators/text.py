@@ -28,10 +28,9 @@ def tokens(scrubbed: Column, stop_words=STOP_WORDS) -> Column:
 
     Words end at blanks and at ``. ! ?``.
     """
-    stop = F.array(*map(F.lit, stop_words))
     return F.filter(
         F.split(scrubbed, r"[ .!?]+"),
-        lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w) & ((F.length(w) > 1) | w.isin("a", "i")) & ~w.rlike(r"^\p{Nd}+$"),
+        lambda w: (F.length(w) > 0) & ~w.isin(*stop_words) & ((F.length(w) > 1) | w.isin("a", "i")) & ~w.rlike(r"^\p{Nd}+$"),
     )
 
 

@@ -423,10 +423,13 @@ def _coefficients(spark, d):
 
 
 def _text_nb(spark, d):
-    """Fitted on the labelled documents; every document is scored."""
-    labels = T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
-    docs = T.table(spark, d, "documents")
-    scored = M.text_verdict(O.score_text(O.train_text(docs.join(labels, "doc_id")), docs.join(labels, "doc_id", "left")))
+    """Fitted on the labelled documents; every document is scored. Texts become words once, in files of the shared folder."""
+    labels = T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"), F.lit(True).alias("labelled"))
+    folder = f"{_run_dir(spark)}/words"
+    T.table(spark, d, "documents").select("doc_id", M.tokens(M.scrub_text("text")).alias("words")).join(
+        labels, "doc_id", "left").select("label", "labelled", "words").write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    scored = M.text_verdict(O.score_text(O.train_text(docs.filter("labelled"), words="words"), docs, words="words"))
     return scored.groupBy("prediction", "label").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"))
 
 
