@@ -137,3 +137,12 @@ def test_repeated_key_in_a_plain_session(spark, tmp_path):
     good, rejects = read_events(spark, str(tmp_path))
     assert [r.event_type for r in normalize_events(good).collect()] == ["b"] and rejects.count() == 1
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "true"
+
+
+def test_replay_normalises_once(spark):
+    from threatweave.plans import tables as T
+    from threatweave.plans.catalog import NORMALIZE
+    for name in ("replay_alerts", "replay_counters"):
+        plan = NORMALIZE[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and "parse_json" not in plan.lower()
+    assert NORMALIZE["replay_counters"](spark, "/root/testdata/sf0.001").first().total_input == T.raw_events(spark, "/root/testdata/sf0.001").count()

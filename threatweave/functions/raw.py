@@ -77,10 +77,13 @@ def has_key(key: str) -> Column:
 
 def put(df: DataFrame, additions: list[tuple[str, Column, Column]]) -> DataFrame:
     """Set keys a record does not have, as (key, text, kind); a NULL text adds nothing."""
-    entries = F.array_compact(
+    # Joined lists of one or no entry: unlike a filter over all, generated code works them out.
+    none = F.array().cast("array<struct<key: string, text: string, kind: string>>")
+    entries = F.flatten(
         F.array(
             *[
-                F.when(value.isNotNull() & ~has_key(key), F.struct(F.lit(key).alias("key"), value.alias("text"), kind.alias("kind")))
+                F.when(value.isNotNull() & ~has_key(key), F.array(F.struct(F.lit(key).alias("key"), value.alias("text"), kind.alias("kind"))))
+                .otherwise(none)
                 for key, value, kind in additions
             ]
         )

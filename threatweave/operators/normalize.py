@@ -7,6 +7,8 @@ separates the two.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +158,7 @@ def normalize_events(
             "_ts": parse_time(F.col("p_timestamp"), F.col("k_timestamp")),
             "_sev": F.when(F.col("k_severity").isNull(), F.lit(default_severity)).otherwise(parse_int(F.col("p_severity"), F.col("k_severity"))),
             "_conf": F.when(F.col("k_confidence").isNull(), F.lit(float(default_confidence))).otherwise(parse_float(F.col("p_confidence"), F.col("k_confidence"))),
-            "_bad_ip": F.exists(F.array(*[f"p_{a}" for a in ADDRESSES]), bad_ip),
+            "_bad_ip": reduce(lambda a, b: a | b, [bad_ip(F.col(f"p_{a}")) for a in ADDRESSES]),
             "_own_host": domain_part(F.col("p_domain")),
             "_url_host": domain_part(F.col("p_url")),
         },
@@ -179,7 +181,7 @@ def normalize_events(
         (F.length("_type") == 0, F.lit("blank event_type")),
         (F.length("_source") == 0, F.lit("missing source")),
     ]
-    error = F.get(F.array_compact(F.array(*[F.when(bad, message) for bad, message in checks])), F.lit(0))
+    error = F.coalesce(*[F.when(bad, message) for bad, message in checks])
 
     is_done = F.col("_done")
     given = F.from_json(text_at("entities"), T.StructType([T.StructField(f, T.StringType()) for f in ENTITY_FIELDS]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from threatweave.operators.adapt import adapt_events
 from threatweave.operators.normalize import normalize_events, run_counters, split_rejects
 from threatweave.operators.rules import rule_tables
 from threatweave.operators.sequence import match_sequences
+from threatweave.session import shared_dir
 
 
 def correlate(events: DataFrame, ruleset: dict, retention: str = "6h", dedupe: bool = True, bucket: str = "10m") -> DataFrame:
@@ -102,8 +105,15 @@ def event_rows(events: DataFrame) -> DataFrame:
 
 
 def replay(raw: DataFrame, ruleset: dict, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw events to (alerts, rejects, counters)."""
-    norm = normalized(raw, strict)
+    """Raw events to (alerts, rejects, counters).
+
+    Records are dealt evenly and normalised once, into files of the shared folder: each
+    step of a rule, the alerts and the counters read the few columns they need from there.
+    """
+    spark = raw.sparkSession
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}/normalized"
+    normalized(raw.repartition("ord"), strict).write.parquet(folder)
+    norm = spark.read.parquet(folder)
     good, rejects = split_rejects(norm)
     alerts = correlate(good, ruleset)
     return alerts, rejects, run_counters(norm, alerts)
