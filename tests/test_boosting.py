@@ -139,3 +139,59 @@ def test_scores_are_brought_up_to_date_once_a_round(spark, monkeypatch):
     monkeypatch.setattr(H, "_rescored", lambda state, width, classes, trees: calls.append(len(trees)) or rescored(state, width, classes, trees))
     H.train_boosted(frame(spark, make(200)), rounds=4, depth=2, min_rows=5, refresh=3)
     assert calls == [1, 1, 1]
+
+
+def test_only_the_smaller_side_of_a_split_is_summed(monkeypatch):
+    rng, summed, histograms = np.random.default_rng(3), [], H.histograms
+    columns = rng.integers(0, 40, (3, 2000)).astype(np.uint8)
+    g = np.rint((columns[0] > 30) * 9e6 - columns[1] * 1e5 + rng.normal(0, 1e5, 2000)).astype(np.int32)
+    h = rng.integers(1, 1 << 22, 2000).astype(np.int32)
+    monkeypatch.setattr(H, "histograms", lambda columns, rows, *a: summed.append(rows) or histograms(columns, rows, *a))
+    found = H._subtree(columns, g, h, 6, 31, 20)
+    assert len(found) > 20 and sum(map(len, summed[1:])) <= 5 * 2000 / 2
+    members = {0: np.arange(2000)}
+    for place in sorted(found):  # what is left of a node's sums are the larger side's own
+        rows = members[place]
+        hist = histograms(columns, rows, g[rows], h[rows])[:, :, 0]
+        assert found[place] == H._told(hist, *H.best_splits(*hist, 20))
+        left = columns[found[place][1]][rows] <= found[place][2]
+        members |= {2 * place + 1: rows[left], 2 * place + 2: rows[~left]}
+
+
+def test_sums_are_whole_numbers(spark):
+    n = 70_000  # more than the rows of one pass
+    rng = np.random.default_rng(4)
+    columns = np.stack([np.zeros(n), rng.integers(0, 256, n)]).astype(np.uint8)
+    g, h, at = np.full(n, -(1 << 24)), np.full(n, 1 << 22), rng.integers(0, 3, n)
+    whole = H.histograms(columns, np.arange(n), g, h)
+    assert whole[:, 0, 0, 0].tolist() == [-(n << 24), n << 22, n] and not whole[:, 0, 0, 1:].any()
+    rows = rng.permutation(n)[: n // 2]
+    parts = H.histograms(columns, rows, g[rows], h[rows], at[rows], 3)
+    want = np.zeros((2, 3, 256), np.int64)
+    for f in (0, 1):
+        np.add.at(want[f], (at[rows], columns[f, rows]), 1)
+    assert (parts[2] == want).all() and (parts[1] == want << 22).all() and (parts[0] == -(want << 24)).all()
+
+
+def test_nodes_are_dealt_by_their_rows():
+    sizes = {(c, node): (node + 1) ** 3 for c in range(4) for node in range(9)}
+    task, tasks = H._dealt(sizes, 8, 10_000)
+    loads = [sum(n for key, n in sizes.items() if task[key] == t) for t in range(tasks)]
+    assert tasks == 8 and task.keys() == sizes.keys() and max(loads) <= sum(loads) / tasks + max(sizes.values())
+    assert H._dealt(sizes, 2, 500)[1] == -(-sum(sizes.values()) // 500) and H._dealt({(0, 0): 5}, 8, 500) == ({(0, 0): 0}, 1)
+
+
+def test_chunks_are_full(spark):
+    """Passes over chunks have a price each: more than an Arrow batch of rows goes into one."""
+    df = spark.range(0, 70_000, 1, 1).selectExpr("if(id % 2 = 0, 'A', 'B') label", "array(id / 7, null) features")
+    chunks = H._chunks(df, ["A", "B"], [np.array([1.0, 5.0]), np.array([])], np.zeros(2), "label", "features")
+    assert [columns.shape for columns, _, _ in chunks.collect()] == [(2, 30_000), (2, 30_000), (2, 10_000)]
+    columns, y, scores = chunks.first()
+    assert columns[:, :40:8].tolist() == [[0, 1, 1, 1, 1], [H.MISSING] * 5] and y[:3].tolist() == [0, 1, 0] and scores.shape == (30_000, 2)
+
+
+def test_rounds_leave_no_shuffle_behind(spark):
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = known.size()
+    H.train_boosted(frame(spark, make(200)), rounds=12, depth=3, min_rows=5)
+    assert known.size() - before < 12

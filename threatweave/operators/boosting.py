@@ -2,27 +2,31 @@
 
 Features become bytes (bins between quantiles) once. A boosting round grows one tree per
 class, all classes level by level together: a job sums gradients per (class, node,
-feature, bin), deals the sums by (class, node, feature) and finds the best split of each
-node where they meet. Nodes of few rows are finished by a task each that gets the node's
-rows, by the same rule, so deep levels need no passes of their own. The driver holds
-trees; at most one row per open node and task comes back to it.
+feature, bin), deals the sums by feature and finds the best split of each node where they
+meet. Nodes of few rows are dealt evenly over tasks that get their rows and finish them by
+the same rule, so deep levels need no passes of their own. The driver holds trees; at most
+one row per open node and task comes back to it.
 
 Sums are whole numbers, so trees do not depend on how rows are dealt or on retried tasks.
+The rows of a round's jobs are chunks of NumPy columns in RDDs: a job of these starts in
+about half the time of one planned from a DataFrame, and a tree's jobs are many and short.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatweave.session import cut, local_table
+from threatweave.session import local_table, shared_dir
 
 # The settings of the original's model.
 ROUNDS, RATE, DEPTH, LEAVES, MIN_ROWS = 220, 0.08, 8, 31, 30
@@ -30,11 +34,16 @@ BINS = 255
 MISSING = 255
 # Gradients and hessians are counted in units of 2**-24.
 UNIT = float(1 << 24)
-# A node of so many rows or fewer is finished by one task: 80 bytes a row.
-NODE_ROWS = 1 << 16
+# A node whose rows fit so many bytes (one a feature, and 8) is finished by one task: a tree
+# of it takes as long as three to five of the jobs that a level of it would need each.
+NODE_BYTES = 1 << 26
 # Rows that a task handles at once, and rounds after which scores are written down.
 CHUNK_ROWS = 1 << 15
 REFRESH = 10
+# Rows whose sums of hessians and counts fit one double together: whole numbers below 2**53.
+EXACT_ROWS = 1 << 15
+# Sums that a task holds before it hands them on: 24 bytes each.
+HELD_SUMS = 1 << 22
 
 
 def quantile_cuts(df: DataFrame, bins: int = BINS, features: str = "features") -> list[list[float]]:
@@ -55,10 +64,10 @@ def quantile_cuts(df: DataFrame, bins: int = BINS, features: str = "features") -
 
 
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Values as bins, one byte each: bin b is above cut b - 1 and not above cut b; NaN has a bin of its own."""
-    out = np.empty(x.shape, np.uint8)
+    """Columns of bins for rows of values, one byte each: bin b is above cut b - 1 and not above cut b; NaN has a bin of its own."""
+    out = np.empty(x.shape[::-1], np.uint8)
     for j, c in enumerate(cuts):
-        out[:, j] = np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(c, x[:, j], "left"))
+        out[j] = np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(c, x[:, j], "left"))
     return out
 
 
@@ -79,21 +88,23 @@ class Tree:
             self.feature.append(-1), self.bin.append(0), self.left.append(0), self.right.append(0), self.value.append(0.0)
         return a, a + 1
 
-    def nodes_of(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of every row: at most its bin goes left, above it and missing go right."""
-        feature, limit, left, right = (np.array(v) for v in (self.feature, self.bin, self.left, self.right))
-        at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while True:
-            f = feature[at[rows]]
-            rows, f = rows[f >= 0], f[f >= 0]
-            if not len(rows):
-                return at
-            here = at[rows]
-            at[rows] = np.where(bins[rows, f] <= limit[here], left[here], right[here])
-
-    def values_of(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.nodes_of(bins)]
+    def rows_of(self, columns: np.ndarray, wanted: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Leaves (those wanted) with the numbers of their rows, rising: at most its bin goes left, above it and missing go right."""
+        needed = [wanted is None or node in wanted for node in range(len(self.feature))]
+        for node in reversed(range(len(needed))):  # children have higher numbers
+            if self.feature[node] >= 0:
+                needed[node] = needed[self.left[node]] or needed[self.right[node]]
+        todo = [(0, np.arange(columns.shape[1]))]
+        while todo:
+            node, rows = todo.pop()
+            if not needed[node] or not len(rows):
+                continue
+            f = self.feature[node]
+            if f < 0:
+                yield node, rows
+                continue
+            low = (columns[f] if node == 0 else columns[f].take(rows)) <= self.bin[node]
+            todo += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -106,8 +117,9 @@ def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray, min_rows: int) -> t
 
     Both sides keep ``min_rows``; the lowest bin of equals. -inf where there is none.
     """
-    gl, hl, nl = (np.cumsum(v, axis=1)[:, :-1] for v in (g, h, n))
-    gt, ht, nt = (v.sum(1, keepdims=True) for v in (g, h, n))
+    gl, hl, nl = (np.cumsum(v, axis=1) for v in (g, h, n))
+    gt, ht, nt = (v[:, -1:] for v in (gl, hl, nl))
+    gl, hl, nl = (v[:, :-1] for v in (gl, hl, nl))
     ok = (nl >= min_rows) & (nt - nl >= min_rows) & (hl > 0) & (ht - hl > 0)
 
     def part(a, b):
@@ -118,28 +130,65 @@ def best_splits(g: np.ndarray, h: np.ndarray, n: np.ndarray, min_rows: int) -> t
     return gain[np.arange(len(gain)), at], at
 
 
-_CHUNK = "n int, bins binary, y binary, scores binary"
-_SUMS = "cls int, node int, feature int, bin array<smallint>, g array<bigint>, h array<bigint>, n array<bigint>"
-_SPLITS = ("cls int, node int, gain double, feature int, bin int, gl bigint, hl bigint, nl bigint, "
-           "g bigint, h bigint, n bigint")
-
+def histograms(columns: np.ndarray, rows: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray | None = None, places: int = 1) -> np.ndarray:
+    """Sums of gradients, hessians and rows by (feature, place, bin) over these rows.
 
-def _chunks(df: DataFrame, labels: list[str], cuts: list[np.ndarray], base: np.ndarray, label: str, features: str) -> DataFrame:
-    """Rows of ``df`` in chunks: their bins, class numbers and starting scores."""
+    ``g``, ``h`` and ``at`` (each row's place) go with ``rows``. A pass takes a row's three
+    terms at once, as one complex number, over so many features that its cells stay in the cache.
+    """
+    width, size = len(columns), places * 256
+    out = np.zeros((3, width, size), np.int64)
+    everything = places == 1 and len(rows) == columns.shape[1]
+    for a in range(0, len(rows), EXACT_ROWS):
+        some = rows[a:a + EXACT_ROWS]
+        terms = g[a:a + EXACT_ROWS] + 1j * (h[a:a + EXACT_ROWS] * (EXACT_ROWS + 1.0) + 1.0)
+        step = max(1, min(width, (EXACT_ROWS >> 1) // len(some)))
+        terms = np.tile(terms, step)
+        sums = np.zeros(width * size, complex)
+        for f in range(0, width, step):
+            block = columns[f:f + step, a:a + EXACT_ROWS] if everything else columns[f:f + step].take(some, 1)
+            cells = block + (np.arange(len(block)) * size)[:, None]
+            if places > 1:
+                cells += at[a:a + EXACT_ROWS] * 256
+            np.add.at(sums[f * size:], cells.ravel(), terms[:cells.size])
+        sums = sums.reshape(width, size)
+        out[0] += sums.real.astype(np.int64)
+        more, count = np.divmod(sums.imag.astype(np.int64), EXACT_ROWS + 1)
+        out[1] += more
+        out[2] += count
+    return out.reshape(3, width, places, 256)
+
+
+def _chunks(df: DataFrame, labels: list[str], cuts: list[np.ndarray], base: np.ndarray, label: str, features: str) -> RDD:
+    """Rows of ``df`` in chunks: columns of bins, class numbers and a row of starting scores each."""
     rank = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
+    width = len(cuts)
+
+    def told(held):
+        bins, y = (np.concatenate(v, -1) for v in zip(*held))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([len(y)], pa.int32()), pa.array([bins.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())],
+            names=["n", "bins", "y"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(a, CHUNK_ROWS)
-                bins = binned(_matrix(part.column("x"), len(cuts)), cuts)
-                y = part.column("y").to_numpy(zero_copy_only=False).astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(y)], pa.int32()), pa.array([bins.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()),
-                     pa.array([np.tile(base, (len(y), 1)).tobytes()], pa.binary())], names=["n", "bins", "y", "scores"])
+                if held and size + part.num_rows > CHUNK_ROWS:
+                    yield told(held)
+                    held, size = [], 0
+                held.append((binned(_matrix(part.column("x"), width), cuts),
+                             part.column("y").to_numpy(zero_copy_only=False).astype(np.int16)))
+                size += part.num_rows
+        if held:
+            yield told(held)
+
+    def chunk(r):
+        return np.frombuffer(r.bins, np.uint8).reshape(width, r.n), np.frombuffer(r.y, np.int16), np.tile(base, (r.n, 1))
 
     slim = df.filter(F.col(label).isin(labels)).select(F.col(features).cast("array<double>").alias("x"), rank.cast("int").alias("y"))
-    return slim.mapInArrow(run, _CHUNK)
+    return slim.mapInArrow(run, "n int, bins binary, y binary").rdd.map(chunk)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -150,125 +199,109 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _read(batch: pa.RecordBatch, width: int, classes: int):
-    for i in range(batch.num_rows):
-        n = batch.column("n")[i].as_py()
-        bins = np.frombuffer(batch.column("bins")[i].as_buffer(), np.uint8).reshape(n, width)
-        y = np.frombuffer(batch.column("y")[i].as_buffer(), np.int16)
-        scores = np.frombuffer(batch.column("scores")[i].as_buffer(), np.float64).reshape(n, classes)
-        yield n, bins, y, scores
-
-
-def _added(scores: np.ndarray, bins: np.ndarray, rounds: list[list[Tree]]) -> np.ndarray:
+def _added(scores: np.ndarray, columns: np.ndarray, rounds: list[list[Tree]]) -> np.ndarray:
     if not rounds:
         return scores
     out = scores.copy()
     for trees in rounds:
         for c, tree in enumerate(trees):
-            out[:, c] += tree.values_of(bins)
+            for leaf, rows in tree.rows_of(columns):
+                out[rows, c] += tree.value[leaf]
     return out
 
 
-def _live(batch, width: int, classes: int, growing: list[Tree], nodes: list[list[int]]):
-    """Per chunk and class with such nodes: the class, the place of each row's node in ``nodes``, bins, gradients, hessians."""
-    for n, bins, y, scores in _read(batch, width, classes):
+def _live(chunks, growing: list[Tree], nodes: list[list[int]]):
+    """Per chunk and class with such nodes: the class, columns, gradients, hessians and each node's rows."""
+    for columns, y, scores in chunks:
         p = softmax(scores)
         for c, wanted in enumerate(nodes):
-            if not wanted:
-                continue
-            place = np.full(len(growing[c].feature), -1, np.int64)
-            place[wanted] = np.arange(len(wanted))
-            at = place[growing[c].nodes_of(bins)]
-            live = at >= 0
-            if live.any():
-                q = p[live, c]
-                yield c, at[live], bins[live], np.rint((q - (y[live] == c)) * UNIT), np.rint(q * (1 - q) * UNIT)
+            if wanted:
+                q = p[:, c]
+                yield (c, columns, np.rint((q - (y == c)) * UNIT), np.rint(q * (1 - q) * UNIT),
+                       growing[c].rows_of(columns, wanted))
 
 
-def _cells(bins: np.ndarray) -> np.ndarray:
-    return np.arange(bins.shape[1]) * 256 + bins.astype(np.int64)
+def _sums(state: RDD, growing: list[Tree], nodes: list[list[int]], tasks: int) -> RDD:
+    """Sums of every task per class and (feature, node, bin), for the task that splits by the feature: its number modulo ``tasks``."""
+    places = [{node: i for i, node in enumerate(wanted)} for wanted in nodes]
 
+    def run(chunks):
+        held: dict[int, np.ndarray] = {}
 
-def _histograms(state: DataFrame, width: int, classes: int, growing: list[Tree], nodes: list[list[int]]) -> DataFrame:
-    """Sums of every task per (class, node, feature) and bin; only bins that occur."""
+        def dealt():
+            if held:
+                yield from ((t, [(c, sums[:, t::tasks]) for c, sums in held.items()]) for t in range(tasks))
+            held.clear()
 
-    def run(batches):
-        for batch in batches:
-            for c, at, bins, g, h in _live(batch, width, classes, growing, nodes):
-                where = (at[:, None] * (width * 256) + _cells(bins)).ravel()
-                # Whole numbers below 2**53: sums of a chunk are exact in doubles.
-                size = len(nodes[c]) * width * 256
-                count = np.bincount(where, minlength=size)
-                found = np.flatnonzero(count)
-                sums = [np.bincount(where, np.repeat(v, width), size)[found].astype(np.int64) for v in (g, h)]
-                key = found // 256
-                first = np.flatnonzero(np.diff(key, prepend=-1))
-                offsets = pa.array(np.append(first, len(found)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), c, np.int32)), pa.array(np.array(nodes[c], np.int32)[key[first] // width]),
-                     pa.array((key[first] % width).astype(np.int32)),
-                     *[pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (
-                         (found % 256).astype(np.int16), *sums, count[found].astype(np.int64))]],
-                    names=["cls", "node", "feature", "bin", "g", "h", "n"])
-
-    return state.mapInArrow(run, _SUMS)
-
-
-def _find_splits(sums: DataFrame, min_rows: int) -> DataFrame:
+        for c, columns, g, h, found in _live(chunks, growing, nodes):
+            found = list(found)
+            if not found:
+                continue
+            rows = np.concatenate([r for _, r in found])
+            at = np.repeat([places[c][node] for node, _ in found], [len(r) for _, r in found])
+            sums = histograms(columns, rows, g[rows], h[rows], at, len(places[c]))
+            if c in held:
+                held[c] += sums
+            else:
+                held[c] = sums
+            if sum(v[0].size for v in held.values()) > HELD_SUMS:
+                yield from dealt()
+        yield from dealt()
+
+    return state.mapPartitions(run)
+
+
+def _find_splits(sums: RDD, nodes: list[list[int]], tasks: int, min_rows: int) -> RDD:
     """The best split of every (class, node) among the features of a task, and the node's totals."""
 
-    def run(batches):
-        slots: dict[tuple[int, int, int], int] = {}
-        total = np.zeros((3, 64, 256), np.int64)
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("cls", "node", "feature"))))
-            slot = np.array([slots.setdefault(k, len(slots)) for k in keys], np.int64)
-            if len(slots) > total.shape[1]:
-                grown = np.zeros((3, max(len(slots), 2 * total.shape[1]), 256), np.int64)
-                grown[:, :total.shape[1]] = total
-                total = grown
-            size = np.diff(b.column("bin").offsets.to_numpy())
-            where = np.repeat(slot, size) * 256 + b.column("bin").flatten().to_numpy()
-            for i, c in enumerate(("g", "h", "n")):
-                np.add.at(total[i].reshape(-1), where, b.column(c).flatten().to_numpy())
-        best: dict[tuple[int, int], tuple] = {}
-        if slots:
-            g, h, n = total[:, :len(slots)]
-            gain, bin_ = best_splits(g, h, n, min_rows)
-            for (cls, node, feature), i in slots.items():
-                if (cls, node) not in best or (-gain[i], feature) < best[cls, node][:2]:
-                    best[cls, node] = (-gain[i], feature, i)
-        rows = []
-        for (cls, node), (minus, feature, i) in best.items():
-            left = [int(v[i, :bin_[i] + 1].sum()) for v in (g, h, n)]
-            rows.append((cls, node, float(-minus), feature, int(bin_[i]), *left, *(int(v[i].sum()) for v in (g, h, n))))
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.int64()] * 6]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)],
-            names=[c.split()[0] for c in _SPLITS.split(", ")])
-
-    return sums.mapInArrow(run, _SPLITS)
-
-
-_ROWS = "cls int, node int, bins binary, g binary, h binary"
-_PARTS = "cls int, node int, place int, gain double, feature int, bin int, gl bigint, hl bigint, nl bigint, g bigint, h bigint, n bigint"
-
-
-def _node_rows(state: DataFrame, width: int, classes: int, growing: list[Tree], nodes: list[list[int]]) -> DataFrame:
-    """The rows of each (class, node): bins and sums' terms."""
+    def run(parts):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for t, some in parts:
+            for c, v in some:
+                if (t, c) in total:
+                    total[t, c] += v
+                else:
+                    total[t, c] = v.copy()
+        for (t, c), v in total.items():
+            found = [x.reshape(v.shape[1:3]) for x in best_splits(*v.reshape(3, -1, 256), min_rows)]
+            for i, node in enumerate(nodes[c]):
+                yield c, node, _told(v[:, :, i], found[0][:, i], found[1][:, i], t, tasks)
 
-    def run(batches):
-        for batch in batches:
-            for c, at, bins, g, h in _live(batch, width, classes, growing, nodes):
-                here = [(node, np.flatnonzero(at == i)) for i, node in enumerate(nodes[c])]
-                here = [(node, rows) for node, rows in here if len(rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c] * len(here), pa.int32()), pa.array([node for node, _ in here], pa.int32()),
-                     pa.array([bins[rows].tobytes() for _, rows in here], pa.binary()),
-                     *[pa.array([v[rows].astype(np.int64).tobytes() for _, rows in here], pa.binary()) for v in (g, h)]],
-                    names=["cls", "node", "bins", "g", "h"])
+    return sums.partitionBy(tasks, int).mapPartitions(run)
+
+
+def _told(hist: np.ndarray, gain: np.ndarray, at: np.ndarray, first: int = 0, step: int = 1) -> tuple:
+    """Gain, feature, bin, sums to the left and totals of the best split of a node; the lower feature of equals."""
+    f = int(gain.argmax())
+    return (float(gain[f]), first + step * f, int(at[f]), *hist[:, f, :at[f] + 1].sum(1).tolist(), *hist[:, f].sum(1).tolist())
+
+
+def _dealt(sizes: dict[tuple[int, int], int], cores: int, most_rows: int) -> tuple[dict[tuple[int, int], int], int]:
+    """A task for every (class, node), largest first to the one of least rows, and the number of tasks.
+
+    A task a core, or more if they got over ``most_rows`` rows.
+    """
+    tasks = min(len(sizes), max(cores, -(-sum(sizes.values()) // max(most_rows, 1))))
+    loads, out = [(0, t) for t in range(tasks)], {}
+    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        load, t = heapq.heappop(loads)
+        out[key] = t
+        heapq.heappush(loads, (load + sizes[key], t))
+    return out, tasks
+
+
+def _node_rows(state: RDD, growing: list[Tree], nodes: list[list[int]], task: dict[tuple[int, int], int]) -> RDD:
+    """The rows of each (class, node), for its task: bins and sums' terms."""
+
+    def run(chunks):
+        for c, columns, g, h, found in _live(chunks, growing, nodes):
+            out = defaultdict(list)
+            for node, rows in found:
+                bins = columns if len(rows) == columns.shape[1] else columns.take(rows, 1)
+                out[task[c, node]].append((c, node, bins, g[rows].astype(np.int32), h[rows].astype(np.int32)))
+            yield from out.items()
 
-    return state.mapInArrow(run, _ROWS)
+    return state.mapPartitions(run)
 
 
 def _best_first(found: dict[int, tuple], root: int, leaves: int, children) -> set[int]:
@@ -283,63 +316,64 @@ def _best_first(found: dict[int, tuple], root: int, leaves: int, children) -> se
     return picked
 
 
-def _subtree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, levels: int, leaves: int, min_rows: int) -> dict[int, tuple]:
-    """Splits of the best-first tree over these rows, by place (children of i: 2i + 1, 2i + 2); the root's always."""
-    width = bins.shape[1]
-    cells = _cells(bins)
+def _subtree(columns: np.ndarray, g: np.ndarray, h: np.ndarray, levels: int, leaves: int, min_rows: int) -> dict[int, tuple]:
+    """Splits of the best-first tree over these rows, by place (children of i: 2i + 1, 2i + 2); the root's always.
 
-    def best(rows):
-        where = cells[rows].ravel()
-        hist = [np.bincount(where, np.repeat(v[rows], width), width * 256).reshape(width, 256) for v in (g, h)]
-        hist = [v.astype(np.int64) for v in hist] + [np.bincount(where, minlength=width * 256).reshape(width, 256)]
-        gain, at = best_splits(*hist, min_rows)
-        f = int(gain.argmax())
-        left = [int(v[f, :at[f] + 1].sum()) for v in hist]
-        return (float(gain[f]), f, int(at[f]), *left, *(int(v[f].sum()) for v in hist))
+    Only the smaller side of a split is summed: the other one's sums are what is left of the node's.
+    """
+
+    def summed(rows):
+        return histograms(columns, rows, g[rows], h[rows])[:, :, 0]
+
+    def best(hist):
+        return _told(hist, *best_splits(*hist, min_rows))
 
-    everything = np.arange(len(bins))
-    out = {0: best(everything)}
-    members, heap, made = {0: everything}, [(-out[0][0], 0)], 0
+    everything = np.arange(columns.shape[1])
+    hist = summed(everything)
+    out = {0: best(hist)}
+    members, heap, made = {0: (everything, hist)}, [(-out[0][0], 0)], 0
     while heap and made < leaves - 1:
         minus, i = heapq.heappop(heap)
-        rows = members.pop(i)
+        rows, hist = members.pop(i)
         if minus >= 0:
             break
         made += 1
-        left = bins[rows, out[i][1]] <= out[i][2]
-        for j, part in ((2 * i + 1, rows[left]), (2 * i + 2, rows[~left])):
-            if (j + 1).bit_length() <= levels and len(part) >= 2 * min_rows:
-                out[j] = best(part)
-                members[j] = part
+        left = columns[out[i][1]].take(rows) <= out[i][2]
+        sides = [(2 * i + 1, rows[left]), (2 * i + 2, rows[~left])]
+        sides.sort(key=lambda side: len(side[1]))
+        (_, few), (j, many) = sides
+        if (j + 1).bit_length() > levels or len(many) < 2 * min_rows:
+            continue
+        part = summed(few)
+        for (j, some), hist in zip(sides, (part, hist - part)):
+            if len(some) >= 2 * min_rows:
+                out[j] = best(hist)
+                members[j] = some, hist
                 heapq.heappush(heap, (-out[j][0], j))
     return out
 
 
-def _finish_nodes(rows: DataFrame, width: int, levels: list[dict[int, int]], leaves: int, min_rows: int) -> DataFrame:
-    """The subtree of every (class, node), whose rows come sorted by both; one node's rows are held at a time."""
+def _finish_nodes(rows: RDD, tasks: int, levels: list[dict[int, int]], leaves: int, min_rows: int) -> RDD:
+    """The subtree of every (class, node), by the task that it was dealt to."""
 
-    def run(batches):
-        now, held = None, []
+    def run(parts):
+        held = defaultdict(list)
+        for _, some in parts:
+            for c, node, *part in some:
+                held[c, node].append(part)
+        while held:
+            (c, node), some = held.popitem()
+            columns, g, h = (np.concatenate(v, -1) for v in zip(*some))
+            yield c, node, _subtree(columns, g, h, levels[c][node], leaves, min_rows)
 
-        def told():
-            bins, g, h = (np.concatenate([np.frombuffer(b[i], kind) for b in held]) for i, kind in enumerate((np.uint8, np.int64, np.int64)))
-            found = _subtree(bins.reshape(-1, width), g, h, levels[now[0]][now[1]], leaves, min_rows)
-            columns = [[now[0]] * len(found), [now[1]] * len(found), list(found), *zip(*found.values())]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), *[pa.int64()] * 6]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _PARTS.split(", ")])
+    return rows.partitionBy(tasks, int).mapPartitions(run)
 
-        for batch in batches:
-            for cls, node, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (cls, node) != now:
-                    if held:
-                        yield told()
-                    now, held = (cls, node), []
-                held.append(parts)
-        if held:
-            yield told()
 
-    return rows.mapInArrow(run, _PARTS)
+def _collected(rdd: RDD) -> list:
+    """What a round's job returns; the files of its shuffle go, which else stay until the driver collects garbage."""
+    found = rdd.collect()
+    rdd._jrdd.rdd().cleanShuffleDependencies(False)
+    return found
 
 
 class _Growth:
@@ -451,7 +485,7 @@ class BoostedTrees:
 
 def train_boosted(
     df: DataFrame, label: str = "label", features: str = "features", rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH,
-    leaves: int = LEAVES, min_rows: int = MIN_ROWS, bins: int = BINS, refresh: int = REFRESH, node_rows: int = NODE_ROWS,
+    leaves: int = LEAVES, min_rows: int = MIN_ROWS, bins: int = BINS, refresh: int = REFRESH, node_rows: int | None = None,
 ) -> BoostedTrees:
     """Boosted trees for all classes of ``df`` (multinomial loss), on all its rows.
 
@@ -461,9 +495,10 @@ def train_boosted(
     A table without labels is an error.
 
     Rows are binned and written once; a job per level reads bytes. Nodes of at most
-    ``node_rows`` rows are finished together, a task each (the same trees come out), which
-    moves at most ``classes * leaves * node_rows`` rows. Scores of the rows take in a
-    round's trees once, are kept for the round's jobs and written every ``refresh`` rounds.
+    ``node_rows`` rows (by default those of ``NODE_BYTES``) are finished in one job, each by
+    one task (the same trees come out), which moves at most ``classes * leaves * node_rows``
+    rows. Scores of the rows take in a round's trees once, are kept for the round's jobs and
+    written every ``refresh`` rounds.
     """
     spark = df.sparkSession
     # As many rows as there are classes.
@@ -478,32 +513,30 @@ def train_boosted(
     model = BoostedTrees(labels, cuts, base.tolist(), [], features)
     if not width or classes == 1:
         return model
-    state = cut(_chunks(df, labels, arrays, base, label, features)).persist(StorageLevel.MEMORY_AND_DISK)
-    stale = None
+    most_rows = NODE_BYTES // (width + 8)
+    node_rows = most_rows if node_rows is None else node_rows
+    shared_dir(spark)
+    state, stale = _kept(_chunks(df, labels, arrays, base, label, features), True), None
     try:
         # As many tasks to find splits as made the sums, at most one per feature.
-        tasks, most = min(width, state.rdd.getNumPartitions()), spark.sparkContext.defaultParallelism
+        tasks, cores = min(width, state.getNumPartitions()), spark.sparkContext.defaultParallelism
         for turn in range(rounds):
             growth = [_Growth(total, depth, leaves, min_rows) for _ in labels]
             while any(nodes := [[k for k, n in g.open.items() if n > node_rows] for g in growth]):
-                sums = _histograms(state, width, classes, [g.tree for g in growth], nodes)
+                sums = _sums(state, [g.tree for g in growth], nodes, tasks)
                 best: list[dict[int, tuple]] = [{} for _ in labels]
-                for cls, node, gain, feature, *rest in _find_splits(
-                        sums.repartition(tasks, "cls", "node", "feature"), min_rows).collect():
+                for cls, node, (gain, feature, *rest) in _collected(_find_splits(sums, nodes, tasks, min_rows)):
                     held = best[cls].get(node)
                     if held is None or (-gain, feature) < (-held[0], held[1]):
                         best[cls][node] = (gain, feature, *rest)
                 for g, splits in zip(growth, best):
                     g.take(splits)
-            nodes = [list(g.open) for g in growth]
-            if any(nodes):
-                rows = _node_rows(state, width, classes, [g.tree for g in growth], nodes)
-                dealt = rows.repartition(min(most, sum(map(len, nodes))), "cls", "node").sortWithinPartitions("cls", "node")
+            sizes = {(cls, k): n for cls, g in enumerate(growth) for k, n in g.open.items()}
+            if sizes:
+                task, parts = _dealt(sizes, cores, most_rows)
+                rows = _node_rows(state, [g.tree for g in growth], [list(g.open) for g in growth], task)
                 levels = [{k: depth - g.level[k] for k in g.open} for g in growth]
-                parts: dict[tuple[int, int], dict[int, tuple]] = {}
-                for cls, node, place, *split in _finish_nodes(dealt, width, levels, leaves, min_rows).collect():
-                    parts.setdefault((cls, node), {})[place] = tuple(split)
-                for (cls, node), splits in parts.items():
+                for cls, node, splits in _collected(_finish_nodes(rows, parts, levels, leaves, min_rows)):
                     growth[cls].take_subtree(node, splits)
             trees = [g.finish(rate) for g in growth]
             model.rounds.append(trees)
@@ -511,8 +544,7 @@ def train_boosted(
             if stale is not None:
                 stale.unpersist()
             if turn + 1 < rounds:
-                fresh = _rescored(state, width, classes, [trees])
-                stale, state = state, (cut(fresh) if (turn + 1) % refresh == 0 else fresh).persist(StorageLevel.MEMORY_AND_DISK)
+                stale, state = state, _kept(_rescored(state, width, classes, [trees]), (turn + 1) % refresh == 0)
     finally:
         state.unpersist()
         if stale is not None:
@@ -520,14 +552,13 @@ def train_boosted(
     return model
 
 
-def _rescored(state: DataFrame, width: int, classes: int, recent: list[list[Tree]]) -> DataFrame:
-    """The chunks with the trees of these rounds in their scores."""
+def _kept(state: RDD, written: bool) -> RDD:
+    """Chunks kept for a round's jobs; the first job of these writes them to the shared folder as well, if so wanted."""
+    if written:
+        state.checkpoint()
+    return state.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def run(batches):
-        for batch in batches:
-            for i, (n, bins, _, scores) in enumerate(_read(batch, width, classes)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("n").slice(i, 1), batch.column("bins").slice(i, 1), batch.column("y").slice(i, 1),
-                     pa.array([_added(scores, bins, recent).tobytes()], pa.binary())], names=["n", "bins", "y", "scores"])
 
-    return state.mapInArrow(run, _CHUNK)
+def _rescored(state: RDD, width: int, classes: int, recent: list[list[Tree]]) -> RDD:
+    """The chunks with the trees of these rounds in their scores."""
+    return state.map(lambda chunk: (*chunk[:2], _added(chunk[2], chunk[0], recent)))
