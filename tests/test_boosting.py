@@ -158,6 +158,18 @@ def test_only_the_smaller_side_of_a_split_is_summed(monkeypatch):
         members |= {2 * place + 1: rows[left], 2 * place + 2: rows[~left]}
 
 
+def test_one_of_two_siblings_is_summed(spark, monkeypatch):
+    """The other has what is left of their parent's sums; that the trees are right is tested above, with ``node_rows=0``."""
+    levels, sums = [], H._sums
+    monkeypatch.setattr(H, "_sums", lambda state, growing, nodes, tasks: levels.append((growing, nodes)) or sums(state, growing, nodes, tasks))
+    H.train_boosted(frame(spark, make(300)), rounds=2, depth=4, min_rows=5, node_rows=0)
+    assert sum(nodes == [[0]] * 3 for _, nodes in levels) == 2 and max(map(len, levels[-1][1])) > 1
+    for growing, nodes in levels:
+        for tree, some in zip(growing, nodes):
+            pairs = [tuple(p) for p in zip(tree.left, tree.right) if p != (0, 0)]
+            assert some == [0] or all(sum(n in some for n in p) <= 1 for p in pairs)
+
+
 def test_sums_are_whole_numbers(spark):
     n = 70_000  # more than the rows of one pass
     rng = np.random.default_rng(4)

@@ -3,7 +3,8 @@
 Features become bytes (bins between quantiles) once. A boosting round grows one tree per
 class, all classes level by level together: a job sums gradients per (class, node,
 feature, bin), deals the sums by feature and finds the best split of each node where they
-meet. Nodes of few rows are dealt evenly over tasks that get their rows and finish them by
+meet. Of two siblings the smaller one is summed; the other has what it leaves of the sums of
+their parent, which stay where they met. Nodes of few rows are dealt evenly over tasks that get their rows and finish them by
 the same rule, so deep levels need no passes of their own. The driver holds trees; at most
 one row per open node and task comes back to it.
 
@@ -222,7 +223,7 @@ def _live(chunks, growing: list[Tree], nodes: list[list[int]]):
 
 
 def _sums(state: RDD, growing: list[Tree], nodes: list[list[int]], tasks: int) -> RDD:
-    """Sums of every task per class and (feature, node, bin), for the task that splits by the feature: its number modulo ``tasks``."""
+    """Sums of every task per class and (feature, node, bin), with the task they are for: a feature's is its number modulo ``tasks``."""
     places = [{node: i for i, node in enumerate(wanted)} for wanted in nodes]
 
     def run(chunks):
@@ -230,7 +231,7 @@ def _sums(state: RDD, growing: list[Tree], nodes: list[list[int]], tasks: int) -
 
         def dealt():
             if held:
-                yield from ((t, [(c, sums[:, t::tasks]) for c, sums in held.items()]) for t in range(tasks))
+                yield from ((t, [(c, nodes[c], sums[:, t::tasks]) for c, sums in held.items()]) for t in range(tasks))
             held.clear()
 
         for c, columns, g, h, found in _live(chunks, growing, nodes):
@@ -251,23 +252,37 @@ def _sums(state: RDD, growing: list[Tree], nodes: list[list[int]], tasks: int) -
     return state.mapPartitions(run)
 
 
-def _find_splits(sums: RDD, nodes: list[list[int]], tasks: int, min_rows: int) -> RDD:
+def _whole(sums: RDD, parents: RDD | None, wanted: list[dict[int, tuple[int, int] | None]], tasks: int) -> RDD:
+    """The whole sums of every wanted (class, node), by task: its own, or what its sibling leaves of those of its parent."""
+
+    def run(parts):
+        total: dict[tuple[int, int, int], np.ndarray] = {}
+        for t, some in parts:
+            for c, nodes, v in some:
+                for i, node in enumerate(nodes):
+                    if (t, c, node) in total:
+                        total[t, c, node] += v[:, :, i]
+                    else:
+                        total[t, c, node] = v[:, :, i].copy()
+        for t in {t for t, _, _ in total}:
+            yield t, [(c, list(sources), np.stack([
+                total[t, c, node] if source is None else total[t, c, source[0]] - total[t, c, source[1]]
+                for node, source in sources.items()], 2)) for c, sources in enumerate(wanted) if sources]
+
+    return (sums.union(parents) if parents else sums).partitionBy(tasks, int).mapPartitions(run)
+
+
+def _find_splits(whole: RDD, tasks: int, min_rows: int) -> RDD:
     """The best split of every (class, node) among the features of a task, and the node's totals."""
 
     def run(parts):
-        total: dict[tuple[int, int], np.ndarray] = {}
         for t, some in parts:
-            for c, v in some:
-                if (t, c) in total:
-                    total[t, c] += v
-                else:
-                    total[t, c] = v.copy()
-        for (t, c), v in total.items():
-            found = [x.reshape(v.shape[1:3]) for x in best_splits(*v.reshape(3, -1, 256), min_rows)]
-            for i, node in enumerate(nodes[c]):
-                yield c, node, _told(v[:, :, i], found[0][:, i], found[1][:, i], t, tasks)
+            for c, nodes, v in some:
+                gain, at = (x.reshape(v.shape[1:3]) for x in best_splits(*v.reshape(3, -1, 256), min_rows))
+                for i, node in enumerate(nodes):
+                    yield c, node, _told(v[:, :, i], gain[:, i], at[:, i], t, tasks)
 
-    return sums.partitionBy(tasks, int).mapPartitions(run)
+    return whole.mapPartitions(run)
 
 
 def _told(hist: np.ndarray, gain: np.ndarray, at: np.ndarray, first: int = 0, step: int = 1) -> tuple:
@@ -369,11 +384,11 @@ def _finish_nodes(rows: RDD, tasks: int, levels: list[dict[int, int]], leaves: i
     return rows.partitionBy(tasks, int).mapPartitions(run)
 
 
-def _collected(rdd: RDD) -> list:
-    """What a round's job returns; the files of its shuffle go, which else stay until the driver collects garbage."""
-    found = rdd.collect()
-    rdd._jrdd.rdd().cleanShuffleDependencies(False)
-    return found
+def _drop(done: RDD | None) -> None:
+    """Let go of a round's results and the files of their shuffles, which else stay until the driver collects garbage."""
+    if done is not None:
+        done.unpersist()
+        done._jrdd.rdd().cleanShuffleDependencies(False)
 
 
 class _Growth:
@@ -382,6 +397,7 @@ class _Growth:
     def __init__(self, rows: int, depth: int, leaves: int, min_rows: int):
         self.depth, self.leaves, self.min_rows = depth, leaves, min_rows
         self.tree, self.level, self.open = Tree(), {0: 0}, {0: rows}
+        self.rows, self.parent = {0: rows}, {}
         self.found: dict[int, tuple[float, int, int]] = {}  # node: gain, left, right
         self.sums: dict[int, tuple[int, int]] = {}
 
@@ -396,9 +412,23 @@ class _Growth:
         left, right = self.tree.split(node, feature, b)
         self.found[node] = (gain, left, right)
         self.level[left] = self.level[right] = self.level[node] + 1
+        self.rows[left], self.rows[right] = nl, n - nl
+        self.parent[left] = self.parent[right] = node
         self.sums[left], self.sums[right] = (gl, hl), (g - gl, h - hl)
         return [(left, nl), (right, n - nl)]
 
+    def sources(self, nodes: list[int]) -> dict[int, tuple[int, int] | None]:
+        """For nodes whose parents were split last: None for the smaller of two siblings, else the parent and the sibling."""
+        out: dict[int, tuple[int, int] | None] = {}
+        for node in nodes:
+            out[node] = None
+            if node in self.parent:
+                parent = self.parent[node]
+                sibling = sum(self.found[parent][1:]) - node
+                if (self.rows[sibling], sibling) < (self.rows[node], node):
+                    out[node] = parent, sibling
+        return out
+
     def take(self, splits: dict[int, tuple]) -> None:
         """Splits of open nodes; children that the tree may still need are opened."""
         fresh = []
@@ -522,22 +552,30 @@ def train_boosted(
         tasks, cores = min(width, state.getNumPartitions()), spark.sparkContext.defaultParallelism
         for turn in range(rounds):
             growth = [_Growth(total, depth, leaves, min_rows) for _ in labels]
+            whole = None
             while any(nodes := [[k for k, n in g.open.items() if n > node_rows] for g in growth]):
-                sums = _sums(state, [g.tree for g in growth], nodes, tasks)
+                wanted = [g.sources(some) for g, some in zip(growth, nodes)]
+                summed = [sorted({node if source is None else source[1] for node, source in some.items()}) for some in wanted]
+                before, whole = whole, _whole(_sums(state, [g.tree for g in growth], summed, tasks), whole, wanted, tasks)
+                whole.persist(StorageLevel.MEMORY_AND_DISK)
                 best: list[dict[int, tuple]] = [{} for _ in labels]
-                for cls, node, (gain, feature, *rest) in _collected(_find_splits(sums, nodes, tasks, min_rows)):
+                for cls, node, (gain, feature, *rest) in _find_splits(whole, tasks, min_rows).collect():
                     held = best[cls].get(node)
                     if held is None or (-gain, feature) < (-held[0], held[1]):
                         best[cls][node] = (gain, feature, *rest)
                 for g, splits in zip(growth, best):
                     g.take(splits)
+                _drop(before)
+            _drop(whole)
             sizes = {(cls, k): n for cls, g in enumerate(growth) for k, n in g.open.items()}
             if sizes:
                 task, parts = _dealt(sizes, cores, most_rows)
                 rows = _node_rows(state, [g.tree for g in growth], [list(g.open) for g in growth], task)
                 levels = [{k: depth - g.level[k] for k in g.open} for g in growth]
-                for cls, node, splits in _collected(_finish_nodes(rows, parts, levels, leaves, min_rows)):
+                finished = _finish_nodes(rows, parts, levels, leaves, min_rows)
+                for cls, node, splits in finished.collect():
                     growth[cls].take_subtree(node, splits)
+                _drop(finished)
             trees = [g.finish(rate) for g in growth]
             model.rounds.append(trees)
             # This round's jobs have read all of its scores: those they came from are no longer needed.
